@@ -159,36 +159,32 @@ def split_turns(df: DataFrame, text: str = "rendered") -> DataFrame:
 
 
 def conversation_heads(messages: DataFrame) -> DataFrame:
-    """First role, first text and number of messages of each conversation."""
-    sizes = messages.groupBy("conv_id").agg(F.count("*").alias("n_messages"))
-    first = messages.filter("turn = 0").select(
-        "conv_id", F.col("role").alias("first_role"), F.col("text").alias("first_text")
+    """Number of messages of each conversation, and whether its first one is to be
+    dropped because it is not from the user."""
+    drops = (F.col("turn") == 0) & (F.col("role") != "user")
+    return messages.groupBy("conv_id").agg(
+        F.count("*").alias("n_messages"), F.bool_or(drops).alias("drops_first")
     )
-    return sizes.join(first, "conv_id")
 
 
-def with_heads(messages: DataFrame) -> DataFrame:
-    return lookup(
-        messages,
-        conversation_heads(messages),
-        ["conv_id"],
-        spread=["conv_id", "turn"],
-        weight="n_messages",
-    )
-
+def fold_system(messages: DataFrame) -> DataFrame:
+    """Put a leading system text in front of the next message, without separator.
 
-def fold_system(with_head: DataFrame) -> DataFrame:
-    """Put a leading system text in front of the next message, without separator."""
-    take = (F.col("turn") == 1) & (F.col("first_role") == "system")
-    return with_head.withColumn(
-        "text", F.when(take, F.concat("first_text", "text")).otherwise(F.col("text"))
-    )
+    Only the second messages meet the system texts, one row per conversation on
+    both sides; all other messages pass without a shuffle.
+    """
+    system = messages.filter("turn = 0 and role = 'system'").select("conv_id", F.col("text").alias("_first"))
+    second = messages.filter("turn = 1").join(system, "conv_id", "left")
+    folded = second.withColumn("text", F.concat(F.coalesce("_first", F.lit("")), "text"))
+    return messages.filter("turn <> 1").unionByName(folded.select(*messages.columns))
 
 
-def drop_leading_nonuser(with_head: DataFrame) -> DataFrame:
+def drop_leading_nonuser(messages: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Drop one leading message that is not from the user; ``j`` counts the rest."""
-    dropped = F.when(F.col("first_role") != "user", 1).otherwise(0)
-    return with_head.withColumn("j", (F.col("turn") - dropped).cast("bigint")).filter("j >= 0")
+    heads = conversation_heads(messages) if heads is None else heads
+    marked = lookup(messages, heads, ["conv_id"], ["conv_id", "turn"], weight="n_messages")
+    j = F.col("turn") - F.col("drops_first").cast("bigint")
+    return marked.withColumn("j", j).filter("j >= 0").drop("drops_first")
 
 
 def speaker_of(role) -> Column:
@@ -197,7 +193,7 @@ def speaker_of(role) -> Column:
 
 def normalize(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) -> (conv_id, j, speaker, value)."""
-    kept = drop_leading_nonuser(fold_system(with_heads(messages)))
+    kept = drop_leading_nonuser(fold_system(messages), conversation_heads(messages))
     return kept.select("conv_id", "j", speaker_of("role").alias("speaker"), F.col("text").alias("value"))
 
 

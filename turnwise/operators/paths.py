@@ -15,12 +15,12 @@ from turnwise.session import written
 
 
 def successors(pairs: DataFrame, k: int) -> DataFrame:
-    """(token, next, c) -> per token its k most frequent next tokens, as an array of
-    (rank, token, log_p). Ties go to the smaller token."""
+    """(token, next, c) -> (token, total, best): per token its k most frequent next
+    tokens as an array of (rank, token, log_p). Ties go to the smaller token."""
     totals = pairs.groupBy("token").agg(F.sum("c").alias("total"))
     best = best_per_group(pairs, ["token"], [F.desc("c"), F.col("next")], k)
     scored = best.join(totals, "token").withColumn("log_p", F.ln(F.col("c") / F.col("total")))
-    return scored.groupBy("token").agg(
+    return scored.groupBy("token", "total").agg(
         F.sort_array(F.collect_list(F.struct("rank", F.col("next").alias("token"), "log_p"))).alias("best")
     )
 
@@ -31,9 +31,10 @@ def expand_top_k(roots: DataFrame, table: DataFrame, depth: int, k: int) -> Data
     Result: one row per kept node (root, depth, rank, ranks, tokens, score), where
     ``ranks`` is the path as child ranks and ``score`` the summed log-probability.
     Each step is written to the shared folder, which cuts the lineage of the loop;
-    a root has at most k paths going in and k * k coming out.
+    a root has at most k paths going in and k * k coming out. ``table`` is read once
+    per step, so pass a stored one.
     """
-    table = written(table, "successors")
+    table = table.select(F.col("token").alias("tail"), "best")
     live = roots.select(
         F.col("token").alias("root"),
         F.array().cast("array<bigint>").alias("ranks"),
@@ -43,9 +44,7 @@ def expand_top_k(roots: DataFrame, table: DataFrame, depth: int, k: int) -> Data
     )
     levels = None
     for d in range(1, depth + 1):
-        found = lookup(
-            live, table.select(F.col("token").alias("tail"), "best"), ["tail"], ["root", "ranks"], how="inner"
-        )
+        found = lookup(live, table, ["tail"], ["root", "ranks"], how="inner")
         grown = found.select("root", "ranks", "tokens", "score", F.explode("best").alias("b")).select(
             "root",
             F.concat("ranks", F.array("b.rank")).alias("ranks"),

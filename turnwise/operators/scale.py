@@ -114,7 +114,11 @@ def lookup(
     the rows already served so that these do not meet again in the shuffle.
     """
     key = list(key)
-    payload = [c for c in table.columns if c not in key and c != weight]
+    # Null keys are dropped and the weight travels along unused, so that both uses of
+    # ``table`` have one plan and Spark computes it once.
+    table = table.dropna(subset=key)
+    carried = [c for c in table.columns if c not in key]
+    payload = [c for c in carried if c != weight]
     if weight is None:
         counts = fact.groupBy(*key).agg(F.count("*").alias("_n"))
         hot_keys = counts.orderBy(F.desc("_n"), *key).limit(HOT_KEYS).select(*key)
@@ -122,20 +126,22 @@ def lookup(
     else:
         hot = table.orderBy(F.desc(weight), *key).limit(HOT_KEYS)
     hot = hot.select(
-        *key, F.struct(*payload, F.lit(True).alias("_seen")).alias("_hot")
+        *key, F.struct(*carried, F.lit(True).alias("_seen")).alias("_hot")
     )
     served = F.col("_hot").isNotNull()
+    # Served rows get a null key, which matches nothing, and a place drawn from their
+    # own columns; the others go where the hash of their key sends them.
     left = (
         fact.join(F.broadcast(hot), key, "left")
         .withColumns({f"_k{i}": F.when(~served, F.col(k)) for i, k in enumerate(key)})
-        .withColumn("_salt", F.when(served, F.xxhash64(*spread)).otherwise(F.lit(0)))
+        .withColumn("_place", F.when(served, F.xxhash64(*spread)).otherwise(F.xxhash64(*key)))
     )
     cold = table.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)],
-        F.lit(0).cast("bigint").alias("_salt"),
-        F.struct(*payload, F.lit(True).alias("_seen")).alias("_cold"),
+        F.xxhash64(*key).alias("_place"),
+        F.struct(*carried, F.lit(True).alias("_seen")).alias("_cold"),
     )
-    on = [f"_k{i}" for i in range(len(key))] + ["_salt"]
+    on = [f"_k{i}" for i in range(len(key))] + ["_place"]
     both = left.join(cold, on, "left").withColumn("_hit", F.coalesce("_hot", "_cold"))
     if how == "inner":
         both = both.filter("_hit is not null")

@@ -81,7 +81,8 @@ def src_questions_slice(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("question_id"), F.lit("qa").alias("category"), F.array("text").alias("turns")
     )
-    writers.write_jsonl(rows.repartitionByRange(1, "question_id").sortWithinPartitions("question_id"), path)
+    # Sorted part files: file name, then line, gives the order of the questions.
+    writers.write_jsonl(rows.repartitionByRange("question_id").sortWithinPartitions("question_id"), path)
     return readers.read_questions(spark, path, begin=5).select("question_id", F.explode("turns").alias("turn"))
 
 
@@ -116,7 +117,7 @@ def conv_from_instruction(spark, sf_dir):
          ON s.conv_id = c.conv_id AND s.turn = 0 AND s.role = 'system' AND c.turn = 1""",
 )
 def conv_fold_system(spark, sf_dir):
-    return chat.fold_system(chat.with_heads(fx.messages(spark, sf_dir))).select("conv_id", "turn", "role", "text")
+    return chat.fold_system(fx.messages(spark, sf_dir))
 
 
 @query(
@@ -125,7 +126,7 @@ def conv_fold_system(spark, sf_dir):
        FROM conversations WHERE NOT (turn = 0 AND role <> 'user')""",
 )
 def conv_drop_leading_nonuser(spark, sf_dir):
-    return chat.drop_leading_nonuser(chat.with_heads(fx.messages(spark, sf_dir))).select(
+    return chat.drop_leading_nonuser(fx.messages(spark, sf_dir)).select(
         "conv_id", "turn", "j", "role", "text"
     )
 

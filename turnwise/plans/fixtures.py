@@ -293,52 +293,53 @@ def starts(spark, sf_dir, ahead: int) -> DataFrame:
 
 
 def pair_counts(spark, sf_dir, *by: str) -> DataFrame:
-    return positions(spark, sf_dir).groupBy(*by, "token", "next").agg(F.count("*").alias("c"))
+    """Counted (token, next) pairs, kept as a table: every later step works on the
+    distinct pairs and the corpus is read once."""
+    at = positions(spark, sf_dir).withColumn("position", F.pmod("pos", F.lit(STEPS)))
+    return written(at.groupBy(*by, "token", "next").agg(F.count("*").alias("c")), "pairs")
 
 
 def all_pairs(spark, sf_dir) -> DataFrame:
     return pair_counts(spark, sf_dir)
 
 
-def train_pairs(spark, sf_dir) -> DataFrame:
-    return positions(spark, sf_dir).filter("split = 'train'").groupBy("token", "next").agg(
-        F.count("*").alias("c")
-    )
-
+def trained(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("split = 'train'").groupBy("token", "next").agg(F.sum("c").alias("c"))
 
-def ranked_predictions(spark, sf_dir, k: int) -> DataFrame:
-    best = paths.successors(train_pairs(spark, sf_dir), k)
-    return best.select("token", F.col("best.token").alias("ranked"))
 
-
-def scored_pairs(spark, sf_dir, *by: str, k: int = 3) -> DataFrame:
-    """Counted pairs with the ranked predictions for their first token; (by, token,
-    next, n, ranked)."""
-    pairs = pair_counts(spark, sf_dir, *by).withColumnRenamed("c", "n")
-    return lookup(pairs, ranked_predictions(spark, sf_dir, k), ["token"], [*by, "token", "next"])
+def scored_pairs(pairs: DataFrame, k: int, *by: str) -> DataFrame:
+    """Counted pairs with the k best trained predictions for their first token:
+    (by, token, next, n, ranked)."""
+    best = paths.successors(trained(pairs), k).select("token", F.col("best.token").alias("ranked"))
+    return lookup(pairs.withColumnRenamed("c", "n"), best, ["token"], [*by, "token", "next"])
 
 
 def stepped_pairs(spark, sf_dir) -> DataFrame:
     """Counted pairs by draft step, with the best prediction and whether the target is
     in the draft vocabulary."""
-    at = positions(spark, sf_dir).withColumn("position", F.pmod("pos", F.lit(STEPS)))
-    pairs = at.groupBy("position", "token", "next").agg(F.count("*").alias("n"))
-    pairs = lookup(pairs, ranked_predictions(spark, sf_dir, 1), ["token"], ["position", "token", "next"])
+    pairs = scored_pairs(pair_counts(spark, sf_dir, "position", "split"), 1, "position", "split")
     known = F.broadcast(draft_top(spark, sf_dir).select(F.col("token").alias("next"), F.lit(True).alias("known")))
     return pairs.join(known, "next", "left")
 
 
-def chains(spark, sf_dir, steps: int) -> DataFrame:
-    """token -> the best prediction applied up to ``steps`` times."""
-    table_ = written(paths.successors(train_pairs(spark, sf_dir), 1), "chain-successors")
-    nodes = paths.expand_top_k(table_.select("token"), table_, steps, 1)
-    return nodes.groupBy("root").agg(F.max_by("tokens", "depth").alias("chain")).withColumnRenamed("root", "token")
+def train_successors(spark, sf_dir, k: int) -> DataFrame:
+    return written(paths.successors(trained(pair_counts(spark, sf_dir, "split")), k), "train-successors")
+
+
+def chains(firsts: DataFrame, steps: int) -> DataFrame:
+    """(token, chain, total): the best prediction applied up to ``steps`` times.
+    ``firsts`` is a successor table; its first entry is the best prediction."""
+    best = firsts.withColumn("best", F.slice("best", 1, 1))
+    nodes = paths.expand_top_k(best.select("token"), best, steps, 1)
+    longest = nodes.groupBy(F.col("root").alias("token")).agg(F.max_by("tokens", "depth").alias("chain"))
+    return longest.join(firsts.select("token", "total"), "token")
 
 
 def chain_log(spark, sf_dir, steps: int = 5) -> DataFrame:
     """(split, hits, masks) per start position, one slot per draft step."""
     at = starts(spark, sf_dir, steps)
-    found = lookup(at, chains(spark, sf_dir, steps), ["token"], ["conv_id", "turn", "pos"])
+    drafts = chains(train_successors(spark, sf_dir, 1), steps)
+    found = lookup(at, drafts, ["token"], ["conv_id", "turn", "pos"], weight="total")
     ks = F.sequence(F.lit(0), F.lit(steps - 1))
     drafted = F.coalesce("chain", F.array().cast("array<string>"))
     hits = F.transform(ks, lambda k: F.when(F.get(drafted, k) == F.get("ahead", k), 1).otherwise(0))
@@ -349,21 +350,25 @@ def chain_log(spark, sf_dir, steps: int = 5) -> DataFrame:
 def candidates(spark, sf_dir) -> DataFrame:
     """Every start with two drafts of up to four tokens and the tokens that follow:
     (conv_id, turn, pos, drafts, ahead)."""
-    firsts = written(paths.successors(train_pairs(spark, sf_dir), 2), "first-choices")
-    step = chains(spark, sf_dir, 3).select(F.col("token").alias("head"), "chain")
-    at = firsts.select("token", F.explode("best").alias("b")).select(
-        "token", F.col("b.rank").alias("rank"), F.col("b.token").alias("head")
+    firsts = train_successors(spark, sf_dir, 2)
+    step = chains(firsts, 3).select(F.col("token").alias("head"), "chain")
+    at = firsts.select("token", "total", F.explode("best").alias("b")).select(
+        "token", "total", F.col("b.rank").alias("rank"), F.col("b.token").alias("head")
     )
     grown = lookup(at, step, ["head"], ["token", "rank"])
     draft = F.concat(F.array("head"), F.coalesce("chain", F.array().cast("array<string>")))
-    drafts = grown.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("rank", draft.alias("d")))).alias("s"))
-    drafts = drafts.select("token", F.col("s.d").alias("drafts"))
-    return lookup(starts(spark, sf_dir, 4), drafts, ["token"], ["conv_id", "turn", "pos"], how="inner")
+    drafts = grown.groupBy("token", "total").agg(
+        F.sort_array(F.collect_list(F.struct("rank", draft.alias("d")))).alias("s")
+    )
+    drafts = drafts.select("token", "total", F.col("s.d").alias("drafts"))
+    return lookup(
+        starts(spark, sf_dir, 4), drafts, ["token"], ["conv_id", "turn", "pos"], weight="total", how="inner"
+    )
 
 
 def path_nodes(spark, sf_dir, depth: int = 3, k: int = 4) -> DataFrame:
-    table_ = written(paths.successors(all_pairs(spark, sf_dir), k), "path-successors")
-    return paths.expand_top_k(table_.select("token"), table_, depth, k)
+    firsts = written(paths.successors(all_pairs(spark, sf_dir), k), "path-successors")
+    return paths.expand_top_k(firsts.select("token"), firsts, depth, k)
 
 
 # --- metric log ----------------------------------------------------------------

@@ -26,7 +26,7 @@ from turnwise.sources import writers
              FROM z_pos p LEFT JOIN z_rank k ON k.token = p.token AND k.nxt = p.nxt) GROUP BY split""",
 )
 def acc_topk(spark, sf_dir):
-    pairs = fx.scored_pairs(spark, sf_dir, "split", k=3)
+    pairs = fx.scored_pairs(fx.pair_counts(spark, sf_dir, "split"), 3, "split")
     out = metrics.accuracy_top_k(pairs, ["split"], "ranked", "next", (1, 2, 3))
     return rounded(out, "acc1", "acc2", "acc3")
 
@@ -38,7 +38,7 @@ def acc_topk(spark, sf_dir):
        FROM z_pos p LEFT JOIN z_best b USING (token) GROUP BY split""",
 )
 def acc_micro(spark, sf_dir):
-    pairs = fx.scored_pairs(spark, sf_dir, "split", k=1)
+    pairs = fx.scored_pairs(fx.pair_counts(spark, sf_dir, "split"), 1, "split")
     return rounded(metrics.accuracy(pairs, ["split"], F.get("ranked", F.lit(0)) == F.col("next")), "accuracy")
 
 
@@ -86,25 +86,21 @@ def acc_chain_epoch(spark, sf_dir):
 
 def _step_losses(spark, sf_dir):
     """Soft cross-entropy per draft step: counts over the draft vocabulary against
-    smoothed training counts. A context without known followers counts as 0."""
-    pairs = written(fx.pair_counts(spark, sf_dir, "split"), "pairs")
+    smoothed training counts. A context without known followers counts as 0.
+
+    With p = c / sum(c) and q = t / sum(t), -sum(p log q) is
+    log(sum(t)) - sum(c log t) / sum(c), so one grouping gives each context's loss.
+    """
+    pairs = fx.pair_counts(spark, sf_dir, "position", "split")
     known = fx.draft_top(spark, sf_dir).select(F.col("token").alias("next"))
     support = pairs.join(F.broadcast(known), "next", "left_semi").groupBy("token", "next").agg(
-        F.sum("c").alias("c"), (F.sum(F.when(F.col("split") == "train", F.col("c")).otherwise(0)) + 1).alias("c_train")
-    )
-    sums = support.groupBy("token").agg(
-        F.sum("c").alias("total"), F.sum("c_train").alias("total_train"), F.count("*").alias("_n")
-    )
-    both = lookup(support, sums, ["token"], ["token", "next"], weight="_n")
-    target = both.select("token", "next", (F.col("c") / F.col("total")).alias("p")).toDF("context", "token", "p")
-    draft = both.select("token", "next", F.ln(F.col("c_train") / F.col("total_train")).alias("log_q")).toDF(
-        "context", "token", "log_q"
+        F.sum("c").alias("c"), (F.sum(F.when(F.col("split") == "train", F.col("c")).otherwise(0)) + 1).alias("t")
     )
-    losses = metrics.soft_cross_entropy(target, draft, ["context"])
-    at = fx.positions(spark, sf_dir).groupBy(F.pmod("pos", F.lit(fx.STEPS)).alias("position"), "token").agg(
-        F.count("*").alias("n")
+    losses = support.groupBy("token").agg(
+        (F.ln(F.sum("t")) - F.sum(F.col("c") * F.ln("t")) / F.sum("c")).alias("loss")
     )
-    met = at.join(losses.withColumnRenamed("context", "token"), "token", "left")
+    at = pairs.groupBy("position", "token").agg(F.sum("c").alias("n"))
+    met = at.join(losses, "token", "left")
     return met.groupBy("position").agg(
         (F.sum(F.coalesce("loss", F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("loss"), F.sum("n").alias("n")
     )
