@@ -226,7 +226,8 @@ def split_valid(
     marked = alternation_faults(messages, speaker, at, roles)
     if strict:
         stop = F.raise_error(F.concat(F.lit("bad turn in conversation "), F.col("conv_id").cast("string")))
-        return marked.withColumn("fault", F.when(F.col("fault").isNotNull(), stop)).drop("fault"), None
+        sound = F.when(F.col("fault").isNotNull(), stop.cast("boolean")).otherwise(F.lit(True))
+        return marked.filter(sound).drop("fault"), None
     per_conversation = marked.groupBy("conv_id").agg(
         F.count("*").alias("n_messages"),
         F.count("fault").alias("n_faults"),

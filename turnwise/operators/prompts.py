@@ -122,7 +122,8 @@ def generate(
 
     def shaped(batches):
         for out in run(batches):
-            yield out.reindex(columns=names)
+            out = out.reindex(columns=names).astype(object)
+            yield out.where(out.notna(), None)
 
     names = [f.split()[0] for f in schema.split(",")]
     return prompts.mapInPandas(shaped, schema)

@@ -116,7 +116,8 @@ def lookup(
     key = list(key)
     # Null keys are dropped and the weight travels along unused, so that both uses of
     # ``table`` have one plan and Spark computes it once.
-    table = table.dropna(subset=key)
+    for k in key:
+        table = table.filter(F.col(k).isNotNull())
     carried = [c for c in table.columns if c not in key]
     payload = [c for c in carried if c != weight]
     if weight is None:

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+_local_dirs: dict[str, str] = {}
 
 
 def local_session(cores: str = "*", app: str = "turnwise", **conf) -> SparkSession:
@@ -29,17 +30,18 @@ def local_session(cores: str = "*", app: str = "turnwise", **conf) -> SparkSessi
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may run without it; there a temporary folder is made
-    and remembered. A cluster must name a folder that every executor can reach.
+    Only a local session may run without it; there a temporary folder is made and
+    kept for the session. A cluster must name a folder that every executor can reach.
     """
     named = spark.conf.get(_CHECKPOINT_DIR, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError(f"set {_CHECKPOINT_DIR} to a folder shared by the cluster")
-    made = tempfile.mkdtemp(prefix="turnwise-")
-    spark.conf.set(_CHECKPOINT_DIR, made)
-    return made
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="turnwise-")
+    return _local_dirs[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
