@@ -20,8 +20,10 @@ def turns_of(answers):
     return A.explode_turns(A.first_choice(answers).drop("choices"))
 
 
-def rounded(df, *names, digits=6):
-    return df.withColumns({n: F.round(n, digits) for n in names})
+def rounded(df, *names, nudge=0.0):
+    """Round for comparison. Means of values with two decimals often lie exactly half
+    way; ``nudge`` moves them off it, so that the order of a sum does not show."""
+    return df.withColumns({n: F.round(F.col(n) + nudge if nudge else F.col(n), 6) for n in names})
 
 
 def answer_files(spark, sf_dir) -> str:
@@ -384,7 +386,7 @@ def stream_running_speed(spark, sf_dir):
 
 @query(
     "stream_metric_rollup",
-    """SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, run, position, round(avg(acc), 6) AS acc, round(avg(loss), 6) AS loss,
+    """SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, run, position, round(avg(acc) + 1e-9, 6) AS acc, round(avg(loss) + 1e-9, 6) AS loss,
               count(*) AS n FROM z_metric
        WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
        GROUP BY ALL""",
@@ -398,5 +400,5 @@ def stream_metric_rollup(spark, sf_dir):
     flows.rollup_metrics(stream, out, scratch_path(spark, "metric-state")).awaitTermination()
     back = spark.read.parquet(out)
     return rounded(
-        back.select(F.floor(F.unix_seconds("start") / 86400).alias("day"), "run", "position", "acc", "loss", "n"), "acc", "loss"
+        back.select(F.floor(F.unix_seconds("start") / 86400).alias("day"), "run", "position", "acc", "loss", "n"), "acc", "loss", nudge=1e-9
     )

@@ -69,7 +69,7 @@ def acc_chain_k(spark, sf_dir):
                    count(*) FILTER (live * mask = 1 OR missed = 1) AS total FROM z_missed GROUP BY conv_id, turn, k),
             kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY worker, k ORDER BY conv_id, turn) AS b
                      FROM batch WHERE total > 0) WHERE b <= 10)
-       SELECT CAST(k AS BIGINT) AS k, round(avg(acc), 6) AS accuracy
+       SELECT CAST(k AS BIGINT) AS k, round(avg(acc) + 1e-9, 6) AS accuracy
        FROM (SELECT worker, k, avg(acc) AS acc FROM kept GROUP BY worker, k) GROUP BY k""",
 )
 def acc_chain_epoch(spark, sf_dir):
@@ -162,17 +162,17 @@ def loss_combined(spark, sf_dir):
 
 @query(
     "metric_mean_std",
-    """SELECT position, round(avg(acc), 6) AS acc_mean, round(stddev_pop(acc), 6) AS acc_std, round(avg(loss), 6) AS loss_mean,
-              round(stddev_pop(loss), 6) AS loss_std, count(*) AS n_batches FROM z_metric GROUP BY position""",
+    """SELECT position, round(avg(acc) + 1e-9, 6) AS acc_mean, round(stddev_pop(acc) + 1e-9, 6) AS acc_std, round(avg(loss) + 1e-9, 6) AS loss_mean,
+              round(stddev_pop(loss) + 1e-9, 6) AS loss_std, count(*) AS n_batches FROM z_metric GROUP BY position""",
 )
 def metric_mean_std(spark, sf_dir):
-    return rounded(metrics.mean_std(fx.metric_log(spark, sf_dir)), "acc_mean", "acc_std", "loss_mean", "loss_std")
+    return rounded(metrics.mean_std(fx.metric_log(spark, sf_dir)), "acc_mean", "acc_std", "loss_mean", "loss_std", nudge=1e-9)
 
 
 @query(
     "sink_metric_summary",
-    """SELECT position, (SELECT count(*) FROM z_metric) * 2 AS total_samples, 'events' AS data_type, round(avg(acc), 6) AS acc_mean,
-              round(stddev_pop(acc), 6) AS acc_std, round(avg(loss), 6) AS loss_mean, round(stddev_pop(loss), 6) AS loss_std
+    """SELECT position, (SELECT count(*) FROM z_metric) * 2 AS total_samples, 'events' AS data_type, round(avg(acc) + 1e-9, 6) AS acc_mean,
+              round(stddev_pop(acc) + 1e-9, 6) AS acc_std, round(avg(loss) + 1e-9, 6) AS loss_mean, round(stddev_pop(loss) + 1e-9, 6) AS loss_std
        FROM z_metric GROUP BY position""",
 )
 def sink_metric_summary(spark, sf_dir):
@@ -184,16 +184,16 @@ def sink_metric_summary(spark, sf_dir):
         "r.position", "total_samples", "data_type", F.col("r.accuracy.mean").alias("acc_mean"),
         F.col("r.accuracy.std").alias("acc_std"), F.col("r.loss.mean").alias("loss_mean"), F.col("r.loss.std").alias("loss_std"),
     )
-    return rounded(rows, "acc_mean", "acc_std", "loss_mean", "loss_std")
+    return rounded(rows, "acc_mean", "acc_std", "loss_mean", "loss_std", nudge=1e-9)
 
 
 @query(
     "epoch_macro_mean",
-    """SELECT run, epoch, split, position, round(avg(acc), 6) AS acc, round(avg(loss), 6) AS loss FROM (
+    """SELECT run, epoch, split, position, round(avg(acc) + 1e-9, 6) AS acc, round(avg(loss) + 1e-9, 6) AS loss FROM (
          SELECT run, epoch, split, position, worker, avg(acc) AS acc, avg(loss) AS loss FROM z_metric GROUP BY ALL) GROUP BY ALL""",
 )
 def epoch_macro_mean(spark, sf_dir):
-    return rounded(metrics.macro_mean(fx.metric_log(spark, sf_dir)), "acc", "loss")
+    return rounded(metrics.macro_mean(fx.metric_log(spark, sf_dir)), "acc", "loss", nudge=1e-9)
 
 
 @query(
@@ -207,14 +207,14 @@ def batches_ok(spark, sf_dir):
 
 @query(
     "running_mean",
-    """SELECT run, batch, n, round(m, 6) AS mean_so_far FROM (
+    """SELECT run, batch, n, round(m + 1e-9, 6) AS mean_so_far FROM (
          SELECT run, batch, row_number() OVER w AS n, sum(loss::DECIMAL(18, 2)) OVER w / row_number() OVER w AS m FROM z_metric WINDOW w AS (PARTITION BY run ORDER BY batch))
        WHERE n % 10 = 0""",
 )
 def running_mean(spark, sf_dir):
     log = fx.metric_log(spark, sf_dir).withColumn("loss", F.col("loss").cast("decimal(18,2)"))
     means = metrics.running_mean(log, "loss", "run", "batch", 10)
-    return rounded(means.withColumn("mean_so_far", F.col("mean_so_far").cast("double")), "mean_so_far")
+    return rounded(means.withColumn("mean_so_far", F.col("mean_so_far").cast("double")), "mean_so_far", nudge=1e-9)
 
 
 # Draft sizes that are tried and their penalty weights.
@@ -286,34 +286,34 @@ def _scores(spark, sf_dir):
     )
 
 
-@query("dist_softmax", "SELECT token AS context, nxt AS token, round(c / total, 6) AS p, round(ln(c / total), 6) AS log_p FROM z_mass")
+@query("dist_softmax", "SELECT token AS context, nxt AS token, round(c / total + 1e-9, 6) AS p, round(ln(c / total) + 1e-9, 6) AS log_p FROM z_mass")
 def dist_softmax(spark, sf_dir):
     out = dist.softmax(_scores(spark, sf_dir), "context")
-    return rounded(out.select("context", "token", "p", "log_p"), "p", "log_p")
+    return rounded(out.select("context", "token", "p", "log_p"), "p", "log_p", nudge=1e-9)
 
 
 @query(
     "dist_temperature",
-    """SELECT token AS context, nxt AS token, round(pow(c, 2.0) / sum(pow(c, 2.0)) OVER (PARTITION BY token), 6) AS p FROM z_all""",
+    """SELECT token AS context, nxt AS token, round(pow(c, 2.0) / sum(pow(c, 2.0)) OVER (PARTITION BY token) + 1e-9, 6) AS p FROM z_all""",
 )
 def dist_temperature(spark, sf_dir):
     warm = _scores(spark, sf_dir).transform(dist.temperature(0.5))
-    return rounded(dist.softmax(warm, "context").select("context", "token", "p"), "p")
+    return rounded(dist.softmax(warm, "context").select("context", "token", "p"), "p", nudge=1e-9)
 
 
 @query(
     "dist_top_k",
-    """SELECT context, token, round(c / sum(c) OVER (PARTITION BY context), 6) AS p FROM (
+    """SELECT context, token, round(c / sum(c) OVER (PARTITION BY context) + 1e-9, 6) AS p FROM (
          SELECT token AS context, nxt AS token, c, row_number() OVER (PARTITION BY token ORDER BY c DESC, nxt) AS r FROM z_all) WHERE r <= 10""",
 )
 def dist_top_k(spark, sf_dir):
     kept = _scores(spark, sf_dir).transform(dist.top_k(10, "context"))
-    return rounded(dist.softmax(kept, "context").select("context", "token", "p"), "p")
+    return rounded(dist.softmax(kept, "context").select("context", "token", "p"), "p", nudge=1e-9)
 
 
 @query(
     "dist_top_p",
-    """SELECT context, token, round(c / sum(c) OVER (PARTITION BY context), 6) AS p FROM (
+    """SELECT context, token, round(c / sum(c) OVER (PARTITION BY context) + 1e-9, 6) AS p FROM (
          SELECT token AS context, nxt AS token, c, total,
                 sum(c) OVER (PARTITION BY token ORDER BY c DESC, nxt ROWS UNBOUNDED PRECEDING) - c AS before FROM z_mass)
        WHERE before < 0.9::DOUBLE * total""",
@@ -324,7 +324,7 @@ def dist_top_p(spark, sf_dir):
     massed = lookup(pairs, totals, ["token"], ["token", "next"], weight="_n")
     kept = dist.top_p_mass(massed, "token", "next", "c", "total", 0.9)
     scored = kept.select(F.col("token").alias("context"), F.col("next").alias("token"), F.ln("c").alias("score"))
-    return rounded(dist.softmax(scored, "context").select("context", "token", "p"), "p")
+    return rounded(dist.softmax(scored, "context").select("context", "token", "p"), "p", nudge=1e-9)
 
 
 @query(
