@@ -208,13 +208,14 @@ def batches_ok(spark, sf_dir):
 @query(
     "running_mean",
     """SELECT run, batch, n, round(m + 1e-9, 6) AS mean_so_far FROM (
-         SELECT run, batch, row_number() OVER w AS n, sum(loss::DECIMAL(18, 2)) OVER w / row_number() OVER w AS m FROM z_metric WINDOW w AS (PARTITION BY run ORDER BY batch))
+         SELECT run, batch, row_number() OVER w AS n, sum(CAST(round(loss * 100) AS BIGINT)) OVER w / row_number() OVER w / 100 AS m FROM z_metric WINDOW w AS (PARTITION BY run ORDER BY batch))
        WHERE n % 10 = 0""",
 )
 def running_mean(spark, sf_dir):
-    log = fx.metric_log(spark, sf_dir).withColumn("loss", F.col("loss").cast("decimal(18,2)"))
+    # Whole cents, so that the sums are exact in any order.
+    log = fx.metric_log(spark, sf_dir).withColumn("loss", F.round(F.col("loss") * 100).cast("bigint"))
     means = metrics.running_mean(log, "loss", "run", "batch", 10)
-    return rounded(means.withColumn("mean_so_far", F.col("mean_so_far").cast("double")), "mean_so_far", nudge=1e-9)
+    return rounded(means.withColumn("mean_so_far", F.col("mean_so_far") / 100), "mean_so_far", nudge=1e-9)
 
 
 # Draft sizes that are tried and their penalty weights.
