@@ -361,12 +361,16 @@ def brute_chain(hits, masks):
     return tried, right
 
 
-def test_chain_counts_equal_brute_force_on_all_cases(spark):
-    cases = [([h >> i & 1 for i in range(5)], [m >> i & 1 for i in range(5)]) for h in range(32) for m in range(32)]
-    df = spark.createDataFrame(cases, "hits array<int>, masks array<int>")
-    for row in df.withColumn("c", metrics.chain_counts("hits", "masks", 5)).collect():
-        want = brute_chain(row.hits, row.masks)
-        assert ([s.tried for s in row.c], [s.right for s in row.c]) == want
+def test_chain_accuracy_equals_brute_force_on_all_cases(spark):
+    cases = [(h * 32 + m, [h >> i & 1 for i in range(5)], [m >> i & 1 for i in range(5)]) for h in range(32) for m in range(32)]
+    df = spark.createDataFrame(cases, "case int, hits array<int>, masks array<int>")
+    got = {(r.case, r.k): (r.total, r.correct) for r in metrics.chain_accuracy(df, ["case"], 5).collect()}
+    for case, hits, masks in cases:
+        tried, right = brute_chain(hits, masks)
+        assert [got[case, k] for k in range(1, 6)] == list(zip(tried, right))
+    whole = {r.k: (r.total, r.correct) for r in metrics.chain_accuracy(df, [], 5).collect()}
+    for k in range(1, 6):
+        assert whole[k] == tuple(sum(got[c[0], k][i] for c in cases) for i in (0, 1))
 
 
 def test_soft_cross_entropy_joins_two_distributions(spark):

@@ -101,7 +101,13 @@ def leading_run(flags) -> Column:
     """How many items are true before the first that is not."""
     flags = F.col(flags) if isinstance(flags, str) else flags
     first_miss = F.array_position(F.transform(flags, lambda f: F.coalesce(f, F.lit(False))), False)
-    return F.when(first_miss > 0, first_miss - 1).otherwise(F.size(flags)).cast("bigint")
+    return F.coalesce(F.nullif(first_miss, F.lit(0)) - 1, F.size(flags)).cast("bigint")
+
+
+def leading_ones(flags) -> Column:
+    """The same for an array of 0 and 1, without a lambda."""
+    first_miss = F.array_position(flags, 0)
+    return F.coalesce(F.nullif(first_miss, F.lit(0)) - 1, F.size(flags)).cast("bigint")
 
 
 def total(arr) -> Column:
@@ -119,9 +125,18 @@ def mean_smooth_l1(predicted, target, beta: float = 1.0) -> Column:
     return total(F.zip_with(predicted, target, one)) / F.size(predicted)
 
 
+def bound(value, use) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``use``; inside a lambda over an
+    array it would be evaluated once per item."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def vector_log_softmax(scores) -> Column:
     """log-softmax of an array of scores, shifted by its largest item."""
     scores = F.col(scores) if isinstance(scores, str) else scores
-    top = F.array_max(scores).cast("double")
-    mass = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - top))
-    return F.transform(scores, lambda x: x.cast("double") - top - F.ln(mass))
+
+    def shifted(top):
+        mass = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - top))
+        return bound(F.ln(mass), lambda m: F.transform(scores, lambda x: x.cast("double") - top - m))
+
+    return bound(F.array_max(scores).cast("double"), shifted)

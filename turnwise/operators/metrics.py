@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.functions.columns import leading_run, total
+from turnwise.functions.columns import leading_ones, total
 from turnwise.operators.scale import running_sums
 
 # --- answer logs ---------------------------------------------------------------
@@ -173,31 +173,28 @@ def accuracy_top_k(pairs: DataFrame, by: Sequence[str], ranked: str, target: str
     return sums.withColumns({f"acc{k}": F.try_divide(f"top{k}", "total") for k in ks})
 
 
-def chain_counts(hits: str, masks: str, steps: int) -> Column:
-    """Per step (tried, right) of one draft chain, given its hit and mask arrays.
-
-    The chain ends at the first masked step. A miss before that makes all later
-    steps count as tried and wrong, masked or not.
-    """
-    open_steps = leading_run(F.transform(masks, lambda m: m == 1))
-    right = F.least(leading_run(F.transform(hits, lambda h: h == 1)), open_steps)
-    missed = right < open_steps
-
-    def one(k):
-        return F.struct(
-            k.alias("k"),
-            (missed | (k <= open_steps)).cast("bigint").alias("tried"),
-            (k <= right).cast("bigint").alias("right"),
-        )
-
-    return F.transform(F.sequence(F.lit(1).cast("bigint"), F.lit(steps).cast("bigint")), one)
+def chain_runs(hits: str, masks: str) -> tuple[Column, Column]:
+    """(steps before the first masked one, right steps before the first miss) of one
+    draft chain, given its arrays of 0 and 1."""
+    open_steps = leading_ones(masks)
+    return open_steps, F.least(leading_ones(hits), open_steps)
 
 
 def chain_accuracy(log: DataFrame, by: Sequence[str], steps: int, hits="hits", masks="masks") -> DataFrame:
-    """Accuracy of each draft step over all start positions."""
-    at = log.select(*by, F.explode(chain_counts(hits, masks, steps)).alias("c"))
-    return at.groupBy(*by, F.col("c.k").alias("k")).agg(
-        F.sum("c.right").alias("correct"), F.sum("c.tried").alias("total")
+    """Accuracy of each draft step over all start positions.
+
+    The chain ends at the first masked step. A miss before that makes all later steps
+    count as tried and wrong, masked or not. A chain's part is settled by two small
+    numbers, so chains are counted by these before the steps are listed.
+    """
+    open_steps, right = chain_runs(hits, masks)
+    alike = log.groupBy(*by, open_steps.alias("open"), right.alias("right")).agg(F.count("*").alias("n"))
+    ks = F.sequence(F.lit(1).cast("bigint"), F.lit(steps).cast("bigint"))
+    at = alike.withColumn("k", F.explode(ks))
+    tried = (F.col("right") < F.col("open")) | (F.col("k") <= F.col("open"))
+    return at.groupBy(*by, "k").agg(
+        F.sum(F.when(F.col("k") <= F.col("right"), F.col("n")).otherwise(0)).alias("correct"),
+        F.sum(F.when(tried, F.col("n")).otherwise(0)).alias("total"),
     ).withColumn("accuracy", F.try_divide("correct", "total"))
 
 

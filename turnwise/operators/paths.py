@@ -44,7 +44,11 @@ def expand_top_k(roots: DataFrame, table: DataFrame, depth: int, k: int) -> Data
     )
     levels = None
     for d in range(1, depth + 1):
-        found = lookup(live, table, ["tail"], ["root", "ranks"], how="inner")
+        # Roots are distinct; later on many paths may end in the same frequent token.
+        if d == 1:
+            found = live.join(table, "tail")
+        else:
+            found = lookup(live, table, ["tail"], ["root", "ranks"], how="inner")
         grown = found.select("root", "ranks", "tokens", "score", F.explode("best").alias("b")).select(
             "root",
             F.concat("ranks", F.array("b.rank")).alias("ranks"),

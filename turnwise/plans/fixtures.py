@@ -280,15 +280,20 @@ def positions(spark, sf_dir) -> DataFrame:
 
 
 def starts(spark, sf_dir, ahead: int) -> DataFrame:
-    """Every assistant position with up to ``ahead`` tokens that follow it."""
+    """Every assistant position with the ``ahead`` tokens that follow it, null past the
+    end of the answer."""
     said = split_by_hash(messages(spark, sf_dir).filter("role = 'assistant'"), "conv_id")
     toks = said.select("conv_id", "split", "turn", tokens_of("text").alias("toks"))
+    # Shifted copies side by side: no row carries the whole text along, and no lambda
+    # keeps the scan out of generated code.
+    n = F.greatest(F.size("toks"), F.lit(1))
+    shifts = [F.slice("toks", F.lit(k + 1), n).alias(f"a{k}") for k in range(1, ahead + 1)]
     at = toks.select(
-        "conv_id", "split", "turn", "toks", F.posexplode("toks").alias("pos", "token")
+        "conv_id", "split", "turn", F.posexplode(F.arrays_zip(F.col("toks").alias("token"), *shifts)).alias("pos", "e")
     )
     return at.select(
-        "conv_id", "split", "turn", F.col("pos").cast("bigint").alias("pos"), "token",
-        F.slice("toks", F.col("pos") + 2, F.lit(ahead)).alias("ahead"),
+        "conv_id", "split", "turn", F.col("pos").cast("bigint").alias("pos"), "e.token",
+        F.array(*[F.col(f"e.a{k}") for k in range(1, ahead + 1)]).alias("ahead"),
     )
 
 
@@ -340,10 +345,10 @@ def chain_log(spark, sf_dir, steps: int = 5) -> DataFrame:
     at = starts(spark, sf_dir, steps)
     drafts = chains(train_successors(spark, sf_dir, 1), steps)
     found = lookup(at, drafts, ["token"], ["conv_id", "turn", "pos"], weight="total")
-    ks = F.sequence(F.lit(0), F.lit(steps - 1))
     drafted = F.coalesce("chain", F.array().cast("array<string>"))
-    hits = F.transform(ks, lambda k: F.when(F.get(drafted, k) == F.get("ahead", k), 1).otherwise(0))
-    masks = F.transform(ks, lambda k: F.when(k < F.size("ahead"), 1).otherwise(0))
+    ks = [F.lit(k) for k in range(steps)]
+    hits = F.array(*[F.when(F.get(drafted, k) == F.get("ahead", k), 1).otherwise(0) for k in ks])
+    masks = F.array(*[F.when(F.get("ahead", k).isNotNull(), 1).otherwise(0) for k in ks])
     return found.select("conv_id", "split", "turn", "pos", hits.alias("hits"), masks.alias("masks"))
 
 
