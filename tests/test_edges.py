@@ -135,6 +135,13 @@ def test_long_and_nested_conversion_agree(spark):
     assert sorted(map(tuple, chat.unnest(good).collect())) == sorted(map(tuple, flat.collect()))
 
 
+def test_turns_are_numbered_from_any_order(spark):
+    rows = [(1, 30, "user", "c"), (1, 10, "system", "a"), (2, 7, "user", "d"), (1, 20, "user", "b")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = chat.number_turns(df, ["turn"]).select("conv_id", "turn", "role", "text").collect()
+    assert sorted((r.conv_id, r.turn, r.text) for r in got) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "d")]
+
+
 def test_empty_input_keeps_the_line_break(spark):
     row = chat.from_instructions(one(spark, instruction="'do'", input="''", output="'done'")).first()
     assert [tuple(m) for m in row.conversations] == [("human", "do\n"), ("gpt", "done")]
@@ -459,22 +466,29 @@ def test_path_expansion_equals_brute_force(spark):
     pairs = [("a", "b", 6), ("a", "c", 4), ("b", "a", 5), ("b", "c", 5), ("c", "a", 9), ("c", "b", 1)]
     df = spark.createDataFrame(pairs, "token string, next string, c bigint")
     table = paths.successors(df, 2)
-    got = paths.expand_top_k(table.select("token"), table, 3, 2).filter("root = 'a'").collect()
+    nodes = paths.expand_top_k(table.select("token"), table, 3, 2).filter("root = 'a'")
+    got = nodes.filter("kept").collect()
     total, best = {}, {}
     for t, _, c in pairs:
         total[t] = total.get(t, 0) + c
     for t in total:
         best[t] = sorted([(-c, n) for a, n, c in pairs if a == t])[:2]
-    live, want = [(0.0, (), (), "a")], []
+    live, want, scored = [(0.0, (), (), "a")], [], []
     for depth in (1, 2, 3):
         grown = [
             (score + math.log(-c / total[tail]), ranks + (i,), names + (n,), n)
             for score, ranks, names, tail in live
             for i, (c, n) in enumerate(best[tail])
         ]
+        scored += grown
         live = sorted(grown, key=lambda x: (-round(x[0], 9), x[1]))[:2]
         want += [(depth, i, x[2]) for i, x in enumerate(live)]
     assert sorted((r.depth, r["rank"], tuple(r.tokens)) for r in got) == sorted(want)
+    assert nodes.count() == len(scored) == 2 + 4 + 4
+    best = sorted(scored, key=lambda x: (-round(x[0], 9), len(x[1]), x[1]))[:5]
+    chosen = paths.rerank_top_n(nodes, 5).collect()
+    assert {tuple(r.ranks) for r in chosen} == {x[1] for x in best}
+    assert all(r.depth == 1 or tuple(r.ranks[:-1]) in {x[1] for x in best} for r in chosen)
 
 
 # --- judge ---------------------------------------------------------------------

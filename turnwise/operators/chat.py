@@ -158,6 +158,16 @@ def split_turns(df: DataFrame, text: str = "rendered") -> DataFrame:
 # --- long form -----------------------------------------------------------------
 
 
+def number_turns(messages: DataFrame, order: list[str]) -> DataFrame:
+    """Replace ``turn`` by a gap-free count from 0, for sources that only have an order
+    (a time stamp, or numbers with gaps)."""
+    kept = messages.select("conv_id", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
+                           *[c for c in messages.columns if c not in ("conv_id", "turn")])
+    keys = [f"_o{i}" for i in range(len(order))]
+    numbered = running_sums(kept, ["conv_id"], keys, {"turn": F.lit(1).cast("bigint")})
+    return numbered.drop(*keys)
+
+
 def conversation_heads(messages: DataFrame) -> DataFrame:
     """Number of messages of each conversation, and whether its first one is to be
     dropped because it is not from the user."""

@@ -26,22 +26,25 @@ def successors(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def expand_top_k(roots: DataFrame, table: DataFrame, depth: int, k: int) -> DataFrame:
-    """Grow each root for ``depth`` steps, keeping its best k paths after each step.
-
-    Result: one row per kept node (root, depth, rank, ranks, tokens, score), where
-    ``ranks`` is the path as child ranks and ``score`` the summed log-probability.
-    Each step is written to the shared folder, which cuts the lineage of the loop;
-    a root has at most k paths going in and k * k coming out. ``table`` is read once
-    per step, so pass a stored one.
+    """Grow each root for ``depth`` steps; after each step its best k paths live on.
+
+    Result: one row per node ever scored (root, depth, parent_rank, child_rank, rank,
+    kept, ranks, tokens, score). ``ranks`` is the path as child ranks, ``score`` the
+    summed log-probability, ``rank`` the place among the root's nodes of that depth, and
+    ``kept`` tells whether the node lived on. Each step is written to the shared folder,
+    which cuts the lineage of the loop; a root has at most k paths going in and k * k
+    coming out. ``table`` is read once per step, so pass a stored one.
     """
     table = table.select(F.col("token").alias("tail"), "best")
     live = roots.select(
         F.col("token").alias("root"),
+        F.lit(0).cast("bigint").alias("parent_rank"),
         F.array().cast("array<bigint>").alias("ranks"),
         F.array().cast("array<string>").alias("tokens"),
         F.col("token").alias("tail"),
         F.lit(0.0).alias("score"),
     )
+    by_score = Window.partitionBy("root").orderBy(F.desc(F.round("score", 9)), "ranks")
     levels = None
     for d in range(1, depth + 1):
         # Roots are distinct; later on many paths may end in the same frequent token.
@@ -49,30 +52,34 @@ def expand_top_k(roots: DataFrame, table: DataFrame, depth: int, k: int) -> Data
             found = live.join(table, "tail")
         else:
             found = lookup(live, table, ["tail"], ["root", "ranks"], how="inner")
-        grown = found.select("root", "ranks", "tokens", "score", F.explode("best").alias("b")).select(
+        grown = found.select("root", "parent_rank", "ranks", "tokens", "score", F.explode("best").alias("b")).select(
             "root",
+            F.lit(d).cast("bigint").alias("depth"),
+            "parent_rank",
+            F.col("b.rank").alias("child_rank"),
             F.concat("ranks", F.array("b.rank")).alias("ranks"),
             F.concat("tokens", F.array("b.token")).alias("tokens"),
-            F.col("b.token").alias("tail"),
             (F.col("score") + F.col("b.log_p")).alias("score"),
         )
-        order = [F.desc(F.round("score", 9)), F.col("ranks")]
-        kept = best_per_group(grown, ["root"], order, k).withColumn("depth", F.lit(d).cast("bigint"))
-        kept = written(kept, f"paths-{d}")
-        levels = kept if levels is None else levels.unionByName(kept)
-        live = kept.select("root", "ranks", "tokens", "tail", "score")
-    return levels.select("root", "depth", "rank", "ranks", "tokens", "score")
+        scored = grown.withColumn("rank", (F.row_number().over(by_score) - 1).cast("bigint"))
+        level = written(scored.withColumn("kept", F.col("rank") < k), f"paths-{d}")
+        levels = level if levels is None else levels.unionByName(level)
+        live = level.filter("kept").select(
+            "root", F.col("rank").alias("parent_rank"), "ranks", "tokens", F.element_at("tokens", -1).alias("tail"), "score"
+        )
+    return levels
 
 
 def rerank_top_n(nodes: DataFrame, n: int) -> DataFrame:
-    """The n best nodes of each root over all depths, numbered in creation order.
+    """The n best of all nodes scored for a root, whether or not they lived on, numbered
+    in creation order: by depth, then parent, then child.
 
     A node never scores above its parent, and at equal score the shorter path wins,
-    so every kept node keeps its parent.
+    so every chosen node has its parent with it.
     """
     order = [F.desc(F.round("score", 9)), F.col("depth"), F.col("ranks")]
     best = best_per_group(nodes, ["root"], order, n, "_r").drop("_r")
-    created = Window.partitionBy("root").orderBy("depth", "rank")
+    created = Window.partitionBy("root").orderBy("depth", "parent_rank", "child_rank")
     return best.withColumn("node", F.row_number().over(created).cast("bigint"))
 
 

@@ -71,10 +71,11 @@ def to_messages(df: DataFrame, language) -> DataFrame:
     )
 
 
-def explode_samples(responses: DataFrame, samples: str = "samples") -> DataFrame:
-    """One row per sampled response; the id gets ``_{k}`` when there are several."""
+def explode_samples(responses: DataFrame, samples: str = "samples", n: int | None = None) -> DataFrame:
+    """One row per sampled response. The id gets ``_{k}`` when several samples were asked
+    for: ``n``, or as many as the row holds."""
     rest = [c for c in responses.columns if c not in (samples, "id")]
-    several = F.size(samples) > 1
+    several = F.size(samples) > 1 if n is None else F.lit(n > 1)
     at = responses.select("id", several.alias("_many"), *rest, F.posexplode(samples).alias("k", "response"))
     named = F.when(F.col("_many"), F.concat_ws("_", "id", F.col("k").cast("string"))).otherwise(F.col("id"))
     return at.withColumn("id", named).withColumn("k", F.col("k").cast("bigint")).drop("_many")

@@ -95,21 +95,22 @@ CTES = {
         SELECT token, nxt, r, ln(c / total) AS lp FROM (
           SELECT *, row_number() OVER (PARTITION BY token ORDER BY c DESC, nxt) - 1 AS r FROM z_mass) WHERE r < 4""",
     "z_d1": """
-        SELECT token AS root, [r] AS ranks, [nxt] AS tokens, nxt AS tail, lp AS score, r AS rank, 1 AS depth FROM z_succ""",
+        SELECT token AS root, [r] AS ranks, [nxt] AS tokens, nxt AS tail, lp AS score, r AS rank, 0 AS parent_rank,
+               r AS child_rank, 1 AS depth FROM z_succ""",
     "z_d2": """
-        SELECT * FROM (SELECT root, list_append(ranks, r) AS ranks, list_append(tokens, nxt) AS tokens, nxt AS tail,
-            score + lp AS score,
-            row_number() OVER (PARTITION BY root ORDER BY round(score + lp, 9) DESC, list_append(ranks, r)) - 1 AS rank, 2 AS depth
-          FROM z_d1 JOIN z_succ ON token = tail) WHERE rank < 4""",
+        SELECT root, list_append(ranks, r) AS ranks, list_append(tokens, nxt) AS tokens, nxt AS tail, score + lp AS score,
+            row_number() OVER (PARTITION BY root ORDER BY round(score + lp, 9) DESC, list_append(ranks, r)) - 1 AS rank,
+            z.rank AS parent_rank, r AS child_rank, 2 AS depth
+          FROM z_d1 z JOIN z_succ ON token = tail""",
     "z_d3": """
-        SELECT * FROM (SELECT root, list_append(ranks, r) AS ranks, list_append(tokens, nxt) AS tokens, nxt AS tail,
-            score + lp AS score,
-            row_number() OVER (PARTITION BY root ORDER BY round(score + lp, 9) DESC, list_append(ranks, r)) - 1 AS rank, 3 AS depth
-          FROM z_d2 JOIN z_succ ON token = tail) WHERE rank < 4""",
+        SELECT root, list_append(ranks, r) AS ranks, list_append(tokens, nxt) AS tokens, nxt AS tail, score + lp AS score,
+            row_number() OVER (PARTITION BY root ORDER BY round(score + lp, 9) DESC, list_append(ranks, r)) - 1 AS rank,
+            z.rank AS parent_rank, r AS child_rank, 3 AS depth
+          FROM (SELECT * FROM z_d2 WHERE rank < 4) z JOIN z_succ ON token = tail""",
     "z_nodes": "SELECT * FROM z_d1 UNION ALL SELECT * FROM z_d2 UNION ALL SELECT * FROM z_d3",
     "z_tree": """
         SELECT root, ranks, tokens, depth, score,
-               row_number() OVER (PARTITION BY root ORDER BY depth, rank) AS node
+               row_number() OVER (PARTITION BY root ORDER BY depth, parent_rank, child_rank) AS node
         FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY round(score, 9) DESC, depth, ranks) AS best FROM z_nodes)
         WHERE best <= 6""",
     "z_prefix": """

@@ -393,10 +393,11 @@ def _tree(spark, sf_dir):
 @query(
     "path_expand_topk",
     """SELECT root, CAST(depth AS BIGINT) AS depth, CAST(rank AS BIGINT) AS rank, array_to_string(ranks, ' ') AS ranks,
-              array_to_string(tokens, ' ') AS tokens, round(score, 6) AS score FROM z_nodes""",
+              array_to_string(tokens, ' ') AS tokens, round(score, 6) AS score FROM z_nodes WHERE rank < 4""",
 )
 def path_expand_topk(spark, sf_dir):
-    return rounded(fx.path_nodes(spark, sf_dir).transform(_text("ranks", "tokens")), "score")
+    live = fx.path_nodes(spark, sf_dir).filter("kept").select("root", "depth", "rank", "ranks", "tokens", "score")
+    return rounded(live.transform(_text("ranks", "tokens")), "score")
 
 
 @query(
