@@ -65,10 +65,18 @@ def speed_totals(speeds: DataFrame) -> DataFrame:
 
 
 def speed_by_question(speeds: DataFrame, draft: str, baseline: str) -> DataFrame:
-    """Both models side by side on the questions that both answered."""
-    a = speeds.filter(F.col("model_id") == draft).select("question_id", F.col("rate").alias("draft_rate"))
-    b = speeds.filter(F.col("model_id") == baseline).select("question_id", F.col("rate").alias("baseline_rate"))
-    return a.join(b, "question_id").withColumn("ratio", F.try_divide("draft_rate", "baseline_rate"))
+    """Both models side by side on the questions that both answered. A question has one
+    row per model, so grouping by question needs no second pass over the log."""
+
+    def rate_of(model):
+        return F.max(F.when(F.col("model_id") == model, F.struct("rate")))
+
+    both = speeds.filter(F.col("model_id").isin(draft, baseline)).groupBy("question_id").agg(
+        rate_of(draft).alias("d"), rate_of(baseline).alias("b")
+    )
+    return both.filter("d is not null and b is not null").select(
+        "question_id", F.col("d.rate").alias("draft_rate"), F.col("b.rate").alias("baseline_rate")
+    ).withColumn("ratio", F.try_divide("draft_rate", "baseline_rate"))
 
 
 def compression_ratio(turns: DataFrame, by: Sequence[str] = ("model_id",)) -> DataFrame:

@@ -71,7 +71,7 @@ def ans_explode_turns(spark, sf_dir):
 
 @query(
     "ans_explode_choices",
-    """SELECT model_id, question_id, answer_id, tstamp, index, t, CASE index WHEN 0 THEN text ELSE '> ' || text END AS text
+    """SELECT model_id, question_id, answer_id, tstamp, index::BIGINT AS index, t, CASE index WHEN 0 THEN text ELSE '> ' || text END AS text
        FROM (SELECT *, unnest(CASE model_id WHEN 'draft' THEN [0, 1] ELSE [0] END) AS index FROM z_log)""",
 )
 def ans_explode_choices(spark, sf_dir):
@@ -253,10 +253,12 @@ def compression_ratio(spark, sf_dir):
        JOIN conversations u ON u.conv_id = s.conv_id AND u.turn = s.turn - 1""",
 )
 def join_question_answer(spark, sf_dir):
-    rows = fx.judge_rows(spark, sf_dir).select("question_id", F.posexplode("q").alias("t", "question"))
-    log = turns_of(fx.latest(spark, sf_dir)).select("question_id", "model_id", "t", F.col("text").alias("answer"))
-    both = A.join_questions(rows.withColumnRenamed("t", "_t"), log)
-    return both.filter("t = _t").drop("_t")
+    log = A.first_choice(fx.latest(spark, sf_dir)).select("question_id", "model_id", F.col("choice.turns").alias("answers"))
+    both = A.join_questions(fx.questions(spark, sf_dir), log)
+    turns = F.arrays_zip(F.col("q").alias("question"), F.col("answers").alias("answer"))
+    return both.select("question_id", "model_id", F.posexplode(turns).alias("t", "e")).select(
+        "question_id", "model_id", F.col("t").cast("bigint").alias("t"), "e.question", "e.answer"
+    )
 
 
 # --- judge ---------------------------------------------------------------------

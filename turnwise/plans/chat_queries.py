@@ -24,7 +24,7 @@ def piece(role: str, text: str) -> str:
 
 ROLE = "CASE speaker WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE 'system' END"
 DOC_CHAT = (
-    "SELECT CAST(doc_id AS VARCHAR) AS id, 0 AS j, 'human' AS speaker, instruction || chr(10) || input AS value FROM z_doc "
+    "SELECT CAST(doc_id AS VARCHAR) AS id, 0::BIGINT AS j, 'human' AS speaker, instruction || chr(10) || input AS value FROM z_doc "
     "UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, 'gpt', output FROM z_doc"
 )
 
@@ -200,7 +200,7 @@ def prompt_default_id(spark, sf_dir):
 
 @query(
     "prompt_system_by_language",
-    f"""SELECT doc_id, 0 AS j, 'system' AS role, CASE WHEN lang = 'en' THEN {sql_text(prompts.SYSTEM_MESSAGES['english'])}
+    f"""SELECT doc_id, 0::BIGINT AS j, 'system' AS role, CASE WHEN lang = 'en' THEN {sql_text(prompts.SYSTEM_MESSAGES['english'])}
           ELSE {sql_text(prompts.SYSTEM_MESSAGES['chinese'])} END AS content FROM documents
         UNION ALL SELECT doc_id, 1, 'user', text FROM documents""",
 )
@@ -216,7 +216,7 @@ def prompt_system_by_language(spark, sf_dir):
 
 
 RESPONSES = """SELECT 'doc-' || doc_id || '_' || k AS id, k, r AS response FROM (
-    SELECT doc_id, 0 AS k, '  ' || input || chr(10) AS r FROM z_doc
+    SELECT doc_id, 0::BIGINT AS k, '  ' || input || chr(10) AS r FROM z_doc
     UNION ALL SELECT doc_id, 1, CASE WHEN doc_id % 4 = 0 THEN ' ' || chr(10) || ' ' ELSE output END FROM z_doc)"""
 TRIMMED = f"SELECT id, k, regexp_replace(response, '^\\s+|\\s+$', '', 'g') AS response FROM ({RESPONSES})"
 
@@ -243,7 +243,7 @@ def join_prompt_response(spark, sf_dir):
 
 @query(
     "resp_to_conversation",
-    f"""SELECT r.id || '_' || (1000 + ('0x' || substr(md5(r.id), 1, 8))::BIGINT % 9000) AS id, m.j AS j, m.speaker AS speaker, m.value AS value
+    f"""SELECT r.id || '_' || (1000 + ('0x' || substr(md5(r.id), 1, 8))::BIGINT % 9000) AS id, m.j::BIGINT AS j, m.speaker AS speaker, m.value AS value
         FROM (SELECT r.id, unnest([{{'j': 0, 'speaker': 'human', 'value': d.instruction}}, {{'j': 1, 'speaker': 'gpt', 'value': r.response}}]) AS m
               FROM ({TRIMMED}) r JOIN z_doc d ON 'doc-' || d.doc_id || '_' || r.k = r.id WHERE response <> '') r""",
 )
@@ -298,7 +298,7 @@ def chat_render(spark, sf_dir):
 
 @query(
     "chat_split_turns",
-    f"""SELECT CAST(doc_id AS VARCHAR) AS id, 0 AS round, '{OPEN_}user' || chr(10) || instruction || chr(10) || input AS asked,
+    f"""SELECT CAST(doc_id AS VARCHAR) AS id, 0::BIGINT AS round, '{OPEN_}user' || chr(10) || instruction || chr(10) || input AS asked,
                output || '{CLOSE_} AS answered FROM z_doc""",
 )
 def chat_split_turns(spark, sf_dir):

@@ -205,27 +205,31 @@ def latest(spark, sf_dir) -> DataFrame:
     return dedup_last(answers(spark, sf_dir))
 
 
-def judge_rows(spark, sf_dir) -> DataFrame:
-    """One row per question: the questions asked, both models' answers, and the keys by
-    which a template is chosen."""
+def questions(spark, sf_dir) -> DataFrame:
+    """(question_id, conv_id, q): the user texts of each question, one per answer."""
     said = messages(spark, sf_dir)
     asked = said.filter("role = 'user'").select(
         "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("asked")
     )
     heard = said.filter("role = 'assistant'").select("conv_id", "turn", question_id().alias("question_id"))
     both = heard.join(asked, ["conv_id", "turn"], "left")
-    questions = both.groupBy("question_id", "conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", F.coalesce("asked", F.lit("")).alias("asked")))).alias("q")
-    )
+    return both.groupBy("question_id", "conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", F.coalesce("asked", F.lit("")).alias("asked")))).alias("s")
+    ).select("question_id", "conv_id", F.col("s.asked").alias("q"))
+
+
+def judge_rows(spark, sf_dir) -> DataFrame:
+    """One row per question: the questions asked, both models' answers, and the keys by
+    which a template is chosen."""
     log = latest(spark, sf_dir).select("question_id", "model_id", F.get("choices", F.lit(0))["turns"].alias("turns"))
     a = log.filter("model_id = 'base'").select("question_id", F.col("turns").alias("a"))
     b = log.filter("model_id = 'draft'").select("question_id", F.col("turns").alias("b"))
-    return questions.join(a, "question_id").join(b, "question_id").select(
+    return questions(spark, sf_dir).join(a, "question_id").join(b, "question_id").select(
         "question_id",
         F.lit("pairwise").alias("type"),
         F.when(F.pmod("conv_id", F.lit(3)) == 0, "math").otherwise("general").alias("category"),
         (F.size("q") > 1).alias("multi_turn"),
-        F.col("q.asked").alias("q"),
+        "q",
         "a",
         "b",
     )
