@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnwise.session import written
 
-HOT_KEYS = 1000
+HOT_KEYS = 10_000
 _LOW33 = (1 << 33) - 1
 
 
@@ -109,9 +109,10 @@ def lookup(
     The ``HOT_KEYS`` most frequent keys are joined by broadcast, which is at most
     that many rows whatever the input size; all others own less than one in
     ``HOT_KEYS`` of the rows and are joined by shuffle. ``weight`` names a column of
-    ``table`` that holds how often the key occurs in ``fact``; without it the keys
-    are counted. ``spread`` are columns that vary inside a hot key; they scatter
-    the rows already served so that these do not meet again in the shuffle.
+    ``table`` that holds how often the key occurs in ``fact``; without it the keys are
+    counted in a pass of their own, so ``fact`` should then be a stored table.
+    ``spread`` are columns that vary inside a hot key; they scatter the rows already
+    served so that these do not meet again in the shuffle.
     """
     key = list(key)
     # Null keys are dropped and the weight travels along unused, so that both uses of
