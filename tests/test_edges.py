@@ -43,7 +43,7 @@ def test_cut_after_eos(spark, ids, want):
 
 
 def test_special_tokens_and_all_white_space_go(spark):
-    row = one(spark, t="concat('\\t<s> a <s>b </s>\\n', char(160))")
+    row = one(spark, t="concat('\\t<s> a <s>b </s>\\n', char(160), char(133), char(28))")
     assert row.select(C.strip_special("t", ["<s>", "</s>"]).alias("r")).first().r == "a b"
 
 

@@ -27,7 +27,8 @@ def uniform(*parts) -> Column:
 
 def strip(text) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    space = r"[\s\p{Z}\x1c-\x1f\x85]+"
+    return F.regexp_replace(text, f"^{space}|{space}$", "")
 
 
 # --- cutting generated answers -------------------------------------------------

@@ -121,6 +121,8 @@ def lookup(
         table = table.filter(F.col(k).isNotNull())
     carried = [c for c in table.columns if c not in key]
     payload = [c for c in carried if c != weight]
+    if clash := set(payload) & set(fact.columns):
+        raise ValueError(f"both sides have {sorted(clash)}")
     if weight is None:
         counts = fact.groupBy(*key).agg(F.count("*").alias("_n"))
         hot_keys = counts.orderBy(F.desc("_n"), *key).limit(HOT_KEYS).select(*key)

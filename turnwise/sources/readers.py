@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnwise.functions.columns import strip
 from turnwise.operators.sharding import positional_slice
 from turnwise.sources import schemas
 
@@ -44,7 +45,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_prompts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(prompts, rejects) from JSON lines: blank lines are skipped, lines that are not
     JSON become reject rows with their line number."""
-    lines = numbered_lines(spark, path).filter(F.regexp_replace("line", r"\s+", "") != "")
+    lines = numbered_lines(spark, path).withColumn("line", strip("line")).filter("line <> ''")
     parsed = F.try_parse_json("line")
     good = lines.filter(parsed.isNotNull()).select(
         "file", "line_no", "line", F.get_json_object("line", "$.id").alias("id")
