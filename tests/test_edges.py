@@ -491,6 +491,19 @@ def test_path_expansion_equals_brute_force(spark):
     assert all(r.depth == 1 or tuple(r.ranks[:-1]) in {x[1] for x in best} for r in chosen)
 
 
+@pytest.mark.parametrize("steps", [1, 2, 3, 5, 8])
+def test_greedy_chains_equal_following_one_by_one(spark, steps):
+    follow = {"a": "b", "b": "c", "c": "a", "d": "x", "e": "d", "f": "f"}
+    df = spark.createDataFrame([(t, n, 2) for t, n in follow.items()] + [("a", "z", 1)], "token string, next string, c bigint")
+    got = {r.token: r.chain for r in paths.greedy_chains(paths.successors(df, 2), steps).collect()}
+    for token in follow:
+        want, at = [], token
+        while at in follow and len(want) < steps:
+            at = follow[at]
+            want.append(at)
+        assert got[token] == want
+
+
 # --- judge ---------------------------------------------------------------------
 
 

@@ -70,6 +70,26 @@ def expand_top_k(roots: DataFrame, table: DataFrame, depth: int, k: int) -> Data
     return levels
 
 
+def greedy_chains(table: DataFrame, steps: int) -> DataFrame:
+    """(token, chain): the best next token applied up to ``steps`` times; a chain ends early
+    at a token without successors.
+
+    A chain of 2m is a chain of m followed by the chain of m of its last token, so
+    the length doubles with every pass. ``table`` is a stored successor table.
+    """
+    first = F.get("best", F.lit(0))["token"]
+    chains = table.select("token", F.array(first).alias("chain"))
+    reached = 1
+    while reached < steps:
+        more = chains.select(F.col("token").alias("tail"), F.col("chain").alias("more"))
+        ends = chains.withColumn("tail", F.element_at("chain", -1))
+        joined = lookup(ends, more, ["tail"], ["token"])
+        longer = F.concat("chain", F.coalesce("more", F.array().cast("array<string>")))
+        reached *= 2
+        chains = written(joined.select("token", F.slice(longer, 1, steps).alias("chain")), f"chains-{reached}")
+    return chains
+
+
 def rerank_top_n(nodes: DataFrame, n: int) -> DataFrame:
     """The n best of all nodes scored for a root, whether or not they lived on, numbered
     in creation order: by depth, then parent, then child.

@@ -336,12 +336,8 @@ def train_successors(spark, sf_dir, k: int) -> DataFrame:
 
 
 def chains(firsts: DataFrame, steps: int) -> DataFrame:
-    """(token, chain, total): the best prediction applied up to ``steps`` times.
-    ``firsts`` is a successor table; its first entry is the best prediction."""
-    best = firsts.withColumn("best", F.slice("best", 1, 1))
-    nodes = paths.expand_top_k(best.select("token"), best, steps, 1)
-    longest = nodes.groupBy(F.col("root").alias("token")).agg(F.max_by("tokens", "depth").alias("chain"))
-    return longest.join(firsts.select("token", "total"), "token")
+    """(token, chain, total): greedy chains and how often their first token occurs."""
+    return paths.greedy_chains(firsts, steps).join(firsts.select("token", "total"), "token")
 
 
 def chain_log(spark, sf_dir, steps: int = 5) -> DataFrame:
