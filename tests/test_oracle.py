@@ -14,7 +14,7 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("key", sorted(queries()))
+@pytest.mark.parametrize("key", sorted(SQL))
 def test_query_equals_sql(spark, con, key):
     assert difference(spark, con, SF_DIR, queries()[key], SQL[key]) is None
 
