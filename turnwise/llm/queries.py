@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import packing, warc
+from turnwise.llm import packing, simhash, warc
 from turnwise.llm.common import table
 from turnwise.session import scratch_path
 
@@ -59,3 +59,11 @@ def op3_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), path).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
+
+
+@_query("op7_simhash")
+def op7_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
