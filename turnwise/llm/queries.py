@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import decontam, packing, simhash, warc
+from turnwise.llm import decontam, packing, secret_scan, simhash, warc
 from turnwise.llm.common import table
 from turnwise.session import scratch_path
 
@@ -100,3 +100,22 @@ def op4_decontamination(spark, sf_dir):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@_query("op2_secrets")
+def op2_secrets(spark, sf_dir):
+    def listed(spans):
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ","
+        )
+
+    def number(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    found = secret_scan.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[number(kind) for kind in ("assign", "access", "hex")],
+        F.sha2(listed("base"), 256).alias("base_sha256"),
+        listed("spans").alias("spans"),
+    )
