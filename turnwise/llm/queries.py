@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import decontam, packing, secret_scan, simhash, warc
+from turnwise.llm import decontam, packing, secret_scan, simhash, toxicity, warc
 from turnwise.llm.common import table
 from turnwise.session import scratch_path
 
@@ -119,3 +119,16 @@ def op2_secrets(spark, sf_dir):
         F.sha2(listed("base"), 256).alias("base_sha256"),
         listed("spans").alias("spans"),
     )
+
+
+@_query("op10_toxicity")
+def op10_toxicity(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.learn(documents, table(spark, sf_dir, "labels"))
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return toxicity.score(documents.select("doc_id", "text"), model).select(
+        "doc_id",
+        F.coalesce(F.pmod(crc, F.lit(4)) == 2, F.lit(False)).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        F.col("toxic").cast("int").alias("predicted"),
+    )
