@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import decontam, packing, secret_scan, simhash, toxicity, warc
+from turnwise.llm import decontam, lm_score, packing, secret_scan, simhash, toxicity, warc
 from turnwise.llm.common import table
 from turnwise.session import scratch_path
 
@@ -132,3 +132,8 @@ def op10_toxicity(spark, sf_dir):
         F.col("toxicity").alias("score"),
         F.col("toxic").cast("int").alias("predicted"),
     )
+
+
+@_query("op6_lm_score")
+def op6_lm_score(spark, sf_dir):
+    return lm_score.score(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
