@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import decontam, lm_score, packing, secret_scan, simhash, toxicity, warc
+from turnwise.llm import decontam, fingerprints, lm_score, packing, quality, secret_scan, simhash, toxicity, warc
 from turnwise.llm.common import table
 from turnwise.session import scratch_path
 
@@ -137,3 +137,14 @@ def op10_toxicity(spark, sf_dir):
 @_query("op6_lm_score")
 def op6_lm_score(spark, sf_dir):
     return lm_score.score(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@_query("op8_fingerprints")
+def op8_fingerprints(spark, sf_dir):
+    found = fingerprints.with_neighbours(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
+@_query("op9_quality")
+def op9_quality(spark, sf_dir):
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
