@@ -48,7 +48,8 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     def filled(b: Column) -> Column:
         own = F.filter(values, lambda v: _bin(v) == b)
         drawn = F.array_min(F.transform(values, lambda v: F.struct(F.xxhash64(b, _bin(v)).alias("r"), v.alias("v"))))
-        return F.when(F.size(own) > 0, F.get(own, 0)).otherwise(drawn["v"])
+        # A borrowed value is hashed with its new bin: else bins that share a source would agree by chance together.
+        return F.when(F.size(own) > 0, F.get(own, 0)).otherwise(F.xxhash64(drawn["v"], b))
 
     every = F.when(F.size(m) == BINS, values).otherwise(
         F.transform(F.sequence(F.lit(_FIRST_BIN), F.lit(_FIRST_BIN + BINS - 1)), filled)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import decontam, fingerprints, lm_score, packing, quality, secret_scan, simhash, toxicity, warc
+from turnwise.llm import decontam, fingerprints, line_dedup, lm_score, packing, quality, secret_scan, simhash, toxicity, warc
 from turnwise.llm.common import table
 from turnwise.session import scratch_path
 
@@ -148,3 +148,8 @@ def op8_fingerprints(spark, sf_dir):
 @_query("op9_quality")
 def op9_quality(spark, sf_dir):
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op5_line_dedup")
+def op5_line_dedup(spark, sf_dir):
+    return line_dedup.classes(table(spark, sf_dir, "documents")).drop("text_key")
