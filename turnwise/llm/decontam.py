@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import in_chunks
+from turnwise.llm.common import in_chunks, small
 from turnwise.session import written
 
 WINDOW = 13
@@ -246,3 +246,11 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW,
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def clean(documents: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
+    """``documents`` without the contaminated rows; each row is judged by its own text."""
+    key = F.xxhash64("doc_id", "text")
+    found = contamination(documents.select(key.alias("doc_id"), "text"), items, window, share)
+    bad = written(found.filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
+    return documents.join(small(bad), key == F.col("_bad"), "left_anti")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.llm import decontam, fingerprints, line_dedup, lm_score, packing, quality, secret_scan, simhash, toxicity, warc
-from turnwise.llm.common import table
+from turnwise.llm.common import ship, table, tokenizer_path
 from turnwise.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,7 +18,12 @@ ORACLES: dict[str, str] = {}
 
 def _query(key: str, sql: str | None = None):
     def register(fn):
-        QUERIES[key] = fn
+        @wraps(fn)
+        def run(spark, sf_dir):
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[key] = run
         if sql is not None:
             ORACLES[key] = sql
         return fn
@@ -47,12 +53,6 @@ def op1_warc(spark, sf_dir):
     )
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @_query("op3_packing")
 def op3_packing(spark, sf_dir):
     path = tokenizer_path("word_bpe_49k.json")

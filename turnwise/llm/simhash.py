@@ -244,3 +244,17 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, bits: int = 4) -> Da
     return prints.join(rooted.join(named, "root").select("fingerprint", "component_id"), "fingerprint").select(
         "doc_id", "fingerprint", "component_id"
     )
+
+
+def one_per_group(documents: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
+    """``documents`` without those that have a near-duplicate of smaller doc_id in their group.
+
+    Rows that repeat a doc_id and text are one row afterwards. Rows without a doc_id cannot be
+    told from each other and stay.
+    """
+    found = near_duplicates(documents, shingle, bits)
+    later = found.filter("doc_id is not null and doc_id <> component_id")
+    gone = written(later.select(F.col("doc_id").alias("_gone")).distinct(), "near-duplicates")
+    left = documents.join(small(gone), documents["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    sizes = documents.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
+    return left if sizes[0] == sizes[1] else left.dropDuplicates(["doc_id", "text"])

@@ -386,3 +386,10 @@ def score(documents: DataFrame, model: Model, threshold: float = TOXIC) -> DataF
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, f"{schema}, toxicity double, toxic boolean")
+
+
+def acceptable(documents: DataFrame, labels: DataFrame, threshold: float = TOXIC) -> DataFrame:
+    """``documents`` without those that a model fitted on them and ``labels`` calls toxic."""
+    model = learn(documents, labels)
+    judged = score(documents.select(F.struct("*").alias("_row"), "text"), model, threshold)
+    return judged.filter("not toxic").select("_row.*")
