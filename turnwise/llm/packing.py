@@ -35,7 +35,7 @@ REMEMBERED = 400_000
 #: Marks that are a token run of their own after a letter or digit.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Fixed: how the vocabulary file splits a chunk without white space into words.
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 _PIECES = [
     ("doc_id", pa.int64()),
     ("piece", pa.int32()),
@@ -90,7 +90,8 @@ class WordIds:
         for chunk in missing:
             word = chunk.decode()
             stem = word.rstrip(_MARKS)
-            if stem and len(stem) < len(word) and (stem[-1].isalpha() or stem[-1].isdigit()):
+            last = stem[-1:].lower()
+            if len(stem) < len(word) and len(last) == 1 and (last.isalpha() or last.isdigit()):
                 parted.append((chunk, stem.encode(), word[len(stem) :].encode()))
                 whole.update(parted[-1][1:])
             else:
@@ -100,13 +101,16 @@ class WordIds:
             self.known[chunk] = self.known[stem] + self.known[marks]
 
     def _encode(self, words: list[str], at_once: int = 500) -> None:
+        sizes = {w: self._parts(w) for w in words}
+        self.known.update((w.encode(), b"") for w in words if not sizes[w])  # white space beyond ASCII
+        words = [w for w in words if sizes[w]]
         groups = [words[i : i + at_once] for i in range(0, len(words), at_once)]
         joined = [" ".join(g) for g in groups]
         for group, found in zip(
             groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True
         ):
             ids = np.array(found.ids, "<u4")
-            parts = np.cumsum([self._parts(w) for w in group])
+            parts = np.cumsum([sizes[w] for w in group])
             last = np.flatnonzero(self.ends[ids])
             if len(last) != parts[-1]:
                 for word in group:
@@ -117,9 +121,10 @@ class WordIds:
                 self.known[word.encode()] = ids[a:b].tobytes()
 
     def _parts(self, word: str) -> int:
-        if word.isalpha():
+        low = word.lower()
+        if low.isalpha():
             return 1
-        return len(self.split.findall(unicodedata.normalize("NFC", word).lower()))
+        return len(self.split.findall(unicodedata.normalize("NFC", low)))
 
 
 def tokenize(
