@@ -57,7 +57,7 @@ def difference(spark, con, sf_dir, fn, sql) -> str | None:
 
 def main(argv):
     from __spark_entry__ import oracle_sql, queries
-    from turnwise.session import local_session
+    from turnwise.session import local_session, release
 
     sf_dir, only = argv[0], argv[1:]
     spark = local_session("8")
@@ -77,6 +77,7 @@ def main(argv):
         except Exception as failure:  # noqa: BLE001
             said = f"FAILED {type(failure).__name__}: {str(failure)[:600]}"
         bad += said is not None
+        release(spark)
         print(f"{'ok ' if said is None else 'BAD'} {key} {time.time() - began:.1f}s {said or ''}", flush=True)
     print(f"{bad} differ")
     return bad

@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from turnwise.functions import columns as C
-from turnwise.operators import answers, chat, dist, judge, metrics, paths, prompts, sharding, tokens, vocab
+from turnwise.operators import answers, chat, dist, features, judge, metrics, paths, prompts, sharding, tokens, vocab
 from turnwise.sources import readers, schemas, writers
 
 
@@ -287,17 +287,22 @@ def talk(spark, rows):
     return spark.createDataFrame(rows, "conv_id bigint, j bigint, speaker string, value string")
 
 
-def test_sequences_truncate_mask_shift_and_pad(spark):
-    rows = talk(spark, [(1, 0, "human", "a b"), (1, 1, "gpt", " ".join(["c"] * 3000)), (2, 0, "gpt", "x y")])
+def test_sequences_window_mask_shift_and_pad(spark):
+    rows = talk(spark, [(1, 0, "human", "a b"), (1, 1, "gpt", " ".join(["c"] * 4998)), (2, 0, "gpt", "x y")])
     full = tokens.vocabulary(tokens.token_counts(rows))
     seqs = tokens.sequences(rows, full)
+    found = seqs.collect()
+    windows = {r.window: r for r in found if r.conv_id == 1}
+    assert [len(windows[w].input_ids) for w in range(3)] == [2048, 2048, 904]  # none of 5,000 is lost
+    assert windows[0].loss_mask[:3] == [0, 0, 1] and windows[1].loss_mask[:2] == [0, 1]
+    assert tokens.truncated(tokens.sequence_tokens(rows, 100)).groupBy("conv_id").count().orderBy("conv_id").collect()[0][1] == 100
+    seqs = seqs.filter("window = 0")
     by = {r.conv_id: r for r in seqs.collect()}
-    assert len(by[1].input_ids) == 2048 and by[1].loss_mask[:3] == [0, 0, 1]
     assert by[2].loss_mask == [0, 1]
     shifted = {r.conv_id: r.target for r in tokens.with_targets(seqs).collect()}
     assert shifted[2] == [by[2].input_ids[1], 0]
     assert {r.conv_id: r.loss_mask for r in tokens.mask_last(seqs).collect()}[2] == [0, 0]
-    padded = {r.conv_id: r for r in tokens.pad_batches(seqs, ["conv_id"], 2).collect()}
+    padded = {r.conv_id: r for r in tokens.pad_batches(seqs, ["conv_id", "window"], 2).collect()}
     assert len(padded[2].input_ids) == 2048 and sum(padded[2].attention_mask) == 2
 
 
@@ -328,26 +333,109 @@ def test_vocabulary_ties_coverage_and_round_trip(spark):
 def test_stored_vocabulary_follows_its_input(spark, tmp_path):
     calls = []
 
-    def table(text, n=2):
-        full = tokens.vocabulary(tokens.token_counts(talk(spark, [(1, 0, "human", "q"), (1, 1, "gpt", text)])))
-        freq = vocab.target_frequency(full)
+    def rows_of(text, n=2, asked="q"):
+        full = tokens.vocabulary(tokens.token_counts(talk(spark, [(1, 0, "human", asked), (1, 1, "gpt", text)])))
 
         def build():
             calls.append(text)
-            return vocab.draft_map(vocab.top_n(freq, n), full)
+            return vocab.draft_map(vocab.top_n(vocab.target_frequency(full), n), full)
+
+        return vocab.saved_table(full, build, n, str(tmp_path)).collect()
 
-        return sorted(r.token for r in vocab.saved_table(freq, build, n, str(tmp_path)).collect())
+    def table(text, n=2):
+        return sorted(r.token for r in rows_of(text, n))
 
     assert table("a a b") == table("a a b") == ["a", "b"]
     assert table("a c c") == ["a", "c"]
     assert table("a a b", 1) == ["a"]
     assert calls == ["a a b", "a c c", "a a b"]
+    # The same answers after another question: other ids, so another table.
+    assert [r.token_id for r in rows_of("m n n")] != [r.token_id for r in rows_of("m n n", asked="a b")]
 
 
 def test_own_tokenizer_runs_in_batches(spark):
-    rows = talk(spark, [(1, 0, "human", "abc")])
-    out = tokens.tokenize_with(rows, lambda texts: [[ord(c) for c in t] for t in texts]).first()
-    assert out.input_ids == [97, 98, 99]
+    rows = talk(spark, [(1, 0, "human", "abc"), (2, 0, "human", None)])
+    out = tokens.tokenize_with(rows, lambda texts: [[ord(c) for c in t] for t in texts], "ids", "array<bigint>")
+    found = {r.conv_id: r for r in out.collect()}
+    assert found[1].ids == [97, 98, 99] and found[1].value == "abc" and found[2].ids == []
+
+
+def test_own_tokenizer_through_vocabulary_and_batches(spark):
+    """Letters as tokens, text keys instead of numbers."""
+    rows = spark.createDataFrame(
+        [("x", 0, "human", "ab"), ("x", 1, "gpt", "bba"), ("y", 0, "human", "c")],
+        "conv_id string, j bigint, speaker string, value string",
+    )
+    cut = tokens.tokenize_with(rows, lambda texts: [list(t) for t in texts])
+    full = tokens.vocabulary(tokens.token_counts(cut, "tokens"))
+    assert [r.token for r in full.orderBy("token_id").collect()] == ["a", "b", "c"]
+    mapping = vocab.draft_map(vocab.top_n(vocab.target_frequency(full), 1), full)
+    assert [(r.draft_id, r.token, r.token_id) for r in mapping.collect()] == [(0, "b", 1)]
+    seqs = tokens.sequences(cut, full, tokens="tokens")
+    padded = {r.conv_id: r for r in tokens.pad_batches(seqs, ["conv_id", "window"], 2).collect()}
+    assert padded["x"].input_ids == [0, 1, 1, 1, 0] and padded["y"].input_ids == [2, 0, 0, 0, 0]
+
+
+def test_feature_records(spark):
+    rows = spark.createDataFrame(
+        [(1, [[1.0, 2.0], [3.0, 4.0]], [5, 6]), (2, [[7.0, 8.0]], [9])],
+        "vec_id bigint, hidden_state array<array<float>>, input_ids array<int>",
+    )
+    wide = rows.select("vec_id", features.concat_layers("hidden_state", "hidden_state", "hidden_state").alias("a"))
+    assert {r.vec_id: r.a for r in wide.collect()}[1] == [[1.0, 2.0] * 3, [3.0, 4.0] * 3]
+    target = {r.vec_id: r.t for r in rows.select("vec_id", features.next_states("hidden_state").alias("t")).collect()}
+    assert target == {1: [[3.0, 4.0], [0.0, 0.0]], 2: [[0.0, 0.0]]}
+    padded = {r.vec_id: r for r in tokens.pad_batches(rows, ["vec_id"], 2, "hidden_state").collect()}
+    assert padded[2].hidden_state == [[7.0, 8.0], [0.0, 0.0]] and padded[2].input_ids == [9, 0]
+    for noisy in (features.noise_uniform(rows, "hidden_state", "vec_id"), features.noise_gaussian(rows, "hidden_state", "vec_id")):
+        assert [len(v) for r in noisy.collect() for v in r.hidden_state] == [2, 2, 2]
+
+
+def test_unknown_speakers_stop_the_rendering(spark):
+    rows = talk(spark, [(1, 0, "human", "a"), (1, 1, "tool", "b")])
+    with pytest.raises(PySparkException):
+        chat.render(rows).collect()
+    nested = spark.createDataFrame([([("tool", "x")],)], "conversations array<struct<from:string,value:string>>")
+    with pytest.raises(PySparkException):
+        nested.select(chat.render_nested()).collect()
+
+
+def test_strict_validation_gives_empty_rejects(spark):
+    good = talk(spark, [(1, 0, "human", "a"), (1, 1, "gpt", "b")])
+    rows, rejects = chat.split_valid(good, strict=True)
+    assert rows.count() == 2 and rejects.count() == 0
+    assert rejects.columns == chat.split_valid(good)[1].columns
+
+
+def test_generated_schema_may_hold_commas(spark):
+    asked = spark.createDataFrame([("a", "x")], "id string, prompt string")
+
+    def model(frame):
+        return frame.assign(out=[{"a": 1, "b": 2}] * len(frame), error=None)[["id", "out", "error"]]
+
+    found = prompts.generate(asked, model, "id string, out struct<a:int,b:int>, error string").first()
+    assert (found.out.a, found.out.b) == (1, 2)
+
+
+def test_summary_counts_batches_once(spark):
+    rows = [(b, p, 1.0 * b, 2.0, not (b == 2 and p == "p1")) for b in range(3) for p in ("p0", "p1", "p2")]
+    log = spark.createDataFrame(rows, "batch bigint, position string, acc double, loss double, ok boolean")
+    one = metrics.summary(log, 2, "test").first()
+    assert (one.successful_batches, one.total_batches, one.total_samples) == (2, 3, 4)
+    assert [(r.position, r.accuracy.mean) for r in one.results] == [("p0", 0.5), ("p1", 0.5), ("p2", 0.5)]
+
+
+def test_unlisted_configurations_take_no_part(spark):
+    df = spark.createDataFrame([(40, 100.0), (99, 500.0), (41, 1.0)], "config bigint, seconds double")
+    assert metrics.best_config(df, {40: 1.0, 41: 0.0}).first() == (40, 100.0)
+
+
+def test_chain_epochs_take_batches_before_untried_steps_drop_out(spark):
+    rows = [(1, [1], [0]), (2, [1], [1]), (3, [0], [1])]
+    log = spark.createDataFrame(rows, "b bigint, hits array<int>, masks array<int>")
+    worker = F.lit(0)
+    assert metrics.chain_epoch_accuracy(log, worker, ["b"], 1).first().accuracy == 0.5
+    assert metrics.chain_epoch_accuracy(log, worker, ["b"], 1, 2).first().accuracy == 1.0
 
 
 # --- metrics -------------------------------------------------------------------
@@ -439,10 +527,6 @@ def test_tree_relations(spark):
     tree = paths.prefix_tree(df)
     got = {tuple(r.prefix): (r.node, r.depth, r.parent) for r in tree.collect()}
     assert got == {(0,): (1, 1, 0), (1,): (2, 1, 0), (0, 0): (3, 2, 1), (0, 1): (4, 2, 1), (0, 0, 0): (5, 3, 3)}
-    sees = sorted((r.node, r.sees) for r in paths.ancestors(tree).collect() if r.node == 5)
-    assert sees == [(5, 0), (5, 1), (5, 3), (5, 5)]
-    ends = [r.path for r in paths.leaves(tree).orderBy("leaf").collect()]
-    assert ends == [[0, 1, 3, 5], [0, 1, 4, -1], [0, 2, -1, -1]]
 
 
 @pytest.mark.parametrize(

@@ -99,8 +99,12 @@ def test_sequences_of_a_conversation_with_a_third_of_all_messages(spark):
         for w in text.split():
             seq = want.setdefault(conv, [])
             seq.append((ids[w], int(who == "gpt" and len(seq) > 0)))
-    got = {r.conv_id: list(zip(r.input_ids, r.loss_mask)) for r in tokens.sequences(talk, full, 700).collect()}
-    assert got == {conv: seq[:700] for conv, seq in want.items()}
+    got = {(r.conv_id, r.window): list(zip(r.input_ids, r.loss_mask)) for r in tokens.sequences(talk, full, 700).collect()}
+    assert got == {
+        (conv, at // 700): [(t, m if i else 0) for i, (t, m) in enumerate(seq[at : at + 700])]
+        for conv, seq in want.items()
+        for at in range(0, len(seq), 700)
+    }
     spans = chat.contexts(talk).agg(F.count("*").alias("n"), F.max("context_turns").alias("m")).first()
     assert (spans.n, spans.m) == (450 + 900, 898)
 

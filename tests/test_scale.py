@@ -2,6 +2,7 @@
 of the rows, and proof that the hot group is spread."""
 
 import itertools
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,14 @@ def test_best_per_group_is_limited_before_the_shuffle(spark):
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
     assert best.filter("g = 0").count() == 2
+
+
+def test_scratch_tables_go_when_released(spark, tmp_path):
+    from turnwise.session import release, scratch, scratch_dir, written
+
+    release(spark)
+    with scratch(spark):
+        kept = written(spark.range(5), "probe")
+        where = scratch_dir(spark).removeprefix("file:")
+        assert kept.count() == 5 and any(n.startswith("probe-") for n in os.listdir(where))
+    assert not any(n.startswith("probe-") for n in os.listdir(where))

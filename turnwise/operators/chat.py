@@ -102,8 +102,10 @@ def turn_text(role: Column, text: Column) -> Column:
 
 
 def role_of(speaker: Column) -> Column:
+    """The chat role of a speaker; an unknown one is an error, for its turn would vanish."""
     known = F.create_map(*[F.lit(x) for kv in ROLE_OF_SPEAKER.items() for x in kv])
-    return F.try_element_at(known, speaker)
+    unknown = F.raise_error(F.concat(F.lit("unknown speaker: "), F.coalesce(speaker, F.lit("null"))))
+    return F.coalesce(F.try_element_at(known, speaker), unknown)
 
 
 def render_nested(turns: str = "conversations", add_generation_prompt: bool = False) -> Column:
@@ -222,6 +224,21 @@ def alternation_faults(messages: DataFrame, speaker: str, at: str, roles=("human
     return messages.withColumn("fault", fault)
 
 
+def _rejects(marked: DataFrame, at: str) -> DataFrame:
+    per_conversation = marked.groupBy("conv_id").agg(
+        F.count("*").alias("n_messages"),
+        F.count("fault").alias("n_faults"),
+        F.min(F.when(F.col("fault").isNotNull(), F.struct(at, "fault"))).alias("first"),
+    )
+    return per_conversation.filter("n_faults > 0").select(
+        "conv_id",
+        F.col(f"first.{at}").cast("bigint").alias("first_fault_at"),
+        F.col("first.fault").alias("reason"),
+        F.col("n_faults").cast("bigint").alias("n_faults"),
+        "n_messages",
+    )
+
+
 def split_valid(
     messages: DataFrame,
     speaker: str = "speaker",
@@ -237,19 +254,8 @@ def split_valid(
     if strict:
         stop = F.raise_error(F.concat(F.lit("bad turn in conversation "), F.col("conv_id").cast("string")))
         sound = F.when(F.col("fault").isNotNull(), stop.cast("boolean")).otherwise(F.lit(True))
-        return marked.filter(sound).drop("fault"), None
-    per_conversation = marked.groupBy("conv_id").agg(
-        F.count("*").alias("n_messages"),
-        F.count("fault").alias("n_faults"),
-        F.min(F.when(F.col("fault").isNotNull(), F.struct(at, "fault"))).alias("first"),
-    )
-    rejects = per_conversation.filter("n_faults > 0").select(
-        "conv_id",
-        F.col(f"first.{at}").cast("bigint").alias("first_fault_at"),
-        F.col("first.fault").alias("reason"),
-        F.col("n_faults").cast("bigint").alias("n_faults"),
-        "n_messages",
-    )
+        return marked.filter(sound).drop("fault"), _rejects(marked.filter(F.lit(False)), at).drop("n_messages")
+    rejects = _rejects(marked, at)
     ok = lookup(messages, rejects.select("conv_id", "n_messages"), ["conv_id"], ["conv_id", at],
                 weight="n_messages", how="anti")
     return ok, rejects.drop("n_messages")

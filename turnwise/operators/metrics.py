@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.columns import leading_ones, total
-from turnwise.operators.scale import running_sums
+from turnwise.operators.scale import best_per_group, running_sums
 
 # --- answer logs ---------------------------------------------------------------
 
@@ -100,20 +100,29 @@ def mean_std(log: DataFrame, by: Sequence[str] = ("position",)) -> DataFrame:
     )
 
 
-def summary(log: DataFrame, samples_per_batch: int, data_type: str) -> DataFrame:
-    """The nested one-row summary of an evaluation. It has one entry per position."""
-    per = mean_std(log)
+def summary(log: DataFrame, samples_per_batch: int, data_type: str, batch: Sequence[str] = ("batch",)) -> DataFrame:
+    """The nested one-row summary of an evaluation. It has one entry per position.
+
+    A batch counts once, however many positions it has. It is successful if all its rows
+    are ``ok``; batches that failed are in no mean.
+    """
+    whole = log.groupBy(*batch).agg(
+        F.bool_and("ok").alias("ok"), F.collect_list(F.struct("position", "acc", "loss")).alias("rows")
+    )
+    batches = whole.agg(F.count_if("ok").alias("successful_batches"), F.count("*").alias("total_batches"))
+    per = mean_std(whole.filter("ok").select(F.inline("rows")))
     entries = F.struct(
         "position",
         F.struct(F.col("acc_mean").alias("mean"), F.col("acc_std").alias("std")).alias("accuracy"),
         F.struct(F.col("loss_mean").alias("mean"), F.col("loss_std").alias("std")).alias("loss"),
     )
-    return per.agg(
-        (F.sum("n_batches") * samples_per_batch).alias("total_samples"),
-        F.sum("n_batches").alias("successful_batches"),
-        F.sum("n_batches").alias("total_batches"),
+    results = per.agg(F.sort_array(F.collect_list(entries)).alias("results"))
+    return batches.join(results).select(
+        (F.col("successful_batches") * samples_per_batch).alias("total_samples"),
+        "successful_batches",
+        "total_batches",
         F.lit(data_type).alias("data_type"),
-        F.sort_array(F.collect_list(entries)).alias("results"),
+        "results",
     )
 
 
@@ -145,10 +154,13 @@ def running_mean(log: DataFrame, value: str, run: str, batch: str, every: int) -
 
 
 def best_config(timings: DataFrame, penalty: dict[int, float]) -> DataFrame:
-    """The configuration with the least time per penalty weight."""
+    """The configuration with the least time per penalty weight.
+
+    Configurations without a weight, or with weight zero, take no part.
+    """
     weights = F.create_map(*[F.lit(x) for kv in penalty.items() for x in kv])
-    cost = F.col("seconds") / F.try_element_at(weights, F.col("config"))
-    return timings.withColumn("cost", cost).agg(
+    cost = F.try_divide(F.col("seconds"), F.try_element_at(weights, F.col("config")))
+    return timings.withColumn("cost", cost).filter("cost is not null").agg(
         F.min_by("config", F.struct("cost", "config")).alias("config"), F.min("cost").alias("cost")
     )
 
@@ -163,11 +175,25 @@ def accuracy(pairs: DataFrame, by: Sequence[str], correct: Column, weight: str =
     ).withColumn("accuracy", F.try_divide("correct", "total"))
 
 
-def accuracy_by_step(pairs: DataFrame, step: str, correct: Column, weight: str = "n") -> DataFrame:
-    """Right and in-vocabulary targets over all masked positions plus 1e-6."""
-    return pairs.groupBy(step).agg(
-        F.sum(F.when(correct, F.col(weight)).otherwise(0)).alias("correct"), F.sum(weight).alias("total")
-    ).withColumn("accuracy", F.col("correct") / (F.col("total") + 1e-6))
+def accuracy_by_step(log: DataFrame, steps: int, hits: str = "hits", masks: str = "masks") -> DataFrame:
+    """(position, correct, total, accuracy) of each draft step, from arrays of 0 and 1.
+
+    Step k is right where the k-th drafted token is the token k ahead; positions without
+    such a token are masked. The total is raised by 1e-6.
+    """
+    def number(name: str, k: int) -> Column:
+        return F.coalesce(F.sum(F.get(name, F.lit(k))), F.lit(0)).cast("bigint")
+
+    both = F.zip_with(hits, masks, lambda h, m: h * m)
+    sums = log.select(both.alias("_right"), F.col(masks).alias("_open")).agg(
+        F.array(
+            *[
+                F.struct(F.lit(k).cast("bigint").alias("position"), number("_right", k).alias("correct"), number("_open", k).alias("total"))
+                for k in range(steps)
+            ]
+        ).alias("s")
+    )
+    return sums.select(F.inline("s")).withColumn("accuracy", F.col("correct") / (F.col("total") + 1e-6))
 
 
 def accuracy_top_k(pairs: DataFrame, by: Sequence[str], ranked: str, target: str, ks: Sequence[int],
@@ -206,6 +232,25 @@ def chain_accuracy(log: DataFrame, by: Sequence[str], steps: int, hits="hits", m
     ).withColumn("accuracy", F.try_divide("correct", "total"))
 
 
+def chain_epoch_accuracy(
+    log: DataFrame, worker: Column, batch: Sequence[str], steps: int, batches: int | None = None
+) -> DataFrame:
+    """Mean over workers of the mean over their batches, per draft step.
+
+    ``batches`` takes the first so many batches of each worker, in the order of their
+    keys, before batches in which a step was never tried drop out of that step's mean;
+    None takes all.
+    """
+    kept = log.withColumn("worker", worker)
+    if batches is not None:
+        keys = kept.select("worker", *batch).distinct()
+        first = best_per_group(keys, ["worker"], [F.col(b) for b in batch], batches, "_b").drop("_b")
+        kept = kept.join(first, ["worker", *batch], "left_semi")
+    per_batch = chain_accuracy(kept, ["worker", *batch], steps).filter("total > 0")
+    per_worker = per_batch.groupBy("worker", "k").agg(F.avg("accuracy").alias("accuracy"))
+    return per_worker.groupBy("k").agg(F.avg("accuracy").alias("accuracy"))
+
+
 # --- losses --------------------------------------------------------------------
 
 

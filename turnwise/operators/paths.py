@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwise.functions.columns import leading_run, padded
+from turnwise.functions.columns import leading_run
 from turnwise.operators.scale import best_per_group, lookup
 from turnwise.session import written
 
@@ -105,15 +105,25 @@ def rerank_top_n(nodes: DataFrame, n: int) -> DataFrame:
 
 def prefix_tree(paths: DataFrame, group: str = "root", path: str = "ranks") -> DataFrame:
     """All prefixes of a group's paths, once each, with node number (by length, then
-    path), depth and parent node; node 0 is the root of the tree."""
-    nodes = distinct_prefixes(paths, group, path)
-    by = Window.partitionBy(group).orderBy("depth", "prefix")
-    numbered = nodes.withColumn("node", F.row_number().over(by).cast("bigint"))
-    parents = numbered.select(group, F.col("prefix").alias("_up"), F.col("node").alias("parent"))
-    return (
-        numbered.withColumn("_up", F.slice("prefix", F.lit(1), F.size("prefix") - 1))
-        .join(parents, [group, "_up"], "left")
-        .select(group, "prefix", "depth", "node", F.coalesce("parent", F.lit(0).cast("bigint")).alias("parent"))
+    path), depth and parent node; node 0 is the root of the tree.
+
+    A group holds a handful of paths (the n best of a root), so its tree is built inside
+    one row by array steps.
+    """
+    def begins(p: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.struct(i.alias("d"), F.slice(p, F.lit(1), i).alias("p")))
+        return F.when(F.size(p) > 0, cut).otherwise(F.slice(cut, F.lit(1), F.lit(0)))
+
+    held = paths.groupBy(group).agg(F.collect_set(path).alias("_paths"))
+    sorted_ = held.select(group, F.array_sort(F.array_distinct(F.flatten(F.transform("_paths", begins)))).alias("_all"))
+    nodes = sorted_.select(group, F.transform("_all", lambda n: n["p"]).alias("_known"), F.posexplode("_all").alias("_i", "n"))
+    parent = F.array_position("_known", F.slice(F.col("n.p"), F.lit(1), F.col("n.d") - 1))
+    return nodes.select(
+        group,
+        F.col("n.p").alias("prefix"),
+        F.col("n.d").cast("bigint").alias("depth"),
+        (F.col("_i") + 1).cast("bigint").alias("node"),
+        parent.alias("parent"),
     )
 
 
@@ -126,46 +136,6 @@ def distinct_prefixes(paths: DataFrame, group: str = "root", path: str = "ranks"
     )
 
 
-def ancestors(tree: DataFrame, group: str = "root") -> DataFrame:
-    """Edge list (node, sees): each node sees itself, its ancestors and the root 0."""
-    chains = _node_chains(tree, group)
-    return chains.select(group, "node", F.explode("chain").alias("sees"))
-
-
-def leaves(tree: DataFrame, group: str = "root", pad: int = -1) -> DataFrame:
-    """Root-to-leaf node lists of a tree, padded to its longest; pads sort last."""
-    inner = tree.select(group, F.col("parent").alias("node")).distinct()
-    ends = _node_chains(tree, group).join(inner, [group, "node"], "left_anti")
-    longest = F.max(F.size("chain")).over(Window.partitionBy(group))
-    rows = ends.withColumn("_n", longest).withColumn("path", padded("chain", F.col("_n"), F.lit(pad).cast("bigint")))
-    last = F.transform("path", lambda x: F.when(x < 0, F.lit(2**62)).otherwise(x))
-    by = Window.partitionBy(group).orderBy("_sort")
-    return (
-        rows.withColumn("_sort", last)
-        .withColumn("leaf", (F.row_number().over(by) - 1).cast("bigint"))
-        .select(group, "leaf", "path")
-    )
-
-
-def gather_tokens(leaf_paths: DataFrame, node_tokens: DataFrame, group: str = "root", none: str = "") -> DataFrame:
-    """Node numbers of each path -> tokens; pad slots give ``none``."""
-    slots = leaf_paths.select(group, "leaf", F.posexplode("path").alias("slot", "node"))
-    return slots.join(node_tokens.select(group, "node", "token"), [group, "node"], "left").select(
-        group, "leaf", F.col("slot").cast("bigint").alias("slot"), "node", F.coalesce("token", F.lit(none)).alias("token")
-    )
-
-
-def _node_chains(tree: DataFrame, group: str) -> DataFrame:
-    """Node numbers from the root 0 down to each node, looked up prefix by prefix."""
-    steps = F.transform(F.sequence(F.lit(1), F.size("prefix")), lambda i: F.slice("prefix", F.lit(1), i))
-    up = tree.select(group, "node", F.explode(steps).alias("prefix"))
-    named = up.join(tree.select(group, "prefix", F.col("node").alias("above")), [group, "prefix"])
-    zero = F.array(F.lit(0).cast("bigint"))
-    return named.groupBy(group, "node").agg(
-        F.concat(zero, F.sort_array(F.collect_list("above"))).alias("chain")
-    )
-
-
 # --- acceptance ----------------------------------------------------------------
 
 

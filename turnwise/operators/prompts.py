@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from turnwise.functions.columns import hash32, strip
 from turnwise.operators.scale import dense_index
@@ -126,5 +127,5 @@ def generate(
             out = out.reindex(columns=names).astype(object)
             yield out.where(out.notna(), None)
 
-    names = [f.split()[0] for f in schema.split(",")]
+    names = StructType.fromDDL(schema).names
     return prompts.mapInPandas(shaped, schema)

@@ -13,6 +13,11 @@ HOT_KEYS = 10_000
 _LOW33 = (1 << 33) - 1
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df``, a stored table of a few short columns, broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def dense_index(df: DataFrame, order: Sequence[str], name: str = "idx") -> DataFrame:
     """Add a gap-free 0-based ordinal over the whole frame, in ``order``.
 

@@ -1,9 +1,9 @@
 """Tokens, masks and training sequences.
 
 A token is a run of characters without blanks or line breaks. Another tokenizer
-can be plugged in with ``tokenize_with``. Positions inside a conversation come
-from message offsets, computed on one narrow row per message; token rows are made
-only after truncation.
+can be plugged in with ``tokenize_with``, which adds a column of tokens; all functions
+here take the name of such a column as ``tokens``. Positions inside a conversation come
+from message offsets, computed on one narrow row per message.
 """
 
 from __future__ import annotations
@@ -15,27 +15,43 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.columns import shifted_left, tokens_of
 from turnwise.operators.scale import dense_index, lookup, running_sums
+from turnwise.session import written
 
 MAX_LEN = 2048
 
 
-def tokenize(messages: DataFrame) -> DataFrame:
+def _tokens(column: str | None) -> Column:
+    return tokens_of("value") if column is None else F.col(column)
+
+
+def tokenize(messages: DataFrame, tokens: str | None = None) -> DataFrame:
     """(conv_id, j, speaker, value) -> (conv_id, j, speaker, pos, token)."""
     return messages.select(
-        "conv_id", "j", "speaker", F.posexplode(tokens_of("value")).alias("pos", "token")
+        "conv_id", "j", "speaker", F.posexplode(_tokens(tokens)).alias("pos", "token")
     ).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def tokenize_with(messages: DataFrame, encode: Callable[[list[str]], list[list[int]]]) -> DataFrame:
-    """Use a tokenizer of your own: ``encode`` maps a list of texts to lists of ids."""
-    out = messages.select("conv_id", "j", "speaker", "value")
+def tokenize_with(
+    messages: DataFrame,
+    encode: Callable[[list[str]], list[list]],
+    name: str = "tokens",
+    kind: str = "array<string>",
+) -> DataFrame:
+    """``messages`` and a column of tokens by a tokenizer of your own.
+
+    ``encode`` maps a list of texts to lists of tokens, or of ids with another ``kind``.
+    All columns are kept, of whatever type; null texts are passed on as empty ones.
+    """
+    before = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema.fields)
 
     def run(batches):
-        for frame in batches:
-            ids = encode(frame["value"].tolist())
-            yield frame.drop(columns="value").assign(input_ids=ids)
+        import pyarrow as pa
 
-    return out.mapInPandas(run, "conv_id bigint, j bigint, speaker string, input_ids array<int>")
+        for batch in batches:
+            found = encode([text or "" for text in batch.column("value").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, name])
+
+    return messages.mapInArrow(run, f"{before}, `{name}` {kind}")
 
 
 def is_target(speaker="speaker", j="j", pos="pos") -> Column:
@@ -43,9 +59,9 @@ def is_target(speaker="speaker", j="j", pos="pos") -> Column:
     return (F.col(speaker) == "gpt") & ~((F.col(j) == 0) & (F.col(pos) == 0))
 
 
-def token_counts(messages: DataFrame) -> DataFrame:
+def token_counts(messages: DataFrame, tokens: str | None = None) -> DataFrame:
     """How often each token occurs, over all and as a training target."""
-    return tokenize(messages).groupBy("token").agg(
+    return tokenize(messages, tokens).groupBy("token").agg(
         F.count("*").alias("n_all"), F.count_if(is_target()).alias("n_target")
     )
 
@@ -61,41 +77,55 @@ def encode(tokens: DataFrame, vocab: DataFrame, spread=("conv_id", "pos")) -> Da
     )
 
 
-def with_offsets(messages: DataFrame) -> DataFrame:
-    """Add the token array of each message and its offset in the conversation."""
-    cut = messages.select("conv_id", "j", "speaker", tokens_of("value").alias("tokens"))
-    return running_sums(
-        cut, ["conv_id"], ["j"], {"offset": F.size("tokens").cast("bigint")}
-    )
+def with_offsets(messages: DataFrame, tokens: str | None = None) -> DataFrame:
+    """Add the token array of each message and its offset in the conversation.
+
+    Only the lengths are summed up; the offsets then meet the messages by their key.
+    """
+    cut = messages.select("conv_id", "j", "speaker", _tokens(tokens).alias("tokens"))
+    sizes = cut.select("conv_id", "j", F.size("tokens").cast("bigint").alias("_size"))
+    offsets = running_sums(sizes, ["conv_id"], ["j"], {"offset": F.col("_size")}).drop("_size")
+    return cut.join(offsets, ["conv_id", "j"])
+
 
+def sequence_tokens(messages: DataFrame, max_len: int = MAX_LEN, tokens: str | None = None) -> DataFrame:
+    """(conv_id, window, pos, token, loss_mask): a conversation as windows of ``max_len`` tokens.
 
-def sequence_tokens(messages: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
-    """(conv_id, pos, token, loss_mask) for the first ``max_len`` tokens."""
-    kept = with_offsets(messages).filter(F.col("offset") < max_len)
-    room = F.least(F.size("tokens"), (F.lit(max_len) - F.col("offset")).cast("int"))
-    rows = kept.select(
-        "conv_id", "speaker", "offset", F.posexplode(F.slice("tokens", F.lit(1), room)).alias("i", "token")
+    No token is lost; ``pos`` counts inside the window, whose first token is no target.
+    """
+    rows = with_offsets(messages, tokens).select(
+        "conv_id", "speaker", "offset", F.posexplode("tokens").alias("i", "token")
     )
-    pos = F.col("offset") + F.col("i")
+    at = F.col("offset") + F.col("i")
+    pos = F.pmod(at, F.lit(max_len))
     return rows.select(
         "conv_id",
+        F.floor(at / max_len).cast("bigint").alias("window"),
         pos.alias("pos"),
         "token",
         F.when((F.col("speaker") == "gpt") & (pos > 0), 1).otherwise(0).cast("bigint").alias("loss_mask"),
     )
 
 
-def sequences(messages: DataFrame, vocab: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
-    """One row per conversation: input_ids, loss_mask, attention_mask.
+def truncated(rows: DataFrame) -> DataFrame:
+    """The first window of each conversation alone."""
+    return rows.filter("window = 0").drop("window")
+
 
-    Truncation comes first, so a row never holds more than ``max_len`` tokens.
+def sequences(
+    messages: DataFrame, vocab: DataFrame, max_len: int = MAX_LEN, tokens: str | None = None
+) -> DataFrame:
+    """One row per window of a conversation: input_ids, loss_mask, attention_mask.
+
+    A row holds at most ``max_len`` tokens, however long the conversation is.
     """
-    rows = encode(sequence_tokens(messages, max_len), vocab)
-    packed = rows.groupBy("conv_id").agg(
+    rows = encode(sequence_tokens(messages, max_len, tokens), vocab, ("conv_id", "window", "pos"))
+    packed = rows.groupBy("conv_id", "window").agg(
         F.sort_array(F.collect_list(F.struct("pos", "token_id", "loss_mask"))).alias("s")
     )
     return packed.select(
         "conv_id",
+        "window",
         F.col("s.token_id").alias("input_ids"),
         F.col("s.loss_mask").alias("loss_mask"),
     ).withColumn("attention_mask", F.array_repeat(F.lit(1).cast("bigint"), F.size("input_ids")))
@@ -126,15 +156,26 @@ def long_sequences(seqs: DataFrame, *arrays: str) -> DataFrame:
     )
 
 
-def pad_batches(seqs: DataFrame, order: list[str], batch_size: int) -> DataFrame:
-    """Consecutive sequences form a batch; all are zero-padded to the batch's longest."""
+def pad_batches(seqs: DataFrame, order: list[str], batch_size: int, features: str | None = None) -> DataFrame:
+    """Consecutive sequences form a batch; all are zero-padded to the batch's longest.
+
+    ``order`` names a row. The sequences are stored once and numbered by their narrow
+    keys. ``features`` names an array of vectors, one per position, that is padded with
+    zero vectors.
+    """
+    seqs = written(seqs, "sequences")
     keys = dense_index(seqs.select(*order), order, "row")
     keyed = seqs.join(keys, order).withColumn(
         "batch_id", F.floor(F.col("row") / batch_size).cast("bigint")
     )
     longest = F.max(F.size("input_ids")).over(Window.partitionBy("batch_id"))
     out = keyed.withColumn("_longest", longest)
-    for name in ("input_ids", "loss_mask", "attention_mask"):
-        fill = F.array_repeat(F.lit(0).cast("bigint"), F.col("_longest") - F.size(name))
-        out = out.withColumn(name, F.concat(name, fill))
+    for name in [c for c in ("input_ids", "loss_mask", "attention_mask") if c in seqs.columns]:
+        zero = F.lit(0).cast(seqs.schema[name].dataType.elementType)
+        out = out.withColumn(name, F.concat(name, F.array_repeat(zero, F.col("_longest") - F.size(name))))
+    if features:
+        blank = F.transform(F.get(features, F.lit(0)), lambda x: x * 0)
+        out = out.withColumn(
+            features, F.concat(features, F.array_repeat(blank, F.col("_longest") - F.size(features)))
+        )
     return out.drop("_longest", "row")

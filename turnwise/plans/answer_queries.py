@@ -379,28 +379,26 @@ def stream_answers_upsert(spark, sf_dir):
               round(sum(new_tokens) / sum(idx + 1), 6) AS tokens_per_pass FROM z_log GROUP BY model_id""",
 )
 def stream_running_speed(spark, sf_dir):
-    source = scratch_path(spark, "stream-in")
-    state = scratch_path(spark, "stream-state")
+    source, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
     writers.write_jsonl(fx.answers(spark, sf_dir), source)
-    flows.running_speed(flows.answer_stream(spark, source), "model_id", state).awaitTermination()
-    return rounded(flows.session_speeds(spark, state), "seconds", "tokens_per_second", "tokens_per_pass")
+    stream = flows.answer_stream(spark, source)
+    flows.running_speed(stream, "model_id", out, scratch_path(spark, "stream-state")).awaitTermination()
+    return rounded(flows.session_speeds(spark, out), "seconds", "tokens_per_second", "tokens_per_pass")
 
 
 @query(
     "stream_metric_rollup",
     """SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, run, position, round(avg(acc) + 1e-9, 6) AS acc, round(avg(loss) + 1e-9, 6) AS loss,
-              count(*) AS n FROM z_metric
-       WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
-       GROUP BY ALL""",
+              count(*) AS n FROM z_metric GROUP BY ALL""",
 )
 def stream_metric_rollup(spark, sf_dir):
-    source = scratch_path(spark, "metric-in")
-    out = scratch_path(spark, "metric-out")
+    """Events arrive in files by a hash, so in no order of time, and in several batches."""
+    source, out = scratch_path(spark, "metric-in"), scratch_path(spark, "metric-out")
     log = fx.metric_log(spark, sf_dir)
-    log.write.parquet(source)
-    stream = spark.readStream.schema(log.schema).parquet(source)
+    log.repartition(8, F.xxhash64("batch")).write.parquet(source)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(source)
     flows.rollup_metrics(stream, out, scratch_path(spark, "metric-state")).awaitTermination()
-    back = spark.read.parquet(out)
+    back = flows.rolled_up(spark, out)
     return rounded(
         back.select(F.floor(F.unix_seconds("start") / 86400).alias("day"), "run", "position", "acc", "loss", "n"), "acc", "loss", nudge=1e-9
     )

@@ -24,10 +24,10 @@ CTES = {
         SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY j, pos) - 1 AS p, token, speaker
         FROM z_tok""",
     "z_ids_seq": """
-        SELECT s.conv_id, s.p, i.token_id,
-               CAST(s.speaker = 'gpt' AND s.p > 0 AS BIGINT) AS loss_mask,
-               count(*) OVER (PARTITION BY s.conv_id) AS n
-        FROM z_seq s JOIN z_ids i USING (token) WHERE s.p < 2048""",
+        SELECT s.conv_id, s.p // 2048 AS "window", s.p % 2048 AS p, i.token_id,
+               CAST(s.speaker = 'gpt' AND s.p % 2048 > 0 AS BIGINT) AS loss_mask,
+               count(*) OVER (PARTITION BY s.conv_id, s.p // 2048) AS n
+        FROM z_seq s JOIN z_ids i USING (token)""",
     "z_doc": """
         SELECT doc_id, lang, text, s[1] AS instruction, coalesce(s[2], '') AS input,
                coalesce(array_to_string(s[3:], chr(10)), '') AS output
@@ -117,21 +117,6 @@ CTES = {
         SELECT DISTINCT root, ranks[:i] AS prefix, i AS depth
         FROM (SELECT root, ranks, unnest(range(1, len(ranks) + 1)) AS i FROM z_tree)""",
     "z_num": "SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, prefix) AS node FROM z_prefix",
-    "z_leaf": """
-        SELECT a.root, a.node, a.prefix FROM z_num a WHERE NOT EXISTS (
-          SELECT 1 FROM z_num b WHERE b.root = a.root AND b.depth = a.depth + 1 AND b.prefix[:a.depth] = a.prefix)""",
-    "z_leafnode": """
-        SELECT l.root, l.node AS leaf_node, b.depth AS slot, b.node AS node
-        FROM z_leaf l JOIN z_num b ON b.root = l.root AND l.prefix[:b.depth] = b.prefix
-        UNION ALL SELECT root, node, 0, 0 FROM z_leaf""",
-    "z_width": "SELECT root, max(slot) AS w FROM z_leafnode GROUP BY root",
-    "z_leafpad": """
-        SELECT g.root, g.leaf_node, g.slot, coalesce(n.node, -1) AS node FROM (
-          SELECT l.root, l.node AS leaf_node, unnest(range(0, w + 1)) AS slot FROM z_leaf l JOIN z_width USING (root)) g
-        LEFT JOIN z_leafnode n ON n.root = g.root AND n.leaf_node = g.leaf_node AND n.slot = g.slot""",
-    "z_leafrow": """
-        SELECT root, leaf_node, row_number() OVER (PARTITION BY root ORDER BY list(CASE WHEN node < 0 THEN 1000000 ELSE node END ORDER BY slot)) - 1 AS leaf
-        FROM z_leafpad GROUP BY root, leaf_node""",
     "z_chain": """
         SELECT a.token, a.nxt AS c1, b.nxt AS c2, c.nxt AS c3, d.nxt AS c4, e.nxt AS c5
         FROM z_best a LEFT JOIN z_best b ON b.token = a.nxt LEFT JOIN z_best c ON c.token = b.nxt
@@ -169,9 +154,26 @@ CTES = {
                ln((coalesce(t.c, 0) + 1) / sum(coalesce(t.c, 0) + 1) OVER (PARTITION BY a.token)) AS log_q
         FROM z_all a JOIN z_top v ON v.token = a.nxt LEFT JOIN z_train t ON t.token = a.token AND t.nxt = a.nxt""",
     "z_cross": "SELECT token, -sum(p * log_q) AS h FROM z_support GROUP BY token",
+    "z_first": """
+        SELECT token, nxt IN (SELECT token FROM z_top) AS inside FROM (
+          SELECT token, nxt, row_number() OVER (PARTITION BY token ORDER BY c DESC, nxt) AS r FROM z_all) WHERE r = 1""",
     "z_steploss": """
-        SELECT pos % 7 AS position, sum(coalesce(h, 0)) / count(*) AS loss, count(*) AS n
-        FROM z_pos LEFT JOIN z_cross USING (token) GROUP BY 1""",
+        SELECT k AS position, sum(CASE WHEN f.inside THEN coalesce(h, 0) ELSE 0 END) / (SELECT count(*) FROM z_at) AS loss,
+               count(*) AS n
+        FROM (SELECT *, unnest([0, 1, 2, 3, 4, 5, 6]) AS k FROM z_pos) p JOIN z_first f ON f.token = p.token
+        LEFT JOIN z_cross x ON x.token = p.token WHERE p.pos >= k GROUP BY k""",
+    "z_vbest": """
+        SELECT token, nxt FROM (SELECT token, nxt, row_number() OVER (PARTITION BY token ORDER BY c DESC, nxt) AS r
+                                FROM z_train WHERE nxt IN (SELECT token FROM z_top)) WHERE r = 1""",
+    "z_vchain": """
+        SELECT a.token, [a.nxt, b.nxt, c.nxt, d.nxt, e.nxt, f.nxt, g.nxt] AS chain
+        FROM z_vbest a LEFT JOIN z_vbest b ON b.token = a.nxt LEFT JOIN z_vbest c ON c.token = b.nxt
+        LEFT JOIN z_vbest d ON d.token = c.nxt LEFT JOIN z_vbest e ON e.token = d.nxt
+        LEFT JOIN z_vbest f ON f.token = e.nxt LEFT JOIN z_vbest g ON g.token = f.nxt""",
+    "z_vhits": """
+        SELECT k, CASE WHEN chain[k] = toks[s.pos + 1 + k] THEN 1 ELSE 0 END AS hit,
+               CASE WHEN s.pos + 1 + k <= len(toks) THEN 1 ELSE 0 END AS mask
+        FROM (SELECT *, unnest([1, 2, 3, 4, 5, 6, 7]) AS k FROM z_at) s LEFT JOIN z_vchain USING (token)""",
     "z_draw": """
         SELECT user_id % 15 AS position, least(CAST(floor(value / 4) AS BIGINT), 24) AS bin FROM events""",
     "z_hist": """

@@ -303,8 +303,9 @@ def starts(spark, sf_dir, ahead: int) -> DataFrame:
 
 def pair_counts(spark, sf_dir, *by: str) -> DataFrame:
     """Counted (token, next) pairs, kept as a table: every later step works on the
-    distinct pairs and the corpus is read once."""
-    at = positions(spark, sf_dir).withColumn("position", F.pmod("pos", F.lit(STEPS)))
+    distinct pairs and the corpus is read once. ``position`` is the place in the answer,
+    counted up to the last draft step."""
+    at = positions(spark, sf_dir).withColumn("position", F.least("pos", F.lit(STEPS - 1).cast("bigint")))
     return written(at.groupBy(*by, "token", "next").agg(F.count("*").alias("c")), "pairs")
 
 
@@ -323,16 +324,18 @@ def scored_pairs(pairs: DataFrame, k: int, *by: str) -> DataFrame:
     return lookup(pairs.withColumnRenamed("c", "n"), best, ["token"], [*by, "token", "next"])
 
 
-def stepped_pairs(spark, sf_dir) -> DataFrame:
-    """Counted pairs by draft step, with the best prediction and whether the target is
-    in the draft vocabulary."""
-    pairs = scored_pairs(pair_counts(spark, sf_dir, "position", "split"), 1, "position", "split")
-    known = F.broadcast(draft_top(spark, sf_dir).select(F.col("token").alias("next"), F.lit(True).alias("known")))
-    return pairs.join(known, "next", "left")
+def answer_places(spark, sf_dir) -> DataFrame:
+    """(places): the number of token positions in all answers, as one row."""
+    said = messages(spark, sf_dir).filter("role = 'assistant'")
+    return said.agg(F.sum(F.size(tokens_of("text"))).alias("places"))
 
 
-def train_successors(spark, sf_dir, k: int) -> DataFrame:
-    return written(paths.successors(trained(pair_counts(spark, sf_dir, "split")), k), "train-successors")
+def train_successors(spark, sf_dir, k: int, within: DataFrame | None = None) -> DataFrame:
+    """The best followers of each token; only tokens of ``within``, if it is given."""
+    pairs = trained(pair_counts(spark, sf_dir, "split"))
+    if within is not None:
+        pairs = pairs.join(within.select(F.col("token").alias("next")), "next", "left_semi")
+    return written(paths.successors(pairs.select("token", "next", "c"), k), "train-successors")
 
 
 def chains(firsts: DataFrame, steps: int) -> DataFrame:
@@ -340,10 +343,10 @@ def chains(firsts: DataFrame, steps: int) -> DataFrame:
     return paths.greedy_chains(firsts, steps).join(firsts.select("token", "total"), "token")
 
 
-def chain_log(spark, sf_dir, steps: int = 5) -> DataFrame:
+def chain_log(spark, sf_dir, steps: int = 5, within: DataFrame | None = None) -> DataFrame:
     """(split, hits, masks) per start position, one slot per draft step."""
     at = starts(spark, sf_dir, steps)
-    drafts = chains(train_successors(spark, sf_dir, 1), steps)
+    drafts = chains(train_successors(spark, sf_dir, 1, within), steps)
     found = lookup(at, drafts, ["token"], ["conv_id", "turn", "pos"], weight="total")
     drafted = F.coalesce("chain", F.array().cast("array<string>"))
     ks = [F.lit(k) for k in range(steps)]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import columns as C
 from turnwise.operators import dist, metrics, paths
-from turnwise.operators.scale import best_per_group, lookup
+from turnwise.operators.scale import lookup
 from turnwise.operators.sharding import in_train
 from turnwise.plans import fixtures as fx
 from turnwise.plans.answer_queries import rounded
@@ -44,14 +44,13 @@ def acc_micro(spark, sf_dir):
 
 @query(
     "acc_by_position",
-    """SELECT pos % 7 AS position, CAST(sum(CAST(coalesce(b.nxt = p.nxt, false) AND t.token IS NOT NULL AS INT)) AS BIGINT) AS correct,
-              count(*) AS total,
-              round(sum(CAST(coalesce(b.nxt = p.nxt, false) AND t.token IS NOT NULL AS INT)) / (count(*) + 1e-6), 6) AS accuracy
-       FROM z_pos p LEFT JOIN z_best b ON b.token = p.token LEFT JOIN z_top t ON t.token = p.nxt GROUP BY 1""",
+    """SELECT CAST(k - 1 AS BIGINT) AS position, CAST(sum(mask * hit) AS BIGINT) AS correct, CAST(sum(mask) AS BIGINT) AS total,
+              round(sum(mask * hit) / (sum(mask) + 1e-6), 6) AS accuracy FROM z_vhits GROUP BY k""",
 )
 def acc_by_position(spark, sf_dir):
-    right = (F.get("ranked", F.lit(0)) == F.col("next")) & F.col("known")
-    return rounded(metrics.accuracy_by_step(fx.stepped_pairs(spark, sf_dir), "position", right), "accuracy")
+    """Drafts may only hold tokens of the draft vocabulary."""
+    log = fx.chain_log(spark, sf_dir, fx.STEPS, within=fx.draft_top(spark, sf_dir))
+    return rounded(metrics.accuracy_by_step(log, fx.STEPS), "accuracy")
 
 
 CHAIN = """SELECT split, CAST(k AS BIGINT) AS k, CAST(sum(live * mask * hit) AS BIGINT) AS correct,
@@ -66,19 +65,15 @@ def acc_chain_k(spark, sf_dir):
 @query(
     "acc_chain_epoch",
     """WITH batch AS (SELECT conv_id, turn, k, conv_id % 4 AS worker, sum(live * mask * hit) / count(*) FILTER (live * mask = 1 OR missed = 1) AS acc,
-                   count(*) FILTER (live * mask = 1 OR missed = 1) AS total FROM z_missed GROUP BY conv_id, turn, k),
-            kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY worker, k ORDER BY conv_id, turn) AS b
-                     FROM batch WHERE total > 0) WHERE b <= 10)
+                   count(*) FILTER (live * mask = 1 OR missed = 1) AS total FROM z_missed GROUP BY conv_id, turn, k)
        SELECT CAST(k AS BIGINT) AS k, round(avg(acc) + 1e-9, 6) AS accuracy
-       FROM (SELECT worker, k, avg(acc) AS acc FROM kept GROUP BY worker, k) GROUP BY k""",
+       FROM (SELECT worker, k, avg(acc) AS acc FROM batch WHERE total > 0 GROUP BY worker, k) GROUP BY k""",
 )
 def acc_chain_epoch(spark, sf_dir):
-    """A batch is one answer; each worker reports its first ten batches."""
-    per_batch = metrics.chain_accuracy(fx.chain_log(spark, sf_dir), ["conv_id", "turn"], 5)
-    counted = per_batch.filter("total > 0").withColumn("worker", F.pmod("conv_id", F.lit(4)))
-    kept = best_per_group(counted, ["worker", "k"], [F.col("conv_id"), F.col("turn")], 10, "b")
-    per_worker = kept.groupBy("worker", "k").agg(F.avg("accuracy").alias("accuracy"))
-    return rounded(per_worker.groupBy("k").agg(F.avg("accuracy").alias("accuracy")), "accuracy")
+    """A batch is one answer; each worker reports all of its batches."""
+    log = fx.chain_log(spark, sf_dir)
+    out = metrics.chain_epoch_accuracy(log, F.pmod("conv_id", F.lit(4)), ["conv_id", "turn"], 5)
+    return rounded(out.withColumn("accuracy", F.col("accuracy") + 1e-9), "accuracy")
 
 
 # --- losses --------------------------------------------------------------------
@@ -86,23 +81,37 @@ def acc_chain_epoch(spark, sf_dir):
 
 def _step_losses(spark, sf_dir):
     """Soft cross-entropy per draft step: counts over the draft vocabulary against
-    smoothed training counts. A context without known followers counts as 0.
+    smoothed training counts, over all answer positions.
 
-    With p = c / sum(c) and q = t / sum(t), -sum(p log q) is
+    At step k every position looks k places on, so the last k have no target and count as
+    0, and so does a context whose most frequent follower of all is outside the draft
+    vocabulary. With p = c / sum(c) and q = t / sum(t), -sum(p log q) is
     log(sum(t)) - sum(c log t) / sum(c), so one grouping gives each context's loss.
     """
     pairs = fx.pair_counts(spark, sf_dir, "position", "split")
-    known = fx.draft_top(spark, sf_dir).select(F.col("token").alias("next"))
-    support = pairs.join(F.broadcast(known), "next", "left_semi").groupBy("token", "next").agg(
+    known = fx.draft_top(spark, sf_dir).select(F.col("token").alias("next"), F.lit(True).alias("known"))
+    summed = pairs.groupBy("token", "next").agg(
         F.sum("c").alias("c"), (F.sum(F.when(F.col("split") == "train", F.col("c")).otherwise(0)) + 1).alias("t")
     )
-    losses = support.groupBy("token").agg(
-        (F.ln(F.sum("t")) - F.sum(F.col("c") * F.ln("t")) / F.sum("c")).alias("loss")
+    inside = F.coalesce("known", F.lit(False))
+    losses = summed.join(known, "next", "left").groupBy("token").agg(
+        F.min_by(inside, F.struct(-F.col("c"), "next")).alias("best_known"),
+        (
+            F.ln(F.sum(F.when(inside, F.col("t"))))
+            - F.sum(F.when(inside, F.col("c") * F.ln("t"))) / F.sum(F.when(inside, F.col("c")))
+        ).alias("loss"),
     )
     at = pairs.groupBy("position", "token").agg(F.sum("c").alias("n"))
-    met = at.join(losses, "token", "left")
-    return met.groupBy("position").agg(
-        (F.sum(F.coalesce("loss", F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("loss"), F.sum("n").alias("n")
+    met = at.join(losses, "token")
+    by_place = met.groupBy("position").agg(
+        F.sum(F.when(F.col("best_known"), F.coalesce("loss", F.lit(0.0)) * F.col("n")).otherwise(0.0)).alias("loss"),
+        F.sum("n").alias("n"),
+    )
+    # A position serves the steps 0 to its own place; its row stands for one place or the last.
+    steps = by_place.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("position"))).alias("position"), "loss", "n")
+    places = fx.answer_places(spark, sf_dir)
+    return steps.groupBy("position").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).join(places).select(
+        "position", (F.col("loss") / F.col("places")).alias("loss"), "n"
     )
 
 
@@ -171,17 +180,22 @@ def metric_mean_std(spark, sf_dir):
 
 @query(
     "sink_metric_summary",
-    """SELECT position, (SELECT count(*) FROM z_metric) * 2 AS total_samples, 'events' AS data_type, round(avg(acc) + 1e-9, 6) AS acc_mean,
+    """WITH l AS (SELECT * REPLACE (batch // 4 AS batch) FROM z_metric), b AS (SELECT batch, bool_and(ok) AS good FROM l GROUP BY batch)
+       SELECT position, (SELECT count(*) FROM b WHERE good) * 2 AS total_samples, (SELECT count(*) FROM b WHERE good) AS successful_batches,
+              (SELECT count(*) FROM b) AS total_batches, 'events' AS data_type, round(avg(acc) + 1e-9, 6) AS acc_mean,
               round(stddev_pop(acc) + 1e-9, 6) AS acc_std, round(avg(loss) + 1e-9, 6) AS loss_mean, round(stddev_pop(loss) + 1e-9, 6) AS loss_std
-       FROM z_metric GROUP BY position""",
+       FROM l JOIN b USING (batch) WHERE good GROUP BY position""",
 )
 def sink_metric_summary(spark, sf_dir):
+    """Four events are a batch; one that is not ok fails it."""
     path = scratch_path(spark, "summary")
-    one = metrics.summary(fx.metric_log(spark, sf_dir), 2, "events")
+    log = fx.metric_log(spark, sf_dir).withColumn("batch", F.floor(F.col("batch") / 4))
+    one = metrics.summary(log, 2, "events")
     writers.write_summary(one, path)
     back = spark.read.schema(one.schema).json(path)
-    rows = back.select("total_samples", "data_type", F.explode("results").alias("r")).select(
-        "r.position", "total_samples", "data_type", F.col("r.accuracy.mean").alias("acc_mean"),
+    counts = ("total_samples", "successful_batches", "total_batches", "data_type")
+    rows = back.select(*counts, F.explode("results").alias("r")).select(
+        "r.position", *counts, F.col("r.accuracy.mean").alias("acc_mean"),
         F.col("r.accuracy.std").alias("acc_std"), F.col("r.loss.mean").alias("loss_mean"), F.col("r.loss.std").alias("loss_std"),
     )
     return rounded(rows, "acc_mean", "acc_std", "loss_mean", "loss_std", nudge=1e-9)
@@ -386,10 +400,6 @@ def _chosen(spark, sf_dir):
     return written(paths.rerank_top_n(fx.path_nodes(spark, sf_dir), 6), "chosen-nodes")
 
 
-def _tree(spark, sf_dir):
-    return written(paths.prefix_tree(_chosen(spark, sf_dir)), "tree")
-
-
 @query(
     "path_expand_topk",
     """SELECT root, CAST(depth AS BIGINT) AS depth, CAST(rank AS BIGINT) AS rank, array_to_string(ranks, ' ') AS ranks,
@@ -424,34 +434,3 @@ def path_distinct_prefixes(spark, sf_dir):
 )
 def path_prefix_tree(spark, sf_dir):
     return paths.prefix_tree(_chosen(spark, sf_dir)).transform(_text("prefix"))
-
-
-@query(
-    "path_ancestors",
-    """SELECT a.root, a.node, b.node AS sees FROM z_num a JOIN z_num b ON b.root = a.root AND a.prefix[:b.depth] = b.prefix
-       UNION ALL SELECT root, node, 0 FROM z_num""",
-)
-def path_ancestors(spark, sf_dir):
-    return paths.ancestors(_tree(spark, sf_dir))
-
-
-@query("path_leaves", "SELECT root, leaf, CAST(slot AS BIGINT) AS slot, node FROM z_leafpad JOIN z_leafrow USING (root, leaf_node)")
-def path_leaves(spark, sf_dir):
-    rows = paths.leaves(_tree(spark, sf_dir)).select("root", "leaf", F.posexplode("path").alias("slot", "node"))
-    return rows.withColumn("slot", F.col("slot").cast("bigint"))
-
-
-@query(
-    "path_gather_tokens",
-    """SELECT p.root, r.leaf, CAST(p.slot AS BIGINT) AS slot, p.node, CASE WHEN p.node = 0 THEN p.root ELSE coalesce(t.tokens[-1], '') END AS token
-       FROM z_leafpad p JOIN z_leafrow r ON r.root = p.root AND r.leaf_node = p.leaf_node
-       LEFT JOIN z_num n ON n.root = p.root AND n.node = p.node
-       LEFT JOIN z_tree t ON t.root = n.root AND t.ranks = n.prefix""",
-)
-def path_gather_tokens(spark, sf_dir):
-    chosen = _chosen(spark, sf_dir)
-    tree = written(paths.prefix_tree(chosen), "tree")
-    last = chosen.select("root", F.col("ranks").alias("prefix"), F.element_at("tokens", -1).alias("token"))
-    named = tree.join(last, ["root", "prefix"]).select("root", "node", "token")
-    zero = tree.filter("node = 1").select("root", F.lit(0).cast("bigint").alias("node"), F.col("root").alias("token"))
-    return paths.gather_tokens(paths.leaves(tree), named.unionByName(zero))

@@ -28,24 +28,26 @@ def join_token_ids(spark, sf_dir):
 
 @query("tok_truncate", "SELECT conv_id, p AS pos, token FROM z_seq WHERE p < 256")
 def tok_truncate(spark, sf_dir):
-    return tokens.sequence_tokens(fx.normal(spark, sf_dir), 256).select("conv_id", "pos", "token")
+    rows = tokens.truncated(tokens.sequence_tokens(fx.normal(spark, sf_dir), 256))
+    return rows.select("conv_id", "pos", "token")
 
 
-@query("tok_loss_mask", "SELECT conv_id, p AS pos, token_id, loss_mask FROM z_ids_seq")
+@query("tok_loss_mask", 'SELECT conv_id, "window", p AS pos, token_id, loss_mask FROM z_ids_seq')
 def tok_loss_mask(spark, sf_dir):
     rows = tokens.sequence_tokens(fx.normal(spark, sf_dir))
-    return tokens.encode(rows, fx.vocabulary(spark, sf_dir)).select("conv_id", "pos", "token_id", "loss_mask")
+    ids = tokens.encode(rows, fx.vocabulary(spark, sf_dir), ("conv_id", "window", "pos"))
+    return ids.select("conv_id", "window", "pos", "token_id", "loss_mask")
 
 
-@query("tok_attention_mask", "SELECT conv_id, p AS pos, CAST(1 AS BIGINT) AS attention_mask FROM z_ids_seq")
+@query("tok_attention_mask", 'SELECT conv_id, "window", p AS pos, CAST(1 AS BIGINT) AS attention_mask FROM z_ids_seq')
 def tok_attention_mask(spark, sf_dir):
     return tokens.long_sequences(fx.sequences(spark, sf_dir), "attention_mask")
 
 
 @query(
     "tok_shift_next",
-    """SELECT conv_id, p AS pos, token_id AS input_ids,
-              coalesce(lead(token_id) OVER (PARTITION BY conv_id ORDER BY p), 0) AS target FROM z_ids_seq""",
+    """SELECT conv_id, "window", p AS pos, token_id AS input_ids,
+              coalesce(lead(token_id) OVER (PARTITION BY conv_id, "window" ORDER BY p), 0) AS target FROM z_ids_seq""",
 )
 def tok_shift_next(spark, sf_dir):
     return tokens.long_sequences(tokens.with_targets(fx.sequences(spark, sf_dir)), "input_ids", "target")
@@ -53,7 +55,7 @@ def tok_shift_next(spark, sf_dir):
 
 @query(
     "tok_mask_last",
-    "SELECT conv_id, p AS pos, CASE WHEN p = n - 1 THEN 0 ELSE loss_mask END AS loss_mask FROM z_ids_seq",
+    'SELECT conv_id, "window", p AS pos, CASE WHEN p = n - 1 THEN 0 ELSE loss_mask END AS loss_mask FROM z_ids_seq',
 )
 def tok_mask_last(spark, sf_dir):
     return tokens.long_sequences(tokens.mask_last(fx.sequences(spark, sf_dir)), "loss_mask")
@@ -61,16 +63,16 @@ def tok_mask_last(spark, sf_dir):
 
 @query(
     "batch_pad",
-    """WITH one AS (SELECT DISTINCT conv_id, n FROM z_ids_seq),
-            b AS (SELECT *, (row_number() OVER (ORDER BY conv_id) - 1) // 4 AS batch_id FROM one),
+    """WITH one AS (SELECT DISTINCT conv_id, "window", n FROM z_ids_seq),
+            b AS (SELECT *, (row_number() OVER (ORDER BY conv_id, "window") - 1) // 4 AS batch_id FROM one),
             w AS (SELECT batch_id, max(n) AS w FROM b GROUP BY batch_id),
-            g AS (SELECT batch_id, conv_id, unnest(range(0, w)) AS p FROM b JOIN w USING (batch_id))
-       SELECT batch_id, conv_id, p AS pos, coalesce(token_id, 0) AS input_ids, coalesce(loss_mask, 0) AS loss_mask,
+            g AS (SELECT batch_id, conv_id, "window", unnest(range(0, w)) AS p FROM b JOIN w USING (batch_id))
+       SELECT batch_id, conv_id, "window", p AS pos, coalesce(token_id, 0) AS input_ids, coalesce(loss_mask, 0) AS loss_mask,
               CAST(token_id IS NOT NULL AS BIGINT) AS attention_mask
-       FROM g LEFT JOIN z_ids_seq USING (conv_id, p)""",
+       FROM g LEFT JOIN z_ids_seq USING (conv_id, "window", p)""",
 )
 def batch_pad(spark, sf_dir):
-    padded_ = tokens.pad_batches(fx.sequences(spark, sf_dir), ["conv_id"], 4)
+    padded_ = tokens.pad_batches(fx.sequences(spark, sf_dir), ["conv_id", "window"], 4)
     return tokens.long_sequences(padded_, "input_ids", "loss_mask", "attention_mask")
 
 
@@ -169,14 +171,13 @@ def vocab_decode(spark, sf_dir):
 @query("sink_vocab_table", 'SELECT draft_id, token, token_id, n_target AS freq, token_id - draft_id AS "offset" FROM z_map')
 def sink_vocab_table(spark, sf_dir):
     full = fx.vocabulary(spark, sf_dir)
-    freq = vocab.target_frequency(full)
     folder = scratch_path(spark, "vocabularies")
 
     def build():
-        return vocab.draft_map(vocab.top_n(freq, fx.DRAFT_SIZE), full)
+        return vocab.draft_map(vocab.top_n(vocab.target_frequency(full), fx.DRAFT_SIZE), full)
 
-    vocab.saved_table(freq, build, fx.DRAFT_SIZE, folder)
-    return vocab.saved_table(freq, build, fx.DRAFT_SIZE, folder)
+    vocab.saved_table(full, build, fx.DRAFT_SIZE, folder)
+    return vocab.saved_table(full, build, fx.DRAFT_SIZE, folder)
 
 
 # --- shuffles, splits, shards, batches -----------------------------------------
@@ -278,42 +279,60 @@ def src_features(spark, sf_dir):
     )
 
 
+STATES = f"SELECT vec_id, pos // 8 AS p, pos % 8 AS d, x FROM ({EMB})"
+
+
+def _records(spark, sf_dir):
+    """Feature records of eight positions and eight dimensions, written and read back."""
+    path = scratch_path(spark, "records")
+    at = F.sequence(F.lit(0), F.lit(7))
+    fx.table(spark, sf_dir, "embeddings").select(
+        F.transform(at, lambda i: F.slice("embedding", i * 8 + 1, 8)).alias("hidden_state"),
+        F.transform(at, lambda i: F.col("vec_id").cast("int")).alias("input_ids"),
+        F.transform(at, lambda i: F.lit(1)).alias("loss_mask"),
+    ).write.parquet(path)
+    back = readers.read_features(spark, path)
+    return back.withColumn("vec_id", F.get("input_ids", F.lit(0)).cast("bigint"))
+
+
 @query(
     "feat_concat_layers",
-    f"""WITH e AS ({EMB}) SELECT vec_id, CAST(pos + 64 * layer AS BIGINT) AS pos,
+    f"""WITH e AS ({STATES}) SELECT vec_id, CAST(p AS BIGINT) AS pos, CAST(d + 8 * layer AS BIGINT) AS dim,
                round(CASE layer WHEN 0 THEN x WHEN 1 THEN x * 2 ELSE -x END, 5) AS x
         FROM (SELECT *, unnest([0, 1, 2]) AS layer FROM e)""",
 )
 def feat_concat_layers(spark, sf_dir):
-    e = fx.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("early"))
-    layers = e.select(
-        "vec_id",
-        features.concat_features(
-            F.col("early"), F.transform("early", lambda x: x * 2), F.transform("early", lambda x: -x)
-        ).alias("all"),
+    early = F.col("hidden_state").cast("array<array<double>>")
+    rows = _records(spark, sf_dir).select("vec_id", early.alias("early"))
+    rows = rows.withColumns(
+        {
+            "middle": F.transform("early", lambda v: F.transform(v, lambda x: x * 2)),
+            "late": F.transform("early", lambda v: F.transform(v, lambda x: -x)),
+        }
     )
-    return features.long_vectors(layers, "vec_id", "all").withColumn("x", F.round("x", 5))
+    layers = rows.withColumn("all", features.concat_layers("early", "middle", "late"))
+    return features.long_states(layers, "vec_id", "all").withColumn("x", F.round("x", 5))
 
 
 @query(
     "feat_noise_uniform",
-    f"""SELECT vec_id, CAST(pos AS BIGINT) AS pos, round(x + CASE WHEN ('0x' || substr(md5(vec_id || ':42'), 1, 8))::BIGINT % 100 < 95
-          THEN (('0x' || substr(md5(vec_id || ':' || pos || ':42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE - 0.5) * 0.2 * 512 / 64 ELSE 0 END, 5) AS x
-        FROM ({EMB})""",
+    f"""SELECT vec_id, CAST(p AS BIGINT) AS pos, CAST(d AS BIGINT) AS dim, round(x + CASE WHEN ('0x' || substr(md5(vec_id || ':42'), 1, 8))::BIGINT % 100 < 95
+          THEN (('0x' || substr(md5(vec_id || ':' || p || ':' || d || ':42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE - 0.5) * 0.2 * 512 / 8 ELSE 0 END, 5) AS x
+        FROM ({STATES})""",
 )
 def feat_noise_uniform(spark, sf_dir):
-    e = fx.table(spark, sf_dir, "embeddings")
-    noisy = features.noise_uniform(e, "embedding", "vec_id", train=sharding.in_train("vec_id"))
-    return features.long_vectors(noisy, "vec_id", "embedding").withColumn("x", F.round("x", 5))
+    rows = _records(spark, sf_dir)
+    noisy = features.noise_uniform(rows, "hidden_state", "vec_id", train=sharding.in_train("vec_id"))
+    return features.long_states(noisy, "vec_id", "hidden_state").withColumn("x", F.round("x", 5))
 
 
 @query(
     "feat_noise_gaussian",
-    f"""SELECT vec_id, CAST(pos AS BIGINT) AS pos, round(x + 0.2 * sqrt(-2 * ln(greatest(
-            ('0x' || substr(md5(vec_id || ':' || pos || ':42:r'), 1, 8))::BIGINT / 4294967296.0::DOUBLE, 1e-12)))
-          * cos(2 * pi() * (('0x' || substr(md5(vec_id || ':' || pos || ':42:a'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)), 5) AS x
-        FROM ({EMB})""",
+    f"""SELECT vec_id, CAST(p AS BIGINT) AS pos, CAST(d AS BIGINT) AS dim, round(x + 0.2 * sqrt(-2 * ln(greatest(
+            ('0x' || substr(md5(vec_id || ':' || p || ':' || d || ':42:r'), 1, 8))::BIGINT / 4294967296.0::DOUBLE, 1e-12)))
+          * cos(2 * pi() * (('0x' || substr(md5(vec_id || ':' || p || ':' || d || ':42:a'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)), 5) AS x
+        FROM ({STATES})""",
 )
 def feat_noise_gaussian(spark, sf_dir):
-    noisy = features.noise_gaussian(fx.table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
-    return features.long_vectors(noisy, "vec_id", "embedding").withColumn("x", F.round("x", 5))
+    noisy = features.noise_gaussian(_records(spark, sf_dir), "hidden_state", "vec_id")
+    return features.long_states(noisy, "vec_id", "hidden_state").withColumn("x", F.round("x", 5))

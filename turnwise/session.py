@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def local_session(cores: str = "*", app: str = "turnwise", **conf) -> SparkSession:
@@ -45,7 +48,35 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new place in the shared folder; ``release`` deletes what was put there."""
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all scratch tables that this application has made so far.
+
+    Call it when the results that rest on them have been read or written. Returns the
+    number of places deleted.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(where.getFileSystem(conf).delete(where, True))
+    return gone
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are deleted at the end."""
+    before = _made.pop(spark.sparkContext.applicationId, [])
+    try:
+        yield
+    finally:
+        release(spark)
+        _made[spark.sparkContext.applicationId] = before
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions.columns import strip
+from turnwise.operators.scale import broadcast_if_small
 from turnwise.operators.sharding import positional_slice
+from turnwise.session import written
 from turnwise.sources import schemas
 
 
@@ -37,6 +39,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     blocks = lines.groupBy("file", "_block").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    starts = broadcast_if_small(written(starts, "line-blocks"))
     return lines.join(starts, ["file", "_block"]).select(
         "file", (F.col("_m") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "line"
     )

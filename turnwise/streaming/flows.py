@@ -1,12 +1,12 @@
 """The three append-style flows as Structured Streaming jobs on file sources.
 
-State is kept per key by Spark; results leave through file sinks, or are read from
-the state store, so nothing is gathered on the driver.
+Results leave through file sinks and are merged when they are read, so no stream keeps
+state that grows and nothing is gathered on the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -36,61 +36,67 @@ def latest_answers(spark: SparkSession, log: str) -> DataFrame:
     return dedup_last(spark.read.schema(schemas.ANSWER).parquet(log))
 
 
-def running_speed(stream: DataFrame, session: str, checkpoint: str) -> StreamingQuery:
-    """Keep tokens, seconds and passes of each session up to date.
+def _partial_sums(
+    stream: DataFrame, by: list[Column | str], sums: dict[str, Column], out: str, checkpoint: str
+) -> StreamingQuery:
+    """One small table of sums per micro-batch.
 
-    One small row of state per session is kept until the job ends; read it at any
-    time with ``session_speeds``.
+    A repeated batch writes its own folder again, so every row counts once. The stream
+    keeps no state, whatever the number of keys and however late a row comes.
     """
-    choice = stream.withColumn("choice", F.get("choices", F.lit(0))).drop("choices")
-    sums = explode_turns(choice).groupBy(session).agg(
-        F.sum("new_tokens").alias("new_tokens"),
-        F.sum("wall_time").alias("seconds"),
-        F.sum(F.col("idx") + 1).alias("passes"),
-    )
+
+    def add(batch: DataFrame, number: int) -> None:
+        part = batch.groupBy(*by).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+        part.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
+
     return (
-        sums.writeStream.format("noop")
-        .outputMode("update")
+        stream.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def session_speeds(spark: SparkSession, checkpoint: str) -> DataFrame:
-    state = spark.read.format("statestore").load(checkpoint)
-    shape = "struct<new_tokens:bigint,seconds:double,passes:bigint>"
-    v = F.col("value").cast(shape)
-    return state.select(
-        F.col("key").cast("struct<session:string>")["session"].alias("session"),
-        v["new_tokens"].alias("new_tokens"),
-        v["seconds"].alias("seconds"),
-        v["passes"].alias("passes"),
-    ).select(
+def running_speed(stream: DataFrame, session: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Tokens, seconds and passes of each session, added up per micro-batch below ``out``;
+    read them at any time with ``session_speeds``."""
+    choice = stream.withColumn("choice", F.get("choices", F.lit(0))).drop("choices")
+    turns = explode_turns(choice).withColumnRenamed(session, "session")
+    sums = {
+        "new_tokens": F.col("new_tokens").cast("bigint"),
+        "seconds": F.col("wall_time"),
+        "passes": (F.col("idx") + 1).cast("bigint"),
+    }
+    return _partial_sums(turns, ["session"], sums, out, checkpoint)
+
+
+def session_speeds(spark: SparkSession, out: str) -> DataFrame:
+    """The sums of all batches so far, with tokens per second and per pass."""
+    parts = spark.read.schema("session string, new_tokens bigint, seconds double, passes bigint").parquet(f"{out}/batch=*")
+    sums = parts.groupBy("session").agg(*[F.sum(c).alias(c) for c in ("new_tokens", "seconds", "passes")])
+    return sums.select(
         "*",
         F.try_divide("new_tokens", "seconds").alias("tokens_per_second"),
         F.try_divide("new_tokens", "passes").alias("tokens_per_pass"),
     )
 
 
-def rollup_metrics(
-    stream: DataFrame, out: str, checkpoint: str, at: str = "ts", width: str = "1 day", late: str = "1 hour"
-) -> StreamingQuery:
-    """Means per (window, run, position) for windows the watermark has closed.
-
-    Rows later than ``late`` are dropped and finished windows leave the state.
-    """
-    means = (
-        stream.withWatermark(at, late)
-        .groupBy(F.window(at, width).alias("w"), "run", "position")
-        .agg(F.avg("acc").alias("acc"), F.avg("loss").alias("loss"), F.count("*").alias("n"))
-        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "run", "position", "acc", "loss", "n")
+def rollup_metrics(stream: DataFrame, out: str, checkpoint: str, at: str = "ts", width: str = "1 day") -> StreamingQuery:
+    """Sums per (window, run, position), added up per micro-batch below ``out``; read the
+    means with ``rolled_up``. Open windows are there from their first row on, and a late row
+    is added to its window."""
+    sums = {"acc": F.col("acc"), "loss": F.col("loss"), "n": F.lit(1).cast("bigint")}
+    rows = stream.withColumn("w", F.window(at, width)).select(
+        F.col("w.start").alias("start"), F.col("w.end").alias("end"), "run", "position", "acc", "loss"
     )
-    return (
-        means.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    return _partial_sums(rows, ["start", "end", "run", "position"], sums, out, checkpoint)
+
+
+def rolled_up(spark: SparkSession, out: str) -> DataFrame:
+    """Mean accuracy and loss of every window so far, closed or open."""
+    shape = "start timestamp, end timestamp, run string, position string, acc double, loss double, n bigint"
+    parts = spark.read.schema(shape).parquet(f"{out}/batch=*")
+    n = F.sum("n")
+    return parts.groupBy("start", "end", "run", "position").agg(
+        (F.sum("acc") / n).alias("acc"), (F.sum("loss") / n).alias("loss"), n.alias("n")
     )
