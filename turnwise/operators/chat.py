@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.operators.scale import dense_index, lookup, running_sums
+from turnwise.operators.scale import lookup, number_rows, running_sums
 
 # The chat markers.
 OPEN = "<|im_start|>"
@@ -81,7 +81,7 @@ def from_messages(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def assign_ids(df: DataFrame, order: list[str], offset: int = 0) -> DataFrame:
     """id = position in the input as text. Call it before rows are dropped, so that
     dropped rows leave gaps."""
-    return dense_index(df, order, "_i").withColumn(
+    return number_rows(df, order, "_i").withColumn(
         "id", (F.col("_i") + F.lit(offset)).cast("string")
     ).drop("_i")
 
@@ -179,16 +179,21 @@ def conversation_heads(messages: DataFrame) -> DataFrame:
     )
 
 
-def fold_system(messages: DataFrame) -> DataFrame:
-    """Put a leading system text in front of the next message, without separator.
+def heads_with_system(messages: DataFrame) -> DataFrame:
+    """``conversation_heads`` and the text of a leading system message, if there is one."""
+    system = messages.filter("turn = 0 and role = 'system'").select("conv_id", F.col("text").alias("_system"))
+    return conversation_heads(messages).join(system, "conv_id", "left")
 
-    Only the second messages meet the system texts, one row per conversation on
-    both sides; all other messages pass without a shuffle.
-    """
-    system = messages.filter("turn = 0 and role = 'system'").select("conv_id", F.col("text").alias("_first"))
-    second = messages.filter("turn = 1").join(system, "conv_id", "left")
-    folded = second.withColumn("text", F.concat(F.coalesce("_first", F.lit("")), "text"))
-    return messages.filter("turn <> 1").unionByName(folded.select(*messages.columns))
+
+def _folded() -> Column:
+    first = (F.col("turn") == 1) & F.col("_system").isNotNull()
+    return F.when(first, F.concat("_system", "text")).otherwise(F.col("text"))
+
+
+def fold_system(messages: DataFrame) -> DataFrame:
+    """Put a leading system text in front of the next message, without separator."""
+    marked = lookup(messages, heads_with_system(messages), ["conv_id"], ["conv_id", "turn"], weight="n_messages")
+    return marked.withColumn("text", _folded()).select(*messages.columns)
 
 
 def drop_leading_nonuser(messages: DataFrame, heads: DataFrame | None = None) -> DataFrame:
@@ -204,9 +209,16 @@ def speaker_of(role) -> Column:
 
 
 def normalize(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) -> (conv_id, j, speaker, value)."""
-    kept = drop_leading_nonuser(fold_system(messages), conversation_heads(messages))
-    return kept.select("conv_id", "j", speaker_of("role").alias("speaker"), F.col("text").alias("value"))
+    """(conv_id, turn, role, text) -> (conv_id, j, speaker, value).
+
+    The messages are read once and meet one row per conversation, which tells the system
+    text and whether the first message goes.
+    """
+    marked = lookup(messages, heads_with_system(messages), ["conv_id"], ["conv_id", "turn"], weight="n_messages")
+    j = F.col("turn") - F.col("drops_first").cast("bigint")
+    return marked.select("conv_id", j.alias("j"), speaker_of("role").alias("speaker"), _folded().alias("value")).filter(
+        "j >= 0"
+    )
 
 
 def drop_empty(conversations: DataFrame, all_ids: DataFrame) -> tuple[DataFrame, DataFrame]:

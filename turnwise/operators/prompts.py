@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from turnwise.functions.columns import hash32, strip
-from turnwise.operators.scale import dense_index
+from turnwise.operators.scale import number_rows
 
 # The keys that may hold the prompt, in order of preference.
 PROMPT_KEYS = ("prompt", "instruction", "question")
@@ -51,7 +51,7 @@ def pick_prompt(df: DataFrame, line: str = "line") -> DataFrame:
 
 def default_ids(df: DataFrame, order: list[str], id_col: str = "id") -> DataFrame:
     """A missing id becomes ``prompt_{i}``, i being the position among loaded prompts."""
-    return dense_index(df, order, "_i").withColumn(
+    return number_rows(df, order, "_i").withColumn(
         id_col, F.coalesce(F.col(id_col), F.concat(F.lit("prompt_"), F.col("_i").cast("string")))
     ).drop("_i")
 

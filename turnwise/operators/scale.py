@@ -47,6 +47,15 @@ def dense_index(df: DataFrame, order: Sequence[str], name: str = "idx") -> DataF
     )
 
 
+def number_rows(df: DataFrame, order: Sequence[str], name: str = "idx") -> DataFrame:
+    """``dense_index`` for wide rows: only the columns of ``order``, which must identify a
+    row, are sorted and stored; the numbers then meet the rows by them."""
+    keys = {c: f"_o{i}" for i, c in enumerate(order)}
+    numbers = dense_index(df.select(*order), order, name).withColumnsRenamed(keys)
+    on = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]
+    return df.join(numbers, on).drop(*keys.values())
+
+
 def running_sums(
     df: DataFrame,
     group: Sequence[str],
