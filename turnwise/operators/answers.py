@@ -13,11 +13,14 @@ KEYS = ("model_id", "question_id", "answer_id", "tstamp")
 def dedup_last(answers: DataFrame) -> DataFrame:
     """The latest record of each (model, question). Time replaces file order; equal
     times fall back to the answer id."""
-    rest = [c for c in answers.columns if c not in ("model_id", "question_id")]
-    latest = F.max_by(F.struct(*rest), F.struct("tstamp", "answer_id")).alias("r")
-    return answers.groupBy("model_id", "question_id").agg(latest).select(
-        "model_id", "question_id", "r.*"
+    latest = answers.groupBy("model_id", "question_id").agg(
+        F.max(F.struct("tstamp", "answer_id")).alias("_last")
     )
+    # Only keys are compared; of records equal in all keys one is taken at the end.
+    winners = latest.select("model_id", "question_id", "_last.tstamp", "_last.answer_id")
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"w.{k}")) for k in KEYS]
+    kept = answers.alias("a").join(winners.alias("w"), on, "left_semi")
+    return kept.dropDuplicates(list(KEYS))
 
 
 def sort_answers(answers: DataFrame) -> DataFrame:

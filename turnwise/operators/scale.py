@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnwise.session import written
 
+#: At least so many of the most frequent keys are served by broadcast.
 HOT_KEYS = 10_000
 _LOW33 = (1 << 33) - 1
 
@@ -110,6 +111,12 @@ def running_sums(
     )
 
 
+def served_keys(spark: SparkSession) -> int:
+    """How many keys to serve by broadcast, so that any other owns at most a quarter of a
+    shuffle partition: a key outside the first n owns less than one row in n."""
+    return max(HOT_KEYS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def lookup(
     fact: DataFrame,
     table: DataFrame,
@@ -120,9 +127,8 @@ def lookup(
 ) -> DataFrame:
     """Join ``fact`` to ``table`` (unique on ``key``) when some keys are very frequent.
 
-    The ``HOT_KEYS`` most frequent keys are joined by broadcast, which is at most
-    that many rows whatever the input size; all others own less than one in
-    ``HOT_KEYS`` of the rows and are joined by shuffle. ``weight`` names a column of
+    The ``served_keys`` most frequent keys are joined by broadcast, whatever the input
+    size; all others own less than a quarter of a partition and are joined by shuffle. ``weight`` names a column of
     ``table`` that holds how often the key occurs in ``fact``; without it the keys are
     counted in a pass of their own, so ``fact`` should then be a stored table.
     ``spread`` are columns that vary inside a hot key; they scatter the rows already
@@ -139,10 +145,10 @@ def lookup(
         raise ValueError(f"both sides have {sorted(clash)}")
     if weight is None:
         counts = fact.groupBy(*key).agg(F.count("*").alias("_n"))
-        hot_keys = counts.orderBy(F.desc("_n"), *key).limit(HOT_KEYS).select(*key)
+        hot_keys = counts.orderBy(F.desc("_n"), *key).limit(served_keys(fact.sparkSession)).select(*key)
         hot = table.join(F.broadcast(hot_keys), key, "left_semi")
     else:
-        hot = table.orderBy(F.desc(weight), *key).limit(HOT_KEYS)
+        hot = table.orderBy(F.desc(weight), *key).limit(served_keys(fact.sparkSession))
     hot = hot.select(
         *key, F.struct(*carried, F.lit(True).alias("_seen")).alias("_hot")
     )
