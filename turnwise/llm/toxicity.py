@@ -7,14 +7,14 @@ whole corpus and the channel's costs like best. All other tokens have one path,
 
 Score. Every restored word takes the surest of its pieces: the whole word, its beginnings and
 its inner five-letter strings, each with a lower bound of the share of toxic lines among the
-distinct lines that hold it. A logistic model over a document's three surest words gives the
-probability; it is fitted on labelled documents whose words were weighed without their fold.
+distinct lines that hold it. A logistic model over a document's three surest words and its
+length gives the probability. It is fitted on labelled documents whose words were weighed
+without their fold.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -33,7 +33,7 @@ _OTHER, _DIGIT, _SIGN = 60, 61, 62
 #: Pieces of words that the model keeps, surest first: its size, whatever the corpus' size.
 PIECES = 50_000
 #: Least lower bound of a piece that counts, and the bound's width in standard errors.
-SURE, WIDTH = 0.3, 2.0
+SURE, WIDTH = 0.25, 3.0
 LEVELS = 16
 REMEMBERED = 400_000
 TOXIC = 0.3
@@ -283,7 +283,10 @@ def weigh(train: DataFrame, model: np.ndarray, keep: int = PIECES) -> list[dict[
 
 
 class Scorer:
-    """A document's surest words as levels 0 to ``LEVELS`` - 1."""
+    """A document's three surest words and its length as levels 0 to ``LEVELS`` - 1.
+
+    The more words a text has, the likelier one of them looks sure by chance.
+    """
 
     def __init__(self, sure: dict[str, float], model: np.ndarray):
         self.sure, self.model = sure, model
@@ -294,7 +297,7 @@ class Scorer:
         words = restored(token, self.model)
         return max((self.sure.get(p, 0.0) for w in words for p in _pieces(w)), default=0.0)
 
-    def levels(self, text: str) -> tuple[int, int, int]:
+    def levels(self, text: str) -> tuple[int, ...]:
         low = text.lower()
         tokens = set(low.split())
         known = self.known
@@ -307,12 +310,12 @@ class Scorer:
         for apart in _APART.finditer(low):
             found.append(self._token(decode(re.sub(r"[ ._*-]", "", apart[0]), self.model)))
         top = [*heapq.nlargest(3, found), 0.0, 0.0, 0.0][:3]
-        return tuple(min(LEVELS - 1, int(v * LEVELS)) for v in top)
+        return (*(min(LEVELS - 1, int(v * LEVELS)) for v in top), min(LEVELS - 1, len(tokens).bit_length()))
 
 
 def _inputs(levels: np.ndarray) -> np.ndarray:
     x = levels / (LEVELS - 1)
-    return np.column_stack([np.ones(len(x)), x, x[:, 0] ** 2])
+    return np.column_stack([np.ones(len(x)), x, x**2, x[:, :1] * x[:, 3:]])
 
 
 def fit(levels: np.ndarray, toxic: np.ndarray, n: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -352,17 +355,17 @@ def learn(documents: DataFrame, labels: DataFrame) -> Model:
             (*scorers[fold].levels(text), int(toxic > 0))
             for text, toxic, fold in rows_of(batches, "text", "toxic", "fold")
         )
-        schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "c", "toxic", "n")])
+        schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "c", "length", "toxic", "n")])
         yield from in_chunks(((*cell, n) for cell, n in cells.items()), schema)
 
     cells = (
-        train.mapInArrow(levels, "a long, b long, c long, toxic long, n long")
-        .groupBy("a", "b", "c", "toxic")
+        train.mapInArrow(levels, "a long, b long, c long, length long, toxic long, n long")
+        .groupBy("a", "b", "c", "length", "toxic")
         .agg(F.sum("n").alias("n"))
         .collect()
     )
-    table = np.array([tuple(r) for r in cells], np.float64).reshape(-1, 5)
-    return Model(characters, every, fit(table[:, :3], table[:, 3], table[:, 4]))
+    table = np.array([tuple(r) for r in cells], np.float64).reshape(-1, 6)
+    return Model(characters, every, fit(table[:, :4], table[:, 4], table[:, 5]))
 
 
 def score(documents: DataFrame, model: Model, threshold: float = TOXIC) -> DataFrame:
@@ -379,7 +382,7 @@ def score(documents: DataFrame, model: Model, threshold: float = TOXIC) -> DataF
         scorer = Scorer(m.sure, m.characters)
         for batch in batches:
             levels = [scorer.levels(t.as_py() or "") for t in batch.column("text")]
-            p = m.score(np.array(levels, np.float64).reshape(-1, 3))
+            p = m.score(np.array(levels, np.float64).reshape(-1, 4))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(p, pa.float64()), pa.array(p >= threshold)], [*names, "toxicity", "toxic"]
             )
