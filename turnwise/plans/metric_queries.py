@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from turnwise.functions import columns as C
 from turnwise.operators import dist, metrics, paths
 from turnwise.operators.scale import lookup
-from turnwise.operators.sharding import in_train
 from turnwise.plans import fixtures as fx
 from turnwise.plans.answer_queries import rounded
 from turnwise.plans.registry import query
