@@ -176,6 +176,20 @@ def test_deduplicated_documents(documents, no_documents):
     assert line_dedup.dedup(no_documents).count() == 0
 
 
+def test_lines_of_very_many_words(spark):
+    """More different words than the shared counters hold."""
+    rnd = random.Random(8)
+    texts = [" ".join({f"w{rnd.randrange(10**7)}" for _ in range(n)}) for n in (40_000, 33_000, 32_000, 5)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["line"]: r["simhash"] for r in line_dedup.simhashes(line_dedup.lines(rows)).collect()}
+    for text in texts:
+        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(text.split())], np.uint64)
+        ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
+        want = np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0]
+        key = np.uint64(xxhash.xxh64_intdigest(text, 42)).astype(np.int64)
+        assert got[int(key)] == want
+
+
 def test_more_blocks_for_more_lines():
     for n in (0, 10, 10**6, 10**8, 10**11):
         blocks = line_dedup._blocks(n, 4)

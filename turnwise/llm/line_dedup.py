@@ -7,8 +7,8 @@ meet under one of them. There are so many blocks that a key is about as wide as
 lines; this moves the work only, the pairs in reach are the same. Pairs in reach whose word
 sequences are alike enough are links, and a connected group keeps one occurrence.
 
-A crowded key is not compared in pairs. All its lines are compared with its first line;
-lines that are linked to it are in its group already, and only the others meet all lines.
+A crowded group is not compared in pairs. All its lines are compared with its first line;
+lines that are linked to it are in its component already, and only the others meet all lines.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from turnwise.session import written
 
 BITS = 4
 SIMILAR = 0.8
-#: Lines under a key that are compared in pairs.
+#: Hashes under a key, or lines of a group, that are compared in pairs.
 CROWD = 32
 
 
@@ -34,40 +34,62 @@ def _words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != "")
 
 
+def _normal(line: Column) -> Column:
+    """Lower case, single blanks; only lines with other white space are cut into words for that."""
+    odd = reduce(lambda x, y: x | y, [F.contains(line, F.lit(c)) for c in ("  ", "\t", "\r", "\f", "\x0b")])
+    odd = odd | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(odd, F.array_join(_words(line), " ")).otherwise(F.lower(line))
+
+
 def lines(documents: DataFrame) -> DataFrame:
-    """``doc_id, text_key, line_no, norm`` of every line that is not blank; null texts have none.
+    """``doc_id, text_key, line_no, line, norm`` of every line that is not blank; null texts have none.
 
-    ``text_key`` tells apart rows that share a doc_id but not the text.
+    ``line`` is a hash of the normalised line and its number from then on; ``text_key`` tells
+    apart rows that share a doc_id but not the text.
     """
     rows = documents.select(F.col("doc_id").cast("long"), "text")
-    split = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return split.select("doc_id", "text_key", "line_no", F.array_join(_words(F.col("line")), " ").alias("norm")).filter(
-        "norm <> ''"
-    )
+    split = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    normal = split.select("doc_id", "text_key", "line_no", _normal(F.col("raw")).alias("norm")).filter("norm <> ''")
+    return normal.select("doc_id", "text_key", "line_no", F.xxhash64("norm").alias("line"), "norm")
 
 
-def simhashes(norms: DataFrame) -> DataFrame:
-    """``norm, line, n_words, simhash`` of distinct normalised lines; ``line`` is a line's number, a hash.
+def simhashes(rows: DataFrame) -> DataFrame:
+    """``line, n_words, simhash`` of the different lines among ``rows``.
 
     Each different word of a line counts once: by their mere number the frequent words of a
-    language would make all its long lines alike. Two counters of 32 bits share a sum, so 32
-    sums count the 64 bits.
+    language would make all its long lines alike. A line's bits are counted inside its row, so
+    neither its text nor counters are shuffled: four counters of 16 bits share a number, and
+    a line with more words than they can count has each bit counted alone.
     """
-    each = F.explode(F.array_distinct(F.split("norm", " ")))
-    words = norms.select("norm", each.alias("word")).select("norm", F.xxhash64("word").alias("h"))
-    lanes = F.lit(0x0000000100000001)
-    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(lanes)).alias(f"s{j}") for j in range(32)]
-    counted = words.groupBy("norm").agg(F.count("*").alias("n"), *sums)
-
-    def bit(count: Column, place: int) -> Column:
-        return F.when(2 * count > F.col("n"), F.lit(1 << place if place < 63 else -(1 << 63))).otherwise(F.lit(0))
-
-    bits = [bit(F.col(f"s{j}").bitwiseAND(F.lit(0xFFFFFFFF)), j) for j in range(32)]
-    bits += [bit(F.shiftrightunsigned(f"s{j}", 32), j + 32) for j in range(32)]
-    simhash = reduce(lambda a, b: a.bitwiseOR(b), bits)
-    return counted.select(
-        "norm", F.xxhash64("norm").alias("line"), F.size(F.split("norm", " ")).alias("n_words"), simhash.alias("simhash")
-    )
+    cut = F.split("norm", " ")
+    hashed = rows.select("line", F.size(cut).alias("n_words"), F.transform(F.array_distinct(cut), lambda w: F.xxhash64(w)).alias("h"))
+    few = F.size("h") < 1 << 15
+    zero = F.lit(0).cast("long")
+
+    def counters(j: int) -> Column:
+        lanes = F.lit(0x0001000100010001)
+        return F.when(few, F.aggregate("h", zero, lambda n, x: n + F.shiftrightunsigned(x, j).bitwiseAND(lanes)))
+
+    counted = hashed.select("line", "n_words", "h", *[counters(j).alias(f"s{j}") for j in range(16)])
+    ones = [
+        (j + 16 * lane, F.shiftrightunsigned(f"s{j}", 16 * lane).bitwiseAND(F.lit(0xFFFF)))
+        for j in range(16)
+        for lane in range(4)
+    ]
+    half = F.size("h")
+    bits = [
+        F.when(2 * n > half, F.lit(1 << place if place < 63 else -(1 << 63))).otherwise(zero) for place, n in ones
+    ]
+
+    def one_by_one(done: Column, place: Column) -> Column:
+        n = F.aggregate("h", zero, lambda n, x: n + F.call_function("getbit", x, place).cast("long"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+        return done.bitwiseOR(F.when(2 * n > F.size("h"), bit).otherwise(zero))
+
+    many = F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, one_by_one)
+    simhash = F.when(few, reduce(lambda x, y: x.bitwiseOR(y), bits)).otherwise(many)
+    each = counted.select("line", "n_words", simhash.alias("simhash"))
+    return each.groupBy("line").agg(F.min("n_words").alias("n_words"), F.min("simhash").alias("simhash"))
 
 
 def _blocks(n_lines: int, bits: int) -> int:
@@ -78,8 +100,8 @@ def _blocks(n_lines: int, bits: int) -> int:
     return 3 * bits
 
 
-def keys(table: DataFrame, blocks: int, bits: int) -> DataFrame:
-    """``key, line, n_words, simhash``: a row for each choice of ``blocks - bits`` blocks."""
+def keys(hashes: DataFrame, blocks: int, bits: int) -> DataFrame:
+    """``key, simhash``: a row for each choice of ``blocks - bits`` blocks."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     masks = []
     for kept in combinations(range(blocks), blocks - bits):
@@ -89,7 +111,7 @@ def keys(table: DataFrame, blocks: int, bits: int) -> DataFrame:
     each = F.array(
         *[F.xxhash64(F.lit(i), F.col("simhash").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]
     )
-    return table.select(F.explode(each).alias("key"), "line", "n_words", "simhash")
+    return hashes.select(F.explode(each).alias("key"), "simhash")
 
 
 def _in_reach(bits: int, similar: float) -> Column:
@@ -109,57 +131,70 @@ def _coded(norm: Column) -> Column:
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
 
 
-def alike(pairs: DataFrame, table: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def alike(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The ``pairs`` (u, v) whose word sequences have an edit similarity of ``similar`` or more.
 
     That is one less the words to insert, delete and replace, over the words of the longer line.
+    ``texts`` has ``line, coded, n_words``.
     """
-    pairs = written(pairs.distinct(), "line-pairs")
-    wanted = pairs.select(F.col("u").alias("line")).union(pairs.select(F.col("v").alias("line"))).distinct()
-    texts = written(
-        table.join(small(wanted), "line").select("line", _coded(F.col("norm")).alias("coded"), "n_words"), "line-texts"
-    )
-
     def side(end: str) -> DataFrame:
         return texts.select(F.col("line").alias(end), F.col("coded").alias(f"{end}_coded"), F.col("n_words").alias(f"{end}_words"))
 
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    both = pairs.distinct().join(side("u"), "u").join(side("v"), "v")
     most = f"cast(floor((1 - {similar}) * greatest(u_words, v_words) + 1e-9) as int)"
     return both.withColumn("most", F.expr(most)).filter(F.expr("levenshtein(u_coded, v_coded, most) >= 0")).select("u", "v")
 
 
-def links(table: DataFrame, bits: int = BITS, similar: float = SIMILAR) -> DataFrame:
-    """``u, v``: links that connect all lines of ``table`` (a stored one) within reach and alike."""
-    rows = keys(table.drop("norm"), _blocks(table.count(), bits), bits)
-    sizes = rows.groupBy("key").agg(
-        F.count("*").alias("n"),
-        F.min("line").alias("head"),
-        F.min_by("simhash", "line").alias("simhash"),
-        F.min_by("n_words", "line").alias("n_words"),
+def meetings(table: DataFrame, bits: int = BITS) -> DataFrame:
+    """``key, line, n_words, simhash``: groups of lines such that lines in reach share one.
+
+    The search is for hashes, each once, so rows are short: hashes within ``bits`` of each
+    other that share a key, then the lines that have them. Lines of one hash are a group
+    too, and a key with more than ``CROWD`` hashes is a group as it is.
+    """
+    hashes = table.select("simhash").distinct()
+    rows = keys(hashes, _blocks(table.count(), bits), bits)
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD)
+    crowded = written(sizes.select("key"), "crowded-keys")
+    few = rows.join(small(crowded), "key", "left_anti")
+    found = few.alias("a").join(
+        few.alias("b"),
+        F.expr(f"a.key = b.key and a.simhash < b.simhash and bit_count(a.simhash ^ b.simhash) <= {bits}"),
     )
-    crowded = written(sizes.filter(F.col("n") > CROWD).drop("n"), "crowded-keys")
-    few = rows.join(small(crowded.select("key")), "key", "left_anti")
+    pairs = written(found.select(F.col("a.simhash").alias("x"), F.col("b.simhash").alias("y")).distinct(), "near-hashes")
+    grouped = pairs.select(F.xxhash64("x", "y").alias("key"), F.explode(F.array("x", "y")).alias("simhash"))
+    same = table.groupBy("simhash").agg(F.count("*").alias("n")).filter("n > 1")
+    grouped = grouped.union(same.select(F.xxhash64(F.lit("same"), "simhash").alias("key"), "simhash"))
+    grouped = grouped.union(rows.join(small(crowded), "key", "left_semi"))
+    return grouped.join(table, "simhash").select("key", "line", "n_words", "simhash")
+
+
+def links(documents: DataFrame, table: DataFrame, bits: int = BITS, similar: float = SIMILAR) -> DataFrame:
+    """``u, v``: links that connect all lines of ``table`` (a stored one) within reach and alike."""
+    members = written(meetings(table, bits), "line-meetings")
+    wanted = written(members.select("line").distinct(), "wanted-lines")
+    found = lines(documents).select("line", "norm").join(small(wanted), "line").dropDuplicates(["line"])
+    coded = found.select("line", _coded(F.col("norm")).alias("coded"), F.size(F.split("norm", " ")).alias("n_words"))
+    texts = written(coded, "line-texts")
+    heads = written(
+        members.groupBy("key").agg(F.count("*").alias("n"), F.min("line").alias("head")).filter(F.col("n") > CROWD), "crowds"
+    ).select("key", "head")
     in_reach = _in_reach(bits, similar)
-    near = few.alias("a").join(few.alias("b"), (F.expr("a.key = b.key and a.line < b.line")) & in_reach)
-    close = alike(near.select(F.col("a.line").alias("u"), F.col("b.line").alias("v")), table, similar)
-    if not crowded.limit(1).count():
+    few = members.join(small(heads), "key", "left_anti")
+    near = few.alias("a").join(few.alias("b"), F.expr("a.key = b.key and a.line < b.line") & in_reach)
+    close = alike(near.select(F.col("a.line").alias("u"), F.col("b.line").alias("v")), texts, similar)
+    if not heads.limit(1).count():
         return close
 
-    # Crowded keys: heads first, then the lines that their head did not take in.
-    members = written(rows.join(small(crowded.select("key")), "key", "left_semi"), "crowded-lines")
-    headed = members.alias("a").join(crowded.alias("b"), F.expr("a.key = b.key and a.line <> b.head"))
-    to_head = headed.filter(in_reach).select(F.col("a.line").alias("u"), F.col("b.head").alias("v"))
-    taken = written(alike(to_head, table, similar), "line-links")
-    heads = crowded.select("key", "head")
-    rest = (
-        members.join(heads, "key")
-        .filter("line <> head")
-        .join(taken.withColumnsRenamed({"u": "line", "v": "head"}), ["line", "head"], "left_anti")
-        .select(*members.columns)
-    )
-    others = rest.alias("a").join(members.alias("b"), F.expr("a.key = b.key and a.line <> b.line") & in_reach)
+    # Crowds: all lines with the first one, then those that it did not take in with all.
+    crowd = written(members.join(small(heads), "key"), "crowded-lines")
+    first = crowd.filter("line = head")
+    to_head = crowd.alias("a").join(first.alias("b"), F.expr("a.key = b.key and a.line <> b.line") & in_reach)
+    taken = written(alike(to_head.select(F.col("a.line").alias("u"), F.col("b.line").alias("v")), texts, similar), "line-links")
+    rest = crowd.filter("line <> head").join(taken.withColumnsRenamed({"u": "line", "v": "head"}), ["line", "head"], "left_anti")
+    others = rest.alias("a").join(crowd.alias("b"), F.expr("a.key = b.key and a.line <> b.line") & in_reach)
     ordered = others.select(F.expr("least(a.line, b.line)").alias("u"), F.expr("greatest(a.line, b.line)").alias("v"))
-    return close.union(taken).union(alike(ordered, table, similar))
+    return close.union(taken).union(alike(ordered, texts, similar))
 
 
 def classes(documents: DataFrame, bits: int = BITS, similar: float = SIMILAR) -> DataFrame:
@@ -168,11 +203,9 @@ def classes(documents: DataFrame, bits: int = BITS, similar: float = SIMILAR) ->
     The class is named by its first occurrence by doc_id and line, which alone is kept. Rows
     that repeat a document keep or lose the same lines; lines of rows without doc_id come first.
     """
-    table = written(simhashes(lines(documents).select("norm").distinct()), "lines")
-    roots = components(links(table, bits, similar))
-    occurrences = written(
-        lines(documents).select("doc_id", "text_key", "line_no", F.xxhash64("norm").alias("line")), "occurrences"
-    )
+    table = written(simhashes(lines(documents)), "lines")
+    roots = components(links(documents, table, bits, similar))
+    occurrences = lines(documents).drop("norm")
     rooted = occurrences.join(roots.withColumnRenamed("node", "line"), "line", "left").select(
         "doc_id", "text_key", "line_no", F.coalesce("root", "line").alias("root")
     )
