@@ -18,6 +18,8 @@ from turnwise.session import written
 BINS, BITS, SHINGLE = 128, 8, 5
 _BIN_SHIFT = 64 - 7  # the upper 7 bits, signed: -64 to 63
 _FIRST_BIN = -BINS // 2
+#: The bins that an empty bin b asks first: b * step + start.
+_ASKED = [(2 * (t * 29 % 64) + 1, t * 53 % BINS) for t in range(1, 9)]
 
 
 def _bin(h: Column) -> Column:
@@ -29,7 +31,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
 
     The steps are columns of their own so that no lambda computes one again per element.
     """
-    w, s, o, m = (f"_{name}_{k}" for k in "wsom")
+    w, s, o, m, p, f = (f"_{name}_{k}" for k in "wsompf")
     df = df.withColumn(
         w, F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != ""), lambda x: F.xxhash64(x))
     )
@@ -43,19 +45,24 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
         m,
         F.filter(o, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(F.col(o), i - 1)))),
     )
-    values = F.col(m)
-
-    def filled(b: Column) -> Column:
-        own = F.filter(values, lambda v: _bin(v) == b)
-        drawn = F.array_min(F.transform(values, lambda v: F.struct(F.xxhash64(b, _bin(v)).alias("r"), v.alias("v"))))
-        # A borrowed value is hashed with its new bin: else bins that share a source would agree by chance together.
-        return F.when(F.size(own) > 0, F.get(own, 0)).otherwise(F.xxhash64(drawn["v"], b))
-
-    every = F.when(F.size(m) == BINS, values).otherwise(
-        F.transform(F.sequence(F.lit(_FIRST_BIN), F.lit(_FIRST_BIN + BINS - 1)), filled)
-    )
+    df = df.withColumn(p, F.transform(m, _bin))
+    at = F.sequence(F.lit(_FIRST_BIN), F.lit(_FIRST_BIN + BINS - 1))
+    df = df.withColumn(f, F.transform(at, lambda b: F.get(F.col(m), (F.array_position(F.col(p), b) - 1).cast("int"))))
+    values, bins, full = F.col(m), F.col(p), F.col(f)
+
+    def filled(own: Column, b: Column) -> Column:
+        asked = [F.get(full, (b * step + start).bitwiseAND(BINS - 1)) for step, start in _ASKED]
+        # All full bins in an order of the empty bin's own; the place of the value rides in the low bits.
+        drawn = F.array_min(
+            F.transform(bins, lambda x, i: F.xxhash64(b, x).bitwiseAND(F.lit(-BINS)).bitwiseOR(i.cast("long")))
+        ).bitwiseAND(F.lit(BINS - 1))
+        borrowed = F.coalesce(*asked, F.get(values, drawn.cast("int")))
+        # Hashed with its new bin: else bins that share a source would agree by chance together.
+        return F.when(own.isNotNull(), own).otherwise(F.xxhash64(borrowed, b))
+
+    every = F.when(F.size(m) == BINS, values).otherwise(F.transform(full, filled))
     low = F.transform(every, lambda v: v.bitwiseAND(F.lit((1 << BITS) - 1)).cast("short"))
-    return df.withColumn(name, low).drop(w, s, o, m)
+    return df.withColumn(name, low).drop(w, s, o, m, p, f)
 
 
 def packed(numbers: str) -> Column:
@@ -111,7 +118,8 @@ def with_neighbours(documents: DataFrame) -> DataFrame:
         F.col("_k2").alias("_to2"),
         F.floor(F.col("n_chars") / 3).cast("int").alias("_need"),
     )
-    placed = docs.join(order.join(asking, "idx").drop("doc_id"), key)
+    # Both sides of the second join take the same columns of ``docs``, so its texts travel once.
+    placed = docs.select(*key, "text").join(order.join(asking, "idx"), key)
     begins = placed.select(
         F.col("_to").alias("_k"), F.col("_to2").alias("_k2"), F.substring(F.col("text"), F.lit(1), F.col("_need")).alias("_begin")
     ).dropDuplicates(key)
