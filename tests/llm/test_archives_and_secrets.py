@@ -119,6 +119,21 @@ def test_novelty_is_low_for_what_is_known():
     assert secret_scan.novelty(primed, "getAccessGrant() { return ", "getAccessGrant", "; }") < secret_scan.NOVELTY
 
 
+OTHER = "Zt5WqN8hYb3LxJ6dVr1s"
+
+
+def seen(text):
+    return [value for _, _, value, _, _ in secret_scan.candidates(text, secret_scan.base_spans(text))]
+
+
+@pytest.mark.parametrize(
+    "text", ["password for administrator is {}", "client_secret for authentication {}", "auth keys ['{}', '{}']"]
+)
+def test_every_string_in_reach_is_judged(text):
+    keys = [KEY, OTHER][: text.count("{}")]
+    assert set(keys) <= set(seen(text.format(*keys)))
+
+
 def test_secrets_of_odd_documents(documents, no_documents):
     assert secret_scan.find(documents).count() == documents.count()
     assert secret_scan.find(no_documents).count() == 0

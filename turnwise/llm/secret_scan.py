@@ -26,6 +26,8 @@ NOVELTY = 0.6
 #: Identifiers in the dictionary: a parameter of the model, whatever the corpus' size.
 IDENTIFIERS = 2000
 AROUND = 64
+#: Characters from a sensitive word to the strings that are judged for it.
+REACH = 32
 
 # Fixed patterns of the base forms. Letters of the names count in either case, ASCII only.
 _ASSIGN = re.compile(
@@ -33,13 +35,13 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-# Sensitive words, and what may stand between them and a candidate.
+# Sensitive words, and the strings that are judged within their reach.
 _WORDS = ("passw", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "auth", "bearer",
           "credential", "private", "access", "signature", "client", "cookie")
-_NEAR = re.compile(
-    r"(?ai)(?:passw|passphrase|pwd|secret|token|api[_-]?key|auth|bearer|credential|private|access|signature|client|cookie)"
-    r"[^\n]{0,32}?(?<![A-Za-z0-9+/_=.~-])([A-Za-z0-9+/_=.~-]{12,})"
+_SENSITIVE = re.compile(
+    r"(?ai)passw|passphrase|pwd|secret|token|api[_-]?key|auth|bearer|credential|private|access|signature|client|cookie"
 )
+_STRING = re.compile(r"[A-Za-z0-9+/_=.~-]{12,}")
 _IDENTIFIER = r"[A-Za-z_]{3,24}"
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
 _CANDIDATE = pa.struct(
@@ -66,15 +68,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int, str, str, str]]:
-    """Strings of two kinds of characters or more after a sensitive word, outside ``taken`` spans."""
+    """Strings of two kinds of characters or more after a sensitive word, outside ``taken`` spans.
+
+    Every string within reach of a sensitive word is judged, whatever stands between them.
+    """
     low = text.lower()
     if not any(w in low for w in _WORDS):
         return []
+    ends = [m.end() for m in _SENSITIVE.finditer(text)]
     out, at = [], 0
-    while found := _NEAR.search(text, at):
-        start, stop = found.span(1)
-        at = stop
-        value = found[1]
+    for found in _STRING.finditer(text):
+        start, stop = found.span()
+        value = found[0]
+        while at < len(ends) and ends[at] <= start:
+            at += 1
+        if not at or start - ends[at - 1] > REACH or "\n" in text[ends[at - 1] : start]:
+            continue
         mixed = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
         if mixed >= 2 and not any(a < stop and start < b for _, a, b in taken):
             out.append((start, stop, value, text[max(0, start - AROUND) : start], text[stop : stop + AROUND]))
