@@ -134,6 +134,39 @@ def test_every_string_in_reach_is_judged(text):
     assert set(keys) <= set(seen(text.format(*keys)))
 
 
+LOWER = "xqzjwkvbpghfydmtcr"  # a key although it stands in many texts
+FORMS = [
+    "AWS_SECRET_ACCESS_KEY={}", "DB_PASSWORD_PROD={}", "pwd={}", "client_auth={}", "credential={}", "api-key={}",
+    "https://example.org/v1?access={}", "pwd:={}", "private:\n  {}", "password of the production database server of the office: {}",
+    "-----BEGIN RSA PRIVATE KEY-----\n{}\n" + OTHER + "\n-----END", "auth [" + f"'{OTHER}', " * 9 + "'{}']", "pwd {}==",
+]
+
+
+def test_keys_in_their_usual_forms(spark):
+    texts = [f.format(k) for f in FORMS for k in (KEY, LOWER, LOWER.upper())]
+    texts += ["the client and the administrator met", "private information\nresponsibilities", "access ------------", "client aaaaaaaaaaaaaaaa"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.find(rows).collect():
+        text = texts[r["doc_id"]]
+        hits = [text[s["start"] : s["stop"]].rstrip("=") for s in r["spans"]]
+        if r["doc_id"] < 3 * len(FORMS):
+            assert any(h.endswith((KEY, LOWER, LOWER.upper())) for h in hits), text
+        else:
+            assert not hits, text
+
+
+def test_all_lines_of_a_key_are_found():
+    lines = [f"{KEY[i:]}{OTHER}{KEY[:i]}" for i in range(20)]
+    assert seen("-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----") == lines
+
+
+def test_parts_between_equals_signs():
+    assert secret_scan.parts(5, f"==a={KEY}==") == [(9, f"{KEY}==")]
+    assert secret_scan.parts(0, "ab=12XyZ9qq8w=x") == [(3, "12XyZ9qq8w=x")]
+    assert secret_scan.parts(0, "ab=12XyZ9qq8") == [(0, "ab=12XyZ9qq8")]
+    assert secret_scan.parts(0, "============") == []
+
+
 def test_secrets_of_odd_documents(documents, no_documents):
     assert secret_scan.find(documents).count() == documents.count()
     assert secret_scan.find(no_documents).count() == 0
