@@ -142,6 +142,28 @@ def test_decoding(token, word):
     assert word in toxicity.restored(token, model)
 
 
+@pytest.mark.parametrize("token", ["stu.pid", "stup-id", "st*pid", "s#upid", "stu2id", "st_upid", "stu'pid"])
+def test_signs_inside_words(token):
+    model = toxicity.log_model(_counts(["the idiot said stupid and plain things"] * 50))
+    assert "stupid" in toxicity.restored(token, model)
+    assert set(toxicity._LETTERS.findall(token)) <= toxicity.restored(token, model)
+
+
+def test_long_tokens_are_one_lattice():
+    model = toxicity.log_model(_counts(["the idiot said stupid and plain things"] * 50))
+    for n in range(40, 50):
+        assert "stupid" in toxicity.decode("-" * n + "stup1d", model)
+    assert len(toxicity.decode("ab1" * 20_000, model)) >= 40_000
+
+
+def test_words_cut_by_blanks(spark):
+    model = toxicity.log_model(_counts(["the idiot said stupid and plain things"] * 50))
+    scorer = toxicity.Scorer({"^stupid$": 0.9}, model)
+    for text in ("so stu pid, he", "(st up id)", "s tupid", "stupi d!"):
+        assert scorer.levels(text)[0] == scorer.levels("stupid")[0] > 0
+    assert scorer.levels("stu he pid")[0] == scorer.levels("stu")[0] == 0
+
+
 def _counts(texts):
     tri = np.zeros(toxicity.CLASSES**3)
     for text in texts:

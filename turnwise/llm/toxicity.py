@@ -1,8 +1,8 @@
 """Toxicity of noisy texts: restore disguised words under a character model, then score words.
 
 Channel. A token with digits or signs among its letters, a letter three times in a row, or
-letters set apart is a lattice: a sign may stand for letters, be itself, or be dropped, and a
-repeated letter may be dropped. Viterbi finds the path that a trigram character model of the
+letters set apart is a lattice: a sign may stand for letters, hide one, be itself, or be dropped,
+and a repeated letter may be dropped. Words cut by blanks are met by their pieces in scoring. Viterbi finds the path that a trigram character model of the
 whole corpus and the channel's costs like best. All other tokens have one path, themselves.
 
 Score. Every restored word takes the surest of its pieces: the whole word, its beginnings and
@@ -43,8 +43,11 @@ LEET = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
-#: Costs of the channel in nats: a sign for a letter, a dropped repetition, a dropped sign.
-AS_LETTER, REPEATED, DROPPED = -2.0, -1.0, -3.0
+#: Characters that hide a letter without being like one.
+HIDING = "*#26"
+#: Costs of the channel in nats: a sign for a letter, a dropped repetition, a dropped sign, a hidden letter.
+AS_LETTER, REPEATED, DROPPED, HIDDEN = -2.0, -1.0, -3.0, -3.0
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 _EDGES = ".,;:?\"'`()[]{}<>«»“”„…*#%&=~^/\\-_"
 _TRIPLE = re.compile(r"(.)\1\1")
 _RUN = re.compile(r"(.)\1+")
@@ -119,29 +122,44 @@ def log_model(tri: np.ndarray) -> np.ndarray:
 
 
 def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest plain form of a lower-case token; long ones are decoded 48 characters at a time."""
-    if len(token) > 48:
-        return "".join(decode(token[i : i + 48], model) for i in range(0, len(token), 48))
-    best: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+    """The likeliest plain form of a lower-case token, in time that grows with its length.
+
+    Paths are linked from their ends, so they share what they have in common. A character that
+    hides a letter may be any one if the token has as many letters as such characters.
+    """
+    masked = 0 < sum(ch in HIDING for ch in token) <= sum(ch.isalpha() for ch in token)
+    best: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
     for ch in token:
         letters = [(x, AS_LETTER) for x in LEET.get(ch, "")]
+        if masked and ch in HIDING:
+            letters += [(x, HIDDEN) for x in _ALPHABET]
         letters.append((ch, 0.0))
-        after: dict[tuple[int, int, str], tuple[float, str]] = {}
+        after: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
 
-        def offer(key, score, text):
+        def offer(key, score, path):
             if key not in after or score > after[key][0]:
-                after[key] = (score, text)
+                after[key] = (score, path)
 
-        for (a, b, last), (score, text) in best.items():
+        for (a, b, last), (score, path) in best.items():
             for out, cost in letters:
                 c = int(_TABLE[ord(out)])
-                offer((b, c, out), score + cost + float(model[a, b, c]), text + out)
+                offer((b, c, out), score + cost + float(model[a, b, c]), (path, out))
                 if out == last:
-                    offer((a, b, last), score + cost + REPEATED, text)
-            if not ch.isalpha() and text:
-                offer((a, b, last), score + DROPPED, text)
+                    offer((a, b, last), score + cost + REPEATED, path)
+            if not ch.isalpha() and path:
+                offer((a, b, last), score + DROPPED, path)
         best = after
-    return max((score + float(model[a, b, 0]), text) for (a, b, _), (score, text) in best.items())[1]
+    ends = [(score + float(model[a, b, 0]), path) for (a, b, _), (score, path) in best.items()]
+    top = max(score for score, _ in ends)
+    return max(_text(path) for score, path in ends if score == top)
+
+
+def _text(path: tuple | None) -> str:
+    out = []
+    while path:
+        path, ch = path
+        out.append(ch)
+    return "".join(reversed(out))
 
 
 def restored(token: str, model: np.ndarray) -> set[str]:
@@ -158,8 +176,7 @@ def restored(token: str, model: np.ndarray) -> set[str]:
         if not parts and not any(c in LEET for c in bare):
             return set()
         words = set(parts)
-        if any(c in LEET for c in bare.rstrip("!")) or len(parts) > 2 and all(len(p) == 1 for p in parts):
-            words.update(_LETTERS.findall(decode(bare.rstrip("!"), model)))
+        words.update(_LETTERS.findall(decode(bare.rstrip("!"), model)))
     return words | {_RUN.sub(r"\1", w) for w in words}
 
 
@@ -292,6 +309,23 @@ class Scorer:
         self.sure, self.model = sure, model
         self.known: dict[str, float] = {}
         self.words = Words(model)
+        # Words that count as a whole, and what they may begin with when they are cut by blanks.
+        self.whole = {p[1:-1]: v for p, v in sure.items() if len(p) > 5 and p[0] == "^" and p[-1] == "$"}
+        self.heads = {w[:k] for w in self.whole for k in range(1, len(w))}
+
+    def _cut(self, tokens: list[str]) -> Iterator[float]:
+        """Of words in several tokens, at least one of them longer than a letter."""
+        for i, token in enumerate(tokens):
+            head = token.lstrip(_EDGES)
+            if head not in self.heads:
+                continue
+            longest, at = len(head), i + 1
+            while head in self.heads and at < len(tokens):
+                bare = tokens[at].rstrip(_EDGES + "!")
+                longest = max(longest, len(bare))
+                if longest > 1 and head + bare in self.whole:
+                    yield self.whole[head + bare]
+                head, at = head + tokens[at], at + 1
 
     def _token(self, token: str) -> float:
         words = restored(token, self.model)
@@ -299,7 +333,8 @@ class Scorer:
 
     def levels(self, text: str) -> tuple[int, ...]:
         low = text.lower()
-        tokens = set(low.split())
+        in_order = low.split()
+        tokens = set(in_order)
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
@@ -307,6 +342,7 @@ class Scorer:
             if token not in known:
                 known[token] = self._token(token)
         found = [known[t] for t in tokens]
+        found += self._cut(in_order)
         for apart in _APART.finditer(low):
             found.append(self._token(decode(re.sub(r"[ ._*-]", "", apart[0]), self.model)))
         top = [*heapq.nlargest(3, found), 0.0, 0.0, 0.0][:3]
