@@ -19,7 +19,7 @@ COLUMNS = {
 
 
 def test_there_is_a_query_for_each_operator():
-    assert sorted(int(k.split("_")[0][2:]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k.split("_")[0][2:]) for k in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("key", sorted(ORACLES))

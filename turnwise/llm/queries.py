@@ -8,7 +8,19 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import decontam, fingerprints, line_dedup, lm_score, packing, quality, secret_scan, simhash, toxicity, warc
+from turnwise.llm import (
+    decontam,
+    fingerprints,
+    line_dedup,
+    lm_score,
+    packing,
+    phrases,
+    quality,
+    secret_scan,
+    simhash,
+    toxicity,
+    warc,
+)
 from turnwise.llm.common import ship, table, tokenizer_path
 from turnwise.session import scratch_path
 
@@ -153,3 +165,28 @@ def op9_quality(spark, sf_dir):
 @_query("op5_line_dedup")
 def op5_line_dedup(spark, sf_dir):
     return line_dedup.classes(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@_query(
+    "op11_collocations",
+    """WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+    p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM t),
+    o AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) AS s(k) WHERE len(w) >= k),
+    g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS f FROM o GROUP BY ALL),
+    n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+    c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f FROM g WHERE k > 1 AND f >= 30),
+    cut AS (SELECT c.lang, c.phrase, j, c.f AS a, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.f) // (x.f + y.f))::BIGINT AS score
+            FROM (SELECT *, unnest(range(1, k)) AS j FROM c) AS c
+            JOIN g AS x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(w, 1, j), ' ')
+            JOIN g AS y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(w, j + 1, c.k), ' ')),
+    weak AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+    sub AS (SELECT lang, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase, max(f) AS cover FROM (
+              SELECT *, unnest(range(1, k - size + 2)) AS i FROM c, (VALUES (2), (3)) AS s(size) WHERE size < k) GROUP BY ALL)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM weak JOIN n USING (lang) LEFT JOIN sub USING (lang, phrase)
+    WHERE cover IS NULL OR 100 * cover < 80 * a
+    QUALIFY rank <= 2000""",
+)
+def op11_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
