@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions.columns import leading_ones, total
@@ -17,14 +17,26 @@ from turnwise.operators.scale import best_per_group, running_sums
 # --- answer logs ---------------------------------------------------------------
 
 
-def alpha_by_depth(answers: DataFrame) -> DataFrame:
-    """Accepted / tried per draft depth over all questions, rounded half-even."""
+def alpha_by_depth(
+    answers: DataFrame, depths: int | None = None, by_turn: bool = False, last_turn_only: bool = False
+) -> DataFrame:
+    """Accepted / tried per draft depth over all questions, rounded half-even.
+
+    A log keeps the counters of a question's last turn, one slot per depth. With ``depths``
+    the counters of all turns follow each other, so many slots a turn: they are added up,
+    listed ``by_turn``, or those of the last turn are counted alone.
+    """
     choice = F.get("choices", F.lit(0))
     slots = F.arrays_zip(choice["alpha"].alias("alpha"), choice["alpha_num"].alias("alpha_num"))
-    at = answers.select("model_id", F.posexplode(slots).alias("depth", "s"))
-    sums = at.groupBy("model_id", F.col("depth").cast("bigint").alias("depth")).agg(
-        F.sum("s.alpha").alias("accepted"), F.sum("s.alpha_num").alias("tried")
-    )
+    at = answers.select("model_id", F.size(slots).alias("n"), F.posexplode(slots).alias("slot", "s"))
+    width = F.lit(depths) if depths else F.col("n")
+    turn = F.floor(F.col("slot") / width).cast("bigint")
+    at = at.select("model_id", turn.alias("turn"), F.floor((F.col("n") - 1) / width).alias("last"),
+                   F.pmod(F.col("slot"), width).cast("bigint").alias("depth"), "s")
+    if last_turn_only:
+        at = at.filter("turn = last")
+    by = ["model_id", *(["turn"] if by_turn else []), "depth"]
+    sums = at.groupBy(*by).agg(F.sum("s.alpha").alias("accepted"), F.sum("s.alpha_num").alias("tried"))
     return sums.withColumn("alpha", F.bround(F.try_divide("accepted", "tried"), 2))
 
 
@@ -100,6 +112,53 @@ def mean_std(log: DataFrame, by: Sequence[str] = ("position",)) -> DataFrame:
     )
 
 
+def moments(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """One record (n, mean, m2) per value column and group; m2 is the sum of squared gaps to the mean.
+
+    Records of parts, from other workers or micro-batches, combine with ``merged_moments``.
+    Nulls are not counted; a group without values has n = 0.
+    """
+    found = {}
+    for v in values:
+        n = F.count(v)
+        mean = F.coalesce(F.avg(F.col(v).cast("double")), F.lit(0.0))
+        m2 = F.coalesce(F.var_pop(F.col(v).cast("double")), F.lit(0.0)) * n
+        found[v] = F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2"))
+    return df.groupBy(*by).agg(*[c.alias(v) for v, c in found.items()])
+
+
+def merged_moments(records: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Combine records of ``moments``: the result is that of all their rows together.
+
+    The common mean is found first, and every record then adds its own squares and the gap of
+    its mean to the common one, so nothing large is subtracted from something large.
+    """
+    group = Window.partitionBy(*by)
+    at = records
+    for v in values:
+        n, mean = F.col(f"{v}.n"), F.col(f"{v}.mean")
+        at = at.withColumn(f"_mean_{v}", F.coalesce(F.try_divide(F.sum(n * mean).over(group), F.sum(n).over(group)), F.lit(0.0)))
+    sums = []
+    for v in values:
+        n, gap = F.col(f"{v}.n"), F.col(f"{v}.mean") - F.col(f"_mean_{v}")
+        record = F.struct(
+            F.sum(n).alias("n"), F.first(f"_mean_{v}").alias("mean"), F.sum(F.col(f"{v}.m2") + n * gap * gap).alias("m2")
+        )
+        sums.append(record.alias(v))
+    return at.groupBy(*by).agg(*sums)
+
+
+def deviation(record) -> Column:
+    """Population deviation of a record; null without values."""
+    record = F.col(record) if isinstance(record, str) else record
+    return F.sqrt(F.try_divide(record["m2"], record["n"]))
+
+
+def moment_mean(record) -> Column:
+    record = F.col(record) if isinstance(record, str) else record
+    return F.when(record["n"] > 0, record["mean"])
+
+
 def summary(log: DataFrame, samples_per_batch: int, data_type: str, batch: Sequence[str] = ("batch",)) -> DataFrame:
     """The nested one-row summary of an evaluation. It has one entry per position.
 

@@ -3,6 +3,7 @@ ordinal, so they give the same answer on any number of machines."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.columns import hash32
 from turnwise.operators.scale import dense_index
+from turnwise.session import written
 
 
 def shuffle_seeded(df: DataFrame, key: str, seed: int = 42, epoch: int | None = None) -> DataFrame:
@@ -19,6 +21,61 @@ def shuffle_seeded(df: DataFrame, key: str, seed: int = 42, epoch: int | None =
     return dense_index(keyed, ["_h", key], "position").drop("_h")
 
 
+#: Rounds of ``permuted`` per bit of the row count, and at least.
+ROUNDS_PER_BIT, LEAST_ROUNDS = 4, 24
+_PRIME = (1 << 31) - 1
+
+
+def permutation_rounds(n: int, *key) -> list[tuple[int, int, int, int]]:
+    """The round keys (k, a, b, c) of ``permuted`` for ``n`` rows under a key."""
+    rounds = max(LEAST_ROUNDS, ROUNDS_PER_BIT * max(n, 1).bit_length())
+    out = []
+    for i in range(rounds):
+        digest = hashlib.sha256(":".join(map(str, (*key, i))).encode()).digest()
+        k, a, b, c = (int.from_bytes(digest[j : j + 8], "big") for j in (0, 8, 16, 24))
+        out.append((k % max(n, 1), 1 + a % (_PRIME - 1), b % _PRIME, c % _PRIME))
+    return out
+
+
+def permuted(position, n: int, *key) -> Column:
+    """The place of row ``position`` (0 to n - 1) in a permutation that ``key`` draws.
+
+    Swap-or-not rounds: a round pairs x with (k - x) mod n and both change places if a keyed
+    bit of the larger one is set. That is its own inverse for every n, so no places beyond n
+    have to be walked back from. Only whole numbers are used; nothing is shuffled or joined.
+    """
+    position = F.col(position) if isinstance(position, str) else position
+    if n < 2:
+        return position.cast("bigint")
+    rounds = F.array(*[
+        F.struct(*[F.lit(v).cast("bigint").alias(name) for name, v in zip("kabc", r, strict=True)])
+        for r in permutation_rounds(n, *key)
+    ])
+    size, prime = F.lit(n).cast("bigint"), F.lit(_PRIME).cast("bigint")
+
+    def turn(x: Column, r: Column) -> Column:
+        other = F.pmod(r["k"] - x, size)
+        larger = F.greatest(x, other)
+        mixed = F.pmod(F.pmod(larger, prime) * r["a"] + r["b"], prime)
+        mixed = F.pmod(mixed + F.pmod(F.floor(larger / prime), prime) * F.lit(65_537) + r["c"], prime)
+        mixed = F.pmod(mixed * mixed, prime)
+        return F.when(F.shiftright(mixed, 15).bitwiseAND(F.lit(1)) == 1, other).otherwise(x)
+
+    return F.aggregate(rounds, position.cast("bigint"), turn)
+
+
+def epochs(df: DataFrame, order: list[str], count: int, seed: int = 42) -> DataFrame:
+    """One row per row and epoch, with its ``position`` in that epoch's permutation.
+
+    Rows are numbered once; an epoch more is one expression more, without another exchange.
+    """
+    at = written(dense_index(df, order, "_ordinal"), "ordinals")
+    n = at.count()
+    places = F.array(*[permuted("_ordinal", n, seed, e) for e in range(count)])
+    out = at.select(*df.columns, F.posexplode(places).alias("epoch", "position"))
+    return out.withColumn("epoch", F.col("epoch").cast("bigint"))
+
+
 def in_train(key, percent: int = 95, seed: int = 42) -> Column:
     key = F.col(key) if isinstance(key, str) else key
     return F.pmod(hash32(key, F.lit(seed)), F.lit(100)) < percent

@@ -12,8 +12,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from turnwise.functions.columns import shifted_left, tokens_of
+from turnwise.operators.chat import CLOSE, OPEN, ROLE_OF_SPEAKER
 from turnwise.operators.scale import dense_index, lookup, running_sums
 from turnwise.session import written
 
@@ -42,7 +44,8 @@ def tokenize_with(
     ``encode`` maps a list of texts to lists of tokens, or of ids with another ``kind``.
     All columns are kept, of whatever type; null texts are passed on as empty ones.
     """
-    before = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema.fields)
+    added = StructType.fromDDL(f"`{name}` {kind}")
+    shape = StructType([*messages.schema.fields, *added.fields])
 
     def run(batches):
         import pyarrow as pa
@@ -51,7 +54,7 @@ def tokenize_with(
             found = encode([text or "" for text in batch.column("value").to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, name])
 
-    return messages.mapInArrow(run, f"{before}, `{name}` {kind}")
+    return messages.mapInArrow(run, shape)
 
 
 def is_target(speaker="speaker", j="j", pos="pos") -> Column:
@@ -156,18 +159,22 @@ def long_sequences(seqs: DataFrame, *arrays: str) -> DataFrame:
     )
 
 
-def pad_batches(seqs: DataFrame, order: list[str], batch_size: int, features: str | None = None) -> DataFrame:
+def pad_batches(
+    seqs: DataFrame, order: list[str], batch_size: int, features: str | None = None, batches: DataFrame | None = None
+) -> DataFrame:
     """Consecutive sequences form a batch; all are zero-padded to the batch's longest.
 
+    ``batches`` (order, batch_id), such as ``bucketed_batches``, deals them out in another way.
+
     ``order`` names a row. The sequences are stored once and numbered by their narrow
     keys. ``features`` names an array of vectors, one per position, that is padded with
     zero vectors.
     """
     seqs = written(seqs, "sequences")
-    keys = dense_index(seqs.select(*order), order, "row")
-    keyed = seqs.join(keys, order).withColumn(
-        "batch_id", F.floor(F.col("row") / batch_size).cast("bigint")
-    )
+    if batches is None:
+        numbered = dense_index(seqs.select(*order), order, "row")
+        batches = numbered.withColumn("batch_id", F.floor(F.col("row") / batch_size).cast("bigint"))
+    keyed = seqs.join(batches.select(*order, "batch_id"), order)
     longest = F.max(F.size("input_ids")).over(Window.partitionBy("batch_id"))
     out = keyed.withColumn("_longest", longest)
     for name in [c for c in ("input_ids", "loss_mask", "attention_mask") if c in seqs.columns]:
@@ -178,4 +185,92 @@ def pad_batches(seqs: DataFrame, order: list[str], batch_size: int, features: st
         out = out.withColumn(
             features, F.concat(features, F.array_repeat(blank, F.col("_longest") - F.size(features)))
         )
-    return out.drop("_longest", "row")
+    return out.drop("_longest")
+
+
+def length_buckets(sizes: DataFrame, buckets: int, size: str = "size") -> DataFrame:
+    """(size, bucket): lengths cut into ``buckets`` ranges with about equally many sequences each.
+
+    The summary is the count of every length, which merges exactly across tasks and has at most
+    one row per length up to the window size. A length lies in one bucket as a whole.
+    """
+    counted = sizes.groupBy(F.col(size).alias("size")).agg(F.count("*").alias("n"))
+    order = Window.orderBy("size")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("n").over(Window.partitionBy())
+    return counted.select("size", F.floor(before * buckets / total).cast("bigint").alias("bucket"))
+
+
+def bucketed_batches(
+    seqs: DataFrame, order: list[str], batch_size: int, buckets: int = 16, seed: int = 42, epoch: int = 0
+) -> DataFrame:
+    """``order``, size, bucket, batch_id: batches of sequences of similar length.
+
+    Inside a bucket the order is drawn by seed and epoch; each sequence is in one batch. The
+    result holds keys and lengths only, ``pad_batches`` takes it as ``batches``.
+    """
+    sizes = written(seqs.select(*order, F.size("input_ids").alias("size")), "sequence-sizes")
+    drawn = sizes.join(F.broadcast(length_buckets(sizes, buckets)), "size").withColumn(
+        "_drawn", F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in order], F.lit(seed), F.lit(epoch)))
+    )
+    at = dense_index(drawn, ["bucket", "_drawn", *order], "_row")
+    return at.select(*order, "size", "bucket", F.floor(F.col("_row") / batch_size).cast("bigint").alias("batch_id"))
+
+
+def padding_share(batches: DataFrame) -> DataFrame:
+    """(sequences, tokens, padding, share) of a table with ``batch_id`` and ``size``: how much of
+    the rectangular batches would be padding."""
+    per = batches.groupBy("batch_id").agg(F.count("*").alias("k"), F.sum("size").alias("t"), F.max("size").alias("m"))
+    sums = per.agg(F.sum("k").alias("sequences"), F.sum("t").alias("tokens"), F.sum(F.col("k") * F.col("m")).alias("cells"))
+    return sums.select(
+        "sequences",
+        "tokens",
+        (F.col("cells") - F.col("tokens")).alias("padding"),
+        F.try_divide(F.col("cells") - F.col("tokens"), F.col("cells")).alias("share"),
+    )
+
+
+def target_spans(offsets: list[tuple[int, int]], begin: int, end: int) -> list[int]:
+    """1 for each token that lies within ``[begin, end)`` as a whole and is not empty, else 0."""
+    return [int(begin <= a < b <= end) for a, b in offsets]
+
+
+def subword_tokens(messages: DataFrame, vocabulary: str) -> DataFrame:
+    """Rendered messages as ids of a tokenizer file, with places and loss masks.
+
+    ``messages`` (conv_id, j, speaker, value) gains ``header`` (its characters before the
+    content), ``ids``, ``starts``, ``stops`` (code points of the rendered message) and ``masks``.
+    A message is encoded as it is rendered, markers included, one by one, so a long
+    conversation is many rows. A token is a target if all of it is assistant content: one
+    that reaches over the border to a marker is masked. The file is read where tasks run.
+    """
+    added = StructType.fromDDL("ids array<int>, starts array<int>, stops array<int>, masks array<int>, header int")
+    shape = StructType([*messages.schema.fields, *added.fields])
+
+    def run(batches):
+        import pyarrow as pa
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(vocabulary)
+        for batch in batches:
+            who, texts = batch.column("speaker").to_pylist(), [t or "" for t in batch.column("value").to_pylist()]
+            heads = [f"{OPEN}{ROLE_OF_SPEAKER.get(w, w)}\n" for w in who]
+            found = tokenizer.encode_batch(
+                [h + t + CLOSE for h, t in zip(heads, texts, strict=True)], add_special_tokens=False
+            )
+            masks = [
+                target_spans(f.offsets, len(h), len(h) + len(t)) if w == "gpt" else [0] * len(f.ids)
+                for w, h, t, f in zip(who, heads, texts, found, strict=True)
+            ]
+            kind = pa.list_(pa.int32())
+            columns = [
+                pa.array([f.ids for f in found], kind),
+                pa.array([[a for a, _ in f.offsets] for f in found], kind),
+                pa.array([[b for _, b in f.offsets] for f in found], kind),
+                pa.array(masks, kind),
+                pa.array([len(h) for h in heads], pa.int32()),
+            ]
+            names = [*batch.schema.names, "ids", "starts", "stops", "masks", "header"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)
+
+    return messages.mapInArrow(run, shape)

@@ -6,10 +6,12 @@ broadcasts it while it is small. The full vocabulary grows with the corpus.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnwise.sources.store import Store
+from turnwise.sources.writers import publish
+
 
 def target_frequency(counts: DataFrame) -> DataFrame:
     return counts.filter("n_target > 0").select("token", F.col("n_target").alias("freq"))
@@ -80,10 +82,9 @@ def saved_table(vocab: DataFrame, build, n: int, folder: str) -> DataFrame:
     digest = vocab.agg(
         F.expr("bit_xor(xxhash64(token, token_id, n_target))").alias("x"), F.count("*").alias("n")
     ).first()
-    path = f"{folder.rstrip('/')}/vocab-{digest['n']}-{(digest['x'] or 0) & (2**64 - 1):016x}-top{n}"
+    name = f"vocab-{digest['n']}-{(digest['x'] or 0) & (2**64 - 1):016x}-top{n}"
     spark = vocab.sparkSession
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    if not Store(spark, folder).exists(name):
+        # Of two builders one gives the folder its name, whole; the other one's is thrown away.
+        publish(build(), folder, name)
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}")

@@ -193,6 +193,26 @@ def alpha_by_depth(spark, sf_dir):
     return metrics.alpha_by_depth(fx.latest(spark, sf_dir))
 
 
+@query(
+    "alpha_by_turn",
+    """SELECT model_id, t AS turn, depth, sum(floor(new_tokens / (depth + 2))) AS accepted, CAST(sum(new_tokens) AS DOUBLE) AS tried,
+              round_even(sum(floor(new_tokens / (depth + 2))) / nullif(sum(new_tokens), 0), 2) AS alpha
+       FROM (SELECT *, unnest(range(0, 5)) AS depth FROM z_latest) GROUP BY model_id, t, depth""",
+)
+def alpha_by_turn(spark, sf_dir):
+    """A log that keeps the counters of every turn: five slots a turn, one turn behind the other."""
+    answers = A.first_choice(fx.latest(spark, sf_dir))
+
+    def slots(one):
+        depths = F.sequence(F.lit(0), F.lit(4))
+        return F.flatten(F.transform("choice.new_tokens", lambda n: F.transform(depths, lambda d: one(n, d).cast("double"))))
+
+    counted = F.col("choice").withField("alpha", slots(lambda n, d: F.floor(n / (d + 2)))).withField(
+        "alpha_num", slots(lambda n, d: n)
+    )
+    return metrics.alpha_by_depth(answers.withColumn("choices", F.array(counted)), depths=5, by_turn=True)
+
+
 @query("speed_per_question", "SELECT model_id, question_id, tokens, round(seconds, 6) AS seconds, round(rate, 6) AS rate FROM z_speed")
 def speed_per_question(spark, sf_dir):
     return rounded(metrics.question_speeds(fx.latest(spark, sf_dir)), "seconds", "rate")
@@ -366,10 +386,10 @@ def judge_verdict_counts(spark, sf_dir):
 @query("stream_answers_upsert", f"SELECT model_id, question_id, answer_id, tstamp, {TURN} FROM z_latest")
 def stream_answers_upsert(spark, sf_dir):
     source = scratch_path(spark, "stream-in")
-    log = scratch_path(spark, "stream-log")
+    out = scratch_path(spark, "stream-out")
     writers.write_jsonl(fx.answers(spark, sf_dir), source)
-    flows.log_answers(flows.answer_stream(spark, source), log, scratch_path(spark, "stream-state")).awaitTermination()
-    return rounded(turns_of(flows.latest_answers(spark, log)), "wall_time")
+    flows.upsert_answers(flows.answer_stream(spark, source), out, scratch_path(spark, "stream-state")).awaitTermination()
+    return rounded(turns_of(flows.latest_answers(spark, out)), "wall_time")
 
 
 @query(
@@ -389,16 +409,45 @@ def stream_running_speed(spark, sf_dir):
 @query(
     "stream_metric_rollup",
     """SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, run, position, round(avg(acc) + 1e-9, 6) AS acc, round(avg(loss) + 1e-9, 6) AS loss,
+              round(stddev_pop(acc) + 1e-9, 6) AS acc_std, round(stddev_pop(loss) + 1e-9, 6) AS loss_std,
               count(*) AS n FROM z_metric GROUP BY ALL""",
 )
 def stream_metric_rollup(spark, sf_dir):
-    """Events arrive in files by a hash, so in no order of time, and in several batches."""
+    """Events arrive in files by a hash, so in no order of time, and in several batches: most
+    rows are late for windows that have closed by then."""
     source, out = scratch_path(spark, "metric-in"), scratch_path(spark, "metric-out")
     log = fx.metric_log(spark, sf_dir)
     log.repartition(8, F.xxhash64("batch")).write.parquet(source)
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    flows.rollup_metrics(stream, out, scratch_path(spark, "metric-state")).awaitTermination()
+    flows.rollup_metrics(stream, out, scratch_path(spark, "metric-state"), delay=86400.0).awaitTermination()
     back = flows.rolled_up(spark, out)
+    day = F.floor(F.unix_seconds("start") / 86400).alias("day")
     return rounded(
-        back.select(F.floor(F.unix_seconds("start") / 86400).alias("day"), "run", "position", "acc", "loss", "n"), "acc", "loss", nudge=1e-9
-    )
+        back.select(day, "run", "position", "acc", "loss", "acc_std", "loss_std", "n"),
+        "acc", "loss", "acc_std", "loss_std", nudge=1e-9,
+    )
+
+
+@query(
+    "stream_closed_sessions",
+    """WITH l AS (SELECT *, question_id // 1000000000 AS conv, (question_id // 1000000000) * 4 + question_id % 1000000000 + 1.0::DOUBLE AS second
+                  FROM z_log WHERE answer_id NOT LIKE '%retry%'),
+            s AS (SELECT model_id || '-' || conv AS session, sum(new_tokens)::BIGINT AS new_tokens, sum(wall_time) AS seconds,
+                         sum(idx + 1)::BIGINT AS passes, min(second) AS started, max(second) AS ended FROM l GROUP BY ALL)
+       SELECT session, new_tokens, round(seconds, 6) AS seconds, passes, started, ended,
+              round(new_tokens / seconds, 6) AS tokens_per_second, round(new_tokens / passes, 6) AS tokens_per_pass
+       FROM s WHERE ended + 8 <= (SELECT max(ended) - 1 FROM s)""",
+)
+def stream_closed_sessions(spark, sf_dir):
+    """A conversation is a session, its questions a second apart; after eight idle seconds it is over."""
+    source, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
+    conversation = F.floor(F.col("question_id") / 1000000000)
+    at = conversation * 4 + F.pmod("question_id", F.lit(1000000000)) + F.lit(1.0)
+    log = fx.answers(spark, sf_dir).filter("answer_id not like '%retry%'").withColumn("tstamp", at.cast("double"))
+    writers.write_jsonl(log, source)
+    stream = flows.answer_stream(spark, source, files_per_trigger=100_000)
+    named = stream.withColumn("session", F.concat_ws("-", "model_id", conversation.cast("string")))
+    closed = flows.closed_sessions(named, "session", idle=8, late=1)
+    flows.write_closed(closed, out, scratch_path(spark, "stream-state")).awaitTermination()
+    back = spark.read.schema(closed.schema).parquet(out)
+    return rounded(back, "seconds", "tokens_per_second", "tokens_per_pass")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from turnwise.functions.columns import tokens_of
 from turnwise.operators import features, sharding, tokens, vocab
 from turnwise.plans import fixtures as fx
 from turnwise.plans.registry import query
-from turnwise.session import scratch_path
+from turnwise.session import scratch_path, ship
 from turnwise.sources import readers
 
 # --- tokens and sequences ------------------------------------------------------
@@ -76,6 +78,55 @@ def batch_pad(spark, sf_dir):
     return tokens.long_sequences(padded_, "input_ids", "loss_mask", "attention_mask")
 
 
+BUCKETED = """WITH one AS (SELECT DISTINCT conv_id, "window", n FROM z_ids_seq),
+    h AS (SELECT n, count(*) AS c FROM one GROUP BY n),
+    l AS (SELECT n, coalesce(sum(c) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 16 // sum(c) OVER () AS bucket FROM h),
+    b AS (SELECT conv_id, "window", n, bucket::BIGINT AS bucket,
+            (row_number() OVER (ORDER BY bucket, md5(conv_id || ':' || "window" || ':42:0'), conv_id, "window") - 1) // 4 AS batch_id
+          FROM one JOIN l USING (n))"""
+
+
+@query("batch_bucketed", f'{BUCKETED} SELECT conv_id, "window", n AS size, bucket, batch_id FROM b')
+def batch_bucketed(spark, sf_dir):
+    return tokens.bucketed_batches(fx.sequences(spark, sf_dir), ["conv_id", "window"], 4)
+
+
+@query(
+    "batch_padding",
+    BUCKETED
+    + """, c AS (SELECT conv_id, n, (row_number() OVER (ORDER BY conv_id, "window") - 1) // 4 AS batch_id FROM one),
+    r AS (SELECT 'bucketed' AS dealt, batch_id, n FROM b UNION ALL SELECT 'consecutive', batch_id, n FROM c),
+    g AS (SELECT dealt, batch_id, count(*) AS k, sum(n) AS t, max(n) AS m FROM r GROUP BY ALL)
+    SELECT dealt, sum(k)::BIGINT AS sequences, sum(t)::BIGINT AS tokens, sum(k * m - t)::BIGINT AS padding,
+           round(sum(k * m - t) / sum(k * m), 6) AS share FROM g GROUP BY dealt""",
+)
+def batch_padding(spark, sf_dir):
+    """What the rectangular batches of both kinds would waste."""
+    seqs = fx.sequences(spark, sf_dir)
+    order = ["conv_id", "window"]
+    bucketed = tokens.bucketed_batches(seqs, order, 4)
+    consecutive = sharding.batch_ranges(seqs.select(*order, F.size("input_ids").alias("size")), order, 4)
+    shares = [
+        tokens.padding_share(b).select(F.lit(name).alias("dealt"), "sequences", "tokens", "padding", F.round("share", 6).alias("share"))
+        for name, b in (("bucketed", bucketed), ("consecutive", consecutive))
+    ]
+    return shares[0].unionByName(shares[1])
+
+
+@query("tok_subword_mask")
+def tok_subword_mask(spark, sf_dir):
+    """Ids of an installed vocabulary with masks by character offsets."""
+    import public_tokenizers
+
+    ship(spark)
+    found = tokens.subword_tokens(fx.normal(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    zipped = F.arrays_zip("ids", "starts", "stops", "masks")
+    return found.select("conv_id", "j", F.posexplode(zipped).alias("pos", "t")).select(
+        "conv_id", "j", F.col("pos").cast("bigint").alias("pos"), F.col("t.ids").alias("token_id"),
+        F.col("t.starts").alias("start"), F.col("t.stops").alias("stop"), F.col("t.masks").alias("loss_mask"),
+    )
+
+
 # --- vocabulary ----------------------------------------------------------------
 
 
@@ -197,17 +248,29 @@ def shuffle_seeded(spark, sf_dir):
     return sharding.shuffle_seeded(_ids(spark, sf_dir), "doc_id")
 
 
-@query(
-    "epoch_reshuffle",
-    """SELECT doc_id, 0 AS epoch, row_number() OVER (ORDER BY md5(doc_id || ':42:0'), doc_id) - 1 AS position FROM documents
-       UNION ALL SELECT doc_id, 1, row_number() OVER (ORDER BY md5(doc_id || ':42:1'), doc_id) - 1 FROM documents""",
-)
+def _epoch_sql(epoch: int) -> str:
+    # The pairing key of a round is drawn modulo n, which SQL knows only when it runs.
+    digests = [hashlib.sha256(f"42:{epoch}:{i}".encode()).digest() for i in range(200)]
+    keys = ", ".join(
+        f"({i}, {int.from_bytes(d[:8], 'big')}::HUGEINT, {1 + int.from_bytes(d[8:16], 'big') % (2**31 - 2)}::BIGINT, "
+        f"{int.from_bytes(d[16:24], 'big') % (2**31 - 1)}::BIGINT, {int.from_bytes(d[24:], 'big') % (2**31 - 1)}::BIGINT)"
+        for i, d in enumerate(digests)
+    )
+    m = "((greatest(x, y) % 2147483647 * a + b) % 2147483647 + (greatest(x, y) // 2147483647) * 65537 + c) % 2147483647"
+    return f"""SELECT doc_id, {epoch} AS epoch, x AS position FROM (
+        WITH RECURSIVE r(i, k, a, b, c) AS (VALUES {keys}), s(doc_id, n, i, x) AS (
+            SELECT doc_id, n, 0, position FROM ({IDX})
+            UNION ALL
+            SELECT doc_id, n, i + 1, CASE WHEN ((m * m % 2147483647) >> 15) & 1 = 1 THEN y ELSE x END FROM (
+              SELECT *, {m} AS m FROM (
+                SELECT s.doc_id, s.n, s.i, s.x, (((r.k % s.n) - s.x + s.n) % s.n)::BIGINT AS y, r.a, r.b, r.c FROM s JOIN r USING (i)
+                WHERE s.i < greatest(24, 4 * ceil(log2(s.n + 1))))))
+        SELECT doc_id, x FROM s WHERE i = greatest(24, 4 * ceil(log2(n + 1))))"""
+
+
+@query("epoch_reshuffle", " UNION ALL ".join(_epoch_sql(e) for e in range(2)))
 def epoch_reshuffle(spark, sf_dir):
-    def one(epoch):
-        out = sharding.shuffle_seeded(_ids(spark, sf_dir), "doc_id", epoch=epoch)
-        return out.select("doc_id", F.lit(epoch).alias("epoch"), "position")
-
-    return one(0).unionByName(one(1))
+    return sharding.epochs(_ids(spark, sf_dir), ["doc_id"], 2)
 
 
 @query(

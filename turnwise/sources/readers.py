@@ -4,45 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from turnwise.functions.columns import strip
-from turnwise.operators.scale import broadcast_if_small
-from turnwise.operators.sharding import positional_slice
-from turnwise.session import written
-from turnwise.sources import schemas
+from turnwise.sources import ranges, schemas
 
 
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CONVERSATION).json(path)
 
 
-def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document holding an array of rows. Such a file cannot be split: read
-    it once and keep it as JSON lines or Parquet."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json_array(spark: SparkSession, path: str | Sequence[str], schema: str, block: int = ranges.BLOCK) -> DataFrame:
+    """The rows of JSON documents that each hold an array of rows, read in blocks of ``block`` bytes.
+
+    One large document is many tasks; a task reads its block and the rest of the last element
+    that begins there. Compressed files and documents that are no array are read whole, a task each.
+    """
+    found, others = ranges.array_elements(spark, path, block)
+    rows = None
+    if found is not None:
+        rows = found.select(F.from_json("value", schema).alias("r")).select("r.*")
+    if others or rows is None:
+        whole = spark.read.schema(schema).option("multiLine", True).json(others or path)
+        rows = whole if rows is None else rows.unionByName(whole)
+    return rows
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(file, line_no, line), line_no counting from 1 inside each file.
 
-    A line's number is its rank in its file block plus the lines of all earlier
-    blocks of the file; only one row per block is put in order.
+    The byte ranges and the number of their first lines are stored when this is called, and
+    exactly these ranges are read afterwards, whatever the session's split sizes and cores are
+    by then.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_m"),
-        F.col("value").alias("line"),
-    )
-    blocks = lines.groupBy("file", "_block").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
-    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    starts = broadcast_if_small(written(starts, "line-blocks"))
-    return lines.join(starts, ["file", "_block"]).select(
-        "file", (F.col("_m") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "line"
-    )
+    manifest, _ = ranges.line_manifest(spark, path)
+    return ranges.read_lines(spark, manifest).drop("position")
 
 
 def read_prompts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -58,18 +56,20 @@ def read_prompts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_questions(spark: SparkSession, path: str, begin: int | None = None, end: int | None = None) -> DataFrame:
-    """Questions ``[begin:end)`` in file order."""
-    rows = numbered_lines(spark, path).select(
-        "file", "line_no", F.from_json("line", schemas.QUESTION).alias("q")
-    )
-    return positional_slice(rows, ["file", "line_no"], begin, end).select("position", "q.*")
+    """Questions ``[begin:end)`` in file order, by list-slice rules. Only ranges that hold lines of
+    the slice are opened."""
+    manifest, total = ranges.line_manifest(spark, path)
+    first, last, _ = slice(begin, end).indices(total)
+    rows = ranges.read_lines(spark, manifest, first, max(first, last))
+    return rows.select("position", F.from_json("line", schemas.QUESTION).alias("q")).select("position", "q.*")
 
 
 def read_answers(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """Answer logs of one or more runs; ``file`` tells them apart."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     rows = spark.read.schema(schemas.ANSWER).json(paths)
-    return rows.select("*", F.col("_metadata.file_path").alias("file"))
+    fields = [f.name for f in StructType.fromDDL(schemas.ANSWER)]
+    return rows.select(*fields, F.col("_metadata.file_path").alias("file"))
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
