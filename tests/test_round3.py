@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from turnwise.operators import chat, metrics, sharding, tokens, vocab
+from turnwise.operators import chat, metrics, paths, sharding, tokens, vocab
+from turnwise.session import written
 from turnwise.sources import readers, schemas, writers
 from turnwise.sources.store import Store
 
@@ -196,3 +197,47 @@ def test_alpha_by_turn_and_of_the_last_turn(spark):
     }
     assert got() == {(None, 0): (7.0, 12.0, 0.58), (None, 1): (3.0, 10.0, 0.3)}
     assert got(last_turn_only=True) == {(None, 0): (6.0, 10.0, 0.6), (None, 1): (3.0, 8.0, 0.38)}
+
+
+# --- beam ----------------------------------------------------------------------
+
+
+def plain_beam(table, root, depth, k):
+    """All nodes (ranks, score, depth, kept) of a beam, best first by rounded score and ranks."""
+    live, out = [((), root, 0.0)], []
+    for d in range(1, depth + 1):
+        grown = [(ranks + (r,), t, score + lp) for ranks, tail, score in live for r, t, lp in table.get(tail, [])]
+        grown.sort(key=lambda n: (-round(n[2], 9), n[0]))
+        out += [(n[0], round(n[2], 9), d, i < k) for i, n in enumerate(grown)]
+        live = grown[:k]
+    return out
+
+
+@pytest.mark.parametrize("depth, k, best", [(5, 10, 24), (4, 3, 5), (3, 2, 100)])
+def test_a_threshold_finds_the_nodes_of_exhaustive_search(spark, depth, k, best):
+    rnd = random.Random(depth)
+    pairs = [(f"t{i}", f"t{rnd.randrange(30)}", rnd.choice([1, 1, 2, 5, 9])) for i in range(30) for _ in range(rnd.randrange(6))]
+    df = spark.createDataFrame(pairs, "token string, next string, c bigint").groupBy("token", "next").agg(F.sum("c").alias("c"))
+    table = written(paths.successors(df, k), "test-successors")
+    plain = {r.token: [(b.rank, b.token, b.log_p) for b in r.best] for r in table.collect()}
+    roots = table.select("token")
+    every = paths.expand_top_k(roots, table, depth, k)
+    got = {}
+    for r in every.collect():
+        got.setdefault(r.root, []).append((tuple(r.ranks), round(r.score, 9), r.depth, r.kept))
+    assert {x: sorted(v) for x, v in got.items()} == {t: sorted(plain_beam(plain, t, depth, k)) for t in plain}
+    some = paths.expand_top_k(roots, table, depth, k, best)
+
+    def chosen(nodes):
+        return {(r.root, tuple(r.ranks), r.node) for r in paths.rerank_top_n(nodes, best).collect()}
+
+    assert chosen(some) == chosen(every)
+    assert some.count() < every.count() or best >= 100
+
+
+def test_two_leading_system_messages_do_not_double_a_conversation(spark):
+    rows = [(1, 0, "system", "B"), (1, 0, "system", "A"), (1, 1, "user", "u"), (1, 2, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    assert chat.heads_with_system(df).count() == 1
+    folded = [r.text for r in chat.fold_system(df).filter("turn = 1").collect()]
+    assert folded == ["Au"]

@@ -180,8 +180,10 @@ def conversation_heads(messages: DataFrame) -> DataFrame:
 
 
 def heads_with_system(messages: DataFrame) -> DataFrame:
-    """``conversation_heads`` and the text of a leading system message, if there is one."""
-    system = messages.filter("turn = 0 and role = 'system'").select("conv_id", F.col("text").alias("_system"))
+    """``conversation_heads`` and the text of a leading system message, if there is one; of
+    several in the same place the least."""
+    leading = messages.filter("turn = 0 and role = 'system'")
+    system = leading.groupBy("conv_id").agg(F.min("text").alias("_system"))
     return conversation_heads(messages).join(system, "conv_id", "left")
 
 
@@ -221,12 +223,6 @@ def normalize(messages: DataFrame) -> DataFrame:
     )
 
 
-def drop_empty(conversations: DataFrame, all_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(conversation ids with at least one turn, ids left without any)."""
-    have = conversations.select("conv_id").groupBy("conv_id").agg(F.count("*").alias("n_turns"))
-    return have, all_ids.join(have, "conv_id", "left_anti")
-
-
 def alternation_faults(messages: DataFrame, speaker: str, at: str, roles=("human", "gpt")) -> DataFrame:
     """Messages whose role is unknown or is not the one their position asks for."""
     wanted = F.when(F.pmod(F.col(at), F.lit(2)) == 0, roles[0]).otherwise(roles[1])

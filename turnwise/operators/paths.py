@@ -25,7 +25,7 @@ def successors(pairs: DataFrame, k: int) -> DataFrame:
     )
 
 
-def expand_top_k(roots: DataFrame, table: DataFrame, depth: int, k: int) -> DataFrame:
+def expand_top_k(roots: DataFrame, table: DataFrame, depth: int, k: int, best: int | None = None) -> DataFrame:
     """Grow each root for ``depth`` steps; after each step its best k paths live on.
 
     Result: one row per node ever scored (root, depth, parent_rank, child_rank, rank,
@@ -34,6 +34,11 @@ def expand_top_k(roots: DataFrame, table: DataFrame, depth: int, k: int) -> Data
     ``kept`` tells whether the node lived on. Each step is written to the shared folder,
     which cuts the lineage of the loop; a root has at most k paths going in and k * k
     coming out. ``table`` is read once per step, so pass a stored one.
+
+    With ``best`` only nodes that ``rerank_top_n`` may choose for that many nodes are sought:
+    a step never raises a score and at equal scores the shorter path wins, so a path that
+    is not above the ``best``-th node of its root so far has no descendant among them and is
+    not grown. What is chosen is the same as without.
     """
     table = table.select(F.col("token").alias("tail"), "best")
     live = roots.select(
@@ -45,7 +50,7 @@ def expand_top_k(roots: DataFrame, table: DataFrame, depth: int, k: int) -> Data
         F.lit(0.0).alias("score"),
     )
     by_score = Window.partitionBy("root").orderBy(F.desc(F.round("score", 9)), "ranks")
-    levels = None
+    levels = bars = None
     for d in range(1, depth + 1):
         # Roots are distinct; later on many paths may end in the same frequent token.
         if d == 1:
@@ -64,7 +69,19 @@ def expand_top_k(roots: DataFrame, table: DataFrame, depth: int, k: int) -> Data
         scored = grown.withColumn("rank", (F.row_number().over(by_score) - 1).cast("bigint"))
         level = written(scored.withColumn("kept", F.col("rank") < k), f"paths-{d}")
         levels = level if levels is None else levels.unionByName(level)
-        live = level.filter("kept").select(
+        if d == depth:
+            break
+        live = level.filter("kept")
+        if best is not None:
+            # At most k * k nodes of a level and the best ones so far are in one row.
+            here = level.groupBy("root").agg(F.collect_list(F.round("score", 9)).alias("here"))
+            if bars is not None:
+                here = here.join(bars, "root", "left").withColumn("here", F.concat("here", F.coalesce("top", F.array())))
+            bars = here.select("root", F.slice(F.sort_array("here", asc=False), 1, best).alias("top"))
+            bars = written(bars, f"path-bars-{d}") if d + 1 < depth else bars
+            above = F.coalesce(F.round("score", 9) > F.get("top", F.lit(best - 1)), F.lit(True))
+            live = live.join(bars, "root").filter(above)
+        live = live.select(
             "root", F.col("rank").alias("parent_rank"), "ranks", "tokens", F.element_at("tokens", -1).alias("tail"), "score"
         )
     return levels

@@ -2,6 +2,19 @@
 
 TOK = "'[^ \\n]+'"
 
+#: The beam of the path queries: steps, successors and live paths, nodes that are kept of a root.
+BEAM_DEPTH, BEAM_WIDTH, BEAM_BEST = 5, 10, 24
+
+
+def _level(depth: int) -> str:
+    """Step ``depth`` of the beam: all successors of the paths that live on."""
+    return f"""
+        SELECT root, list_append(ranks, r) AS ranks, list_append(tokens, nxt) AS tokens, nxt AS tail, score + lp AS score,
+            row_number() OVER (PARTITION BY root ORDER BY round(score + lp, 9) DESC, list_append(ranks, r)) - 1 AS rank,
+            z.rank AS parent_rank, r AS child_rank, {depth} AS depth
+          FROM z_d{depth - 1} z JOIN z_succ ON token = tail WHERE z.rank < {BEAM_WIDTH}"""
+
+
 CTES = {
     "z_norm": """
         SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS j,
@@ -91,28 +104,19 @@ CTES = {
         SELECT token, nxt, c, row_number() OVER (PARTITION BY token ORDER BY c DESC, nxt) - 1 AS r FROM z_train""",
     "z_best": "SELECT token, nxt FROM z_rank WHERE r = 0",
     "z_mass": "SELECT token, nxt, c, sum(c) OVER (PARTITION BY token) AS total FROM z_all",
-    "z_succ": """
+    "z_succ": f"""
         SELECT token, nxt, r, ln(c / total) AS lp FROM (
-          SELECT *, row_number() OVER (PARTITION BY token ORDER BY c DESC, nxt) - 1 AS r FROM z_mass) WHERE r < 4""",
+          SELECT *, row_number() OVER (PARTITION BY token ORDER BY c DESC, nxt) - 1 AS r FROM z_mass) WHERE r < {BEAM_WIDTH}""",
     "z_d1": """
         SELECT token AS root, [r] AS ranks, [nxt] AS tokens, nxt AS tail, lp AS score, r AS rank, 0 AS parent_rank,
                r AS child_rank, 1 AS depth FROM z_succ""",
-    "z_d2": """
-        SELECT root, list_append(ranks, r) AS ranks, list_append(tokens, nxt) AS tokens, nxt AS tail, score + lp AS score,
-            row_number() OVER (PARTITION BY root ORDER BY round(score + lp, 9) DESC, list_append(ranks, r)) - 1 AS rank,
-            z.rank AS parent_rank, r AS child_rank, 2 AS depth
-          FROM z_d1 z JOIN z_succ ON token = tail""",
-    "z_d3": """
-        SELECT root, list_append(ranks, r) AS ranks, list_append(tokens, nxt) AS tokens, nxt AS tail, score + lp AS score,
-            row_number() OVER (PARTITION BY root ORDER BY round(score + lp, 9) DESC, list_append(ranks, r)) - 1 AS rank,
-            z.rank AS parent_rank, r AS child_rank, 3 AS depth
-          FROM (SELECT * FROM z_d2 WHERE rank < 4) z JOIN z_succ ON token = tail""",
-    "z_nodes": "SELECT * FROM z_d1 UNION ALL SELECT * FROM z_d2 UNION ALL SELECT * FROM z_d3",
-    "z_tree": """
+    **{f"z_d{d}": _level(d) for d in range(2, BEAM_DEPTH + 1)},
+    "z_nodes": " UNION ALL ".join(f"SELECT * FROM z_d{d}" for d in range(1, BEAM_DEPTH + 1)),
+    "z_tree": f"""
         SELECT root, ranks, tokens, depth, score,
                row_number() OVER (PARTITION BY root ORDER BY depth, parent_rank, child_rank) AS node
         FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY round(score, 9) DESC, depth, ranks) AS best FROM z_nodes)
-        WHERE best <= 6""",
+        WHERE best <= {BEAM_BEST}""",
     "z_prefix": """
         SELECT DISTINCT root, ranks[:i] AS prefix, i AS depth
         FROM (SELECT root, ranks, unnest(range(1, len(ranks) + 1)) AS i FROM z_tree)""",

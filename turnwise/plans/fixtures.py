@@ -9,6 +9,7 @@ from turnwise.functions.columns import tokens_of
 from turnwise.operators import chat, paths, tokens, vocab
 from turnwise.operators.scale import lookup
 from turnwise.operators.sharding import split_by_hash
+from turnwise.plans.ctes import BEAM_DEPTH, BEAM_WIDTH
 from turnwise.session import scratch_path, written
 
 DRAFT_SIZE = 500
@@ -374,9 +375,9 @@ def candidates(spark, sf_dir) -> DataFrame:
     )
 
 
-def path_nodes(spark, sf_dir, depth: int = 3, k: int = 4) -> DataFrame:
-    firsts = written(paths.successors(all_pairs(spark, sf_dir), k), "path-successors")
-    return paths.expand_top_k(firsts.select("token"), firsts, depth, k)
+def path_nodes(spark, sf_dir, best: int | None = None) -> DataFrame:
+    firsts = written(paths.successors(all_pairs(spark, sf_dir), BEAM_WIDTH), "path-successors")
+    return paths.expand_top_k(firsts.select("token"), firsts, BEAM_DEPTH, BEAM_WIDTH, best)
 
 
 # --- metric log ----------------------------------------------------------------

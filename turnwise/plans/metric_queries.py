@@ -9,6 +9,7 @@ from turnwise.operators import dist, metrics, paths
 from turnwise.operators.scale import lookup
 from turnwise.plans import fixtures as fx
 from turnwise.plans.answer_queries import rounded
+from turnwise.plans.ctes import BEAM_BEST, BEAM_WIDTH
 from turnwise.plans.registry import query
 from turnwise.session import scratch_path, written
 from turnwise.sources import writers
@@ -177,6 +178,22 @@ def metric_mean_std(spark, sf_dir):
     return rounded(metrics.mean_std(fx.metric_log(spark, sf_dir)), "acc_mean", "acc_std", "loss_mean", "loss_std", nudge=1e-9)
 
 
+@query(
+    "metric_merged_moments",
+    """SELECT run, position, count(*) AS n, round(avg(acc) + 1e-9, 6) AS acc_mean, round(stddev_pop(acc) + 1e-9, 6) AS acc_std,
+              round(avg(loss) + 1e-9, 6) AS loss_mean, round(stddev_pop(loss) + 1e-9, 6) AS loss_std FROM z_metric GROUP BY run, position""",
+)
+def metric_merged_moments(spark, sf_dir):
+    """Every worker keeps a record per epoch; the records are merged."""
+    by = ["run", "position"]
+    records = metrics.moments(fx.metric_log(spark, sf_dir), [*by, "worker", "epoch"], ["acc", "loss"])
+    merged = metrics.merged_moments(records, by, ["acc", "loss"]).select(
+        *by, "acc.n",
+        *[c for v in ("acc", "loss") for c in (metrics.moment_mean(v).alias(f"{v}_mean"), metrics.deviation(v).alias(f"{v}_std"))],
+    )
+    return rounded(merged, "acc_mean", "acc_std", "loss_mean", "loss_std", nudge=1e-9)
+
+
 @query(
     "sink_metric_summary",
     """WITH l AS (SELECT * REPLACE (batch // 4 AS batch) FROM z_metric), b AS (SELECT batch, bool_and(ok) AS good FROM l GROUP BY batch)
@@ -396,19 +413,32 @@ def _text(*names):
 
 
 def _chosen(spark, sf_dir):
-    return written(paths.rerank_top_n(fx.path_nodes(spark, sf_dir), 6), "chosen-nodes")
+    nodes = fx.path_nodes(spark, sf_dir, best=BEAM_BEST)
+    return written(paths.rerank_top_n(nodes, BEAM_BEST), "chosen-nodes")
 
 
 @query(
     "path_expand_topk",
-    """SELECT root, CAST(depth AS BIGINT) AS depth, CAST(rank AS BIGINT) AS rank, array_to_string(ranks, ' ') AS ranks,
-              array_to_string(tokens, ' ') AS tokens, round(score, 6) AS score FROM z_nodes WHERE rank < 4""",
+    f"""SELECT root, CAST(depth AS BIGINT) AS depth, CAST(rank AS BIGINT) AS rank, array_to_string(ranks, ' ') AS ranks,
+              array_to_string(tokens, ' ') AS tokens, round(score, 6) AS score FROM z_nodes WHERE rank < {BEAM_WIDTH}""",
 )
 def path_expand_topk(spark, sf_dir):
     live = fx.path_nodes(spark, sf_dir).filter("kept").select("root", "depth", "rank", "ranks", "tokens", "score")
     return rounded(live.transform(_text("ranks", "tokens")), "score")
 
 
+@query(
+    "path_level_sizes",
+    """SELECT d AS depth, count(*) AS scored, count(*) FILTER (rank < """
+    + str(BEAM_WIDTH)
+    + ") AS kept FROM (SELECT CAST(depth AS BIGINT) AS d, rank FROM z_nodes) GROUP BY d",
+)
+def path_level_sizes(spark, sf_dir):
+    """Rows of each step of the beam."""
+    nodes = fx.path_nodes(spark, sf_dir)
+    return nodes.groupBy("depth").agg(F.count("*").alias("scored"), F.count_if("kept").alias("kept"))
+
+
 @query(
     "path_rerank_topn",
     "SELECT root, CAST(node AS BIGINT) AS node, array_to_string(ranks, ' ') AS ranks, round(score, 6) AS score FROM z_tree",

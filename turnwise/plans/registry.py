@@ -24,7 +24,9 @@ def with_ctes(sql: str) -> str:
     _needed(sql, names)
     if not names:
         return sql
-    shared = "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in names)
+    # The steps of the beam are used by several later ones each.
+    once = {n for n in names if n.startswith(("z_d", "z_succ", "z_nodes", "z_tree", "z_prefix", "z_num"))}
+    shared = "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in once else ''}({CTES[n]})" for n in names)
     own = sql.lstrip()
     return f"{shared},\n{own[5:]}" if own.startswith("WITH ") else f"{shared}\n{own}"
 

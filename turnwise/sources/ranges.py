@@ -47,8 +47,8 @@ def _codec(uri: str) -> str | None:
     return _CODECS.get(os.path.splitext(uri)[1])
 
 
-def _open(uri: str):
-    """A binary stream of a file in a local or remote store; compressed files are unpacked."""
+def open_stream(uri: str, packed: bool = False):
+    """A binary stream of a file in a local or remote store; compressed files are unpacked unless they stay ``packed``."""
     path = _local(uri)
     if path is not None:
         raw = pa.OSFile(path)
@@ -57,10 +57,23 @@ def _open(uri: str):
 
         store, path = FileSystem.from_uri(uri)
         raw = store.open_input_file(path)
-    codec = _codec(uri)
+    codec = None if packed else _codec(uri)
     return pa.CompressedInputStream(raw, codec) if codec else raw
 
 
+def can_open(uri: str) -> bool:
+    """Whether ``open_stream`` knows the store of ``uri``."""
+    if _local(uri) is not None:
+        return True
+    from pyarrow.fs import FileSystem
+
+    try:
+        FileSystem.from_uri(uri)
+    except (pa.ArrowInvalid, OSError):
+        return False
+    return True
+
+
 def _manifest_rows(uri: str) -> list[dict]:
     import pyarrow.dataset as ds
 
@@ -220,7 +233,7 @@ class RangeReader(DataSourceReader):
 
     def read(self, partition: RangePartition) -> Iterator[pa.RecordBatch]:
         for row in partition.rows:
-            with _open(row["file"]) as stream:
+            with open_stream(row["file"]) as stream:
                 yield from getattr(self, "_" + self.give)(row, stream)
 
     def _counts(self, row: dict, stream) -> Iterator[pa.RecordBatch]:
