@@ -50,6 +50,20 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted`` with as many marks in front as no column of ``df`` has, in any case of letters."""
+    taken = [c.lower() for c in df.columns]
+    mark = "_"
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    return [mark + name for name in wanted]
+
+
+def quoted(name: str) -> str:
+    """A column name that may hold dots, blanks and signs."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to be small; else Spark joins by shuffle.
 

@@ -45,6 +45,80 @@ def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return both
 
 
+_BASE = 0x9E3779B97F4A7C15 | 1
+#: Bytes whose words are named in one go.
+_SEGMENT = 1 << 20
+
+
+def _table() -> np.ndarray:
+    """A number for each byte; A-Z count as a-z, and ASCII white space as nothing."""
+    table = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    table[0x41:0x5B] = table[0x61:0x7B]
+    table[[0x20, *range(0x09, 0x0E)]] = 0
+    return table
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class WordNames:
+    """Names of the words of texts, runs without ASCII white space, from sums over their bytes.
+
+    A word is the sum of a number per byte times a power of an odd base, moved back by where the
+    word begins; so all words of a stretch of text come from one running sum. Equal words
+    have equal names, others have different ones but for chance (64 bits).
+    """
+
+    def __init__(self):
+        self.table = _table()
+        self._grow(_SEGMENT)
+
+    def _grow(self, n: int) -> None:
+        self.up = _powers(_BASE, n)
+        self.down = _powers(pow(_BASE, -1, 1 << 64), n)
+
+    def of(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words of ``data`` begin, and their names."""
+        places, names, at = [], [], 0
+        while at < len(data):
+            stop = at + _SEGMENT
+            if stop < len(data):
+                while stop < len(data) and data[stop] not in b" \t\n\v\f\r":
+                    stop += 1
+            starts, found = self._segment(np.frombuffer(data, np.uint8, min(stop, len(data)) - at, at))
+            places.append(starts + at)
+            names.append(found)
+            at = stop
+        if not places:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.concatenate(places), np.concatenate(names)
+
+    def _segment(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(data) > len(self.up):
+            self._grow(len(data))
+        value = self.table[data]
+        word = np.zeros(len(data) + 2, np.int8)
+        word[1:-1] = value != 0
+        turn = np.diff(word)
+        starts, stops = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+        value *= self.up[: len(data)]
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(value, out=total[1:])
+        names = mixed((total[stops] - total[starts]) * self.down[starts])
+        names[names == 0] = 1
+        return starts, names
+
+    def by_text(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """How many words each text has, and the names of all of them in order."""
+        parts = [t.encode() if t else b"" for t in texts]
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        starts, names = self.of(b" ".join(parts))
+        return np.diff(np.searchsorted(starts, ends), prepend=0), names
+
+
 def spread_filter(names: DataFrame, column: str) -> np.ndarray:
     """A bit table of fixed size (8 MB) in which the bit of every name of ``names`` is set.
 

@@ -7,8 +7,9 @@ meet under one of them. There are so many blocks that a key is about as wide as
 lines; this moves the work only, the pairs in reach are the same. Pairs in reach whose word
 sequences are alike enough are links, and a connected group keeps one occurrence.
 
-A crowded group is not compared in pairs. All its lines are compared with its first line;
-lines that are linked to it are in its component already, and only the others meet all lines.
+A crowded group is not compared in pairs, for only its connected parts matter. Each line is compared
+with those that follow it, in the order of the hashes; then lines outside the largest part of a
+group meet the lines of other parts, a growing slice of these pairs by a hash, until none is left.
 """
 
 from __future__ import annotations
@@ -17,17 +18,20 @@ from functools import reduce
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import small
-from turnwise.llm.components import components
+from turnwise.llm.common import free_names, quoted, small
+from turnwise.llm.components import components, extended
+from turnwise.operators.scale import lookup
 from turnwise.session import written
 
 BITS = 4
 SIMILAR = 0.8
 #: Hashes under a key, or lines of a group, that are compared in pairs.
 CROWD = 32
+#: Lines of a crowded group that each line is compared with first, and lines of such a group in one task.
+FOLLOWERS, PIECE = 4, 4000
 
 
 def _words(line: Column) -> Column:
@@ -53,43 +57,73 @@ def lines(documents: DataFrame) -> DataFrame:
     return normal.select("doc_id", "text_key", "line_no", F.xxhash64("norm").alias("line"), "norm")
 
 
-def simhashes(rows: DataFrame) -> DataFrame:
-    """``line, n_words, simhash`` of the different lines among ``rows``.
+def _counted(words: Column, shift: int, lanes: int) -> Column:
+    """Of all ``words`` (hashes) the bits that ``lanes`` picks after a shift, added up lane by lane."""
+    return F.aggregate(
+        words, F.lit(0).cast("long"), lambda n, h: n + F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(lanes))
+    )
+
+
+def _majority(counts: list[tuple[int, Column]], of: Column) -> Column:
+    zero = F.lit(0).cast("long")
+    bits = [F.when(2 * n > of, F.lit(1 << place if place < 63 else -(1 << 63))).otherwise(zero) for place, n in counts]
+    return reduce(lambda x, y: x.bitwiseOR(y), bits)
+
+
+def hashed_lines(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``lines`` with ``n_words, simhash`` instead of the text.
 
     Each different word of a line counts once: by their mere number the frequent words of a
     language would make all its long lines alike. A line's bits are counted inside its row, so
-    neither its text nor counters are shuffled: four counters of 16 bits share a number, and
-    a line with more words than they can count has each bit counted alone.
+    neither its text nor counters are shuffled: seven counters of 9 bits share a number for lines
+    of up to 511 words, four of 16 bits for longer ones, and a line with more words than these
+    can count has each bit counted alone.
     """
+    names = ["doc_id", "text_key", "line_no", "line"]
     cut = F.split("norm", " ")
-    hashed = rows.select("line", F.size(cut).alias("n_words"), F.transform(F.array_distinct(cut), lambda w: F.xxhash64(w)).alias("h"))
-    few = F.size("h") < 1 << 15
+    hashed = rows.select(*names, F.size(cut).alias("n_words"), F.transform(F.array_distinct(cut), lambda w: F.xxhash64(w)).alias("h"))
+    size = F.size("h")
+    short, middle = size < 1 << 9, (size >= 1 << 9) & (size < 1 << 15)
+    by9 = sum(1 << 9 * lane for lane in range(7))
+    by16 = sum(1 << 16 * lane for lane in range(4))
+    h = F.col("h")
+    counted = hashed.select(
+        *names, "n_words", "h",
+        *[F.when(short, _counted(h, j, by9)).alias(f"a{j}") for j in range(9)],
+        F.when(short, _counted(h, 63, 1)).alias("a9"),
+        *[F.when(middle, _counted(h, j, by16)).alias(f"b{j}") for j in range(16)],
+    )
+
+    def lane(name: str, shift: int, width: int) -> Column:
+        return F.shiftrightunsigned(name, shift).bitwiseAND(F.lit((1 << width) - 1))
+
+    nines = [(j + 9 * k, lane(f"a{j}", 9 * k, 9)) for j in range(9) for k in range(7)] + [(63, F.col("a9"))]
+    sixteens = [(j + 16 * k, lane(f"b{j}", 16 * k, 16)) for j in range(16) for k in range(4)]
     zero = F.lit(0).cast("long")
 
-    def counters(j: int) -> Column:
-        lanes = F.lit(0x0001000100010001)
-        return F.when(few, F.aggregate("h", zero, lambda n, x: n + F.shiftrightunsigned(x, j).bitwiseAND(lanes)))
-
-    counted = hashed.select("line", "n_words", "h", *[counters(j).alias(f"s{j}") for j in range(16)])
-    ones = [
-        (j + 16 * lane, F.shiftrightunsigned(f"s{j}", 16 * lane).bitwiseAND(F.lit(0xFFFF)))
-        for j in range(16)
-        for lane in range(4)
-    ]
-    half = F.size("h")
-    bits = [
-        F.when(2 * n > half, F.lit(1 << place if place < 63 else -(1 << 63))).otherwise(zero) for place, n in ones
-    ]
-
     def one_by_one(done: Column, place: Column) -> Column:
         n = F.aggregate("h", zero, lambda n, x: n + F.call_function("getbit", x, place).cast("long"))
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
-        return done.bitwiseOR(F.when(2 * n > F.size("h"), bit).otherwise(zero))
+        return done.bitwiseOR(F.when(2 * n > size, bit).otherwise(zero))
 
     many = F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, one_by_one)
-    simhash = F.when(few, reduce(lambda x, y: x.bitwiseOR(y), bits)).otherwise(many)
-    each = counted.select("line", "n_words", simhash.alias("simhash"))
-    return each.groupBy("line").agg(F.min("n_words").alias("n_words"), F.min("simhash").alias("simhash"))
+    simhash = F.when(short, _majority(nines, size)).when(middle, _majority(sixteens, size)).otherwise(many)
+    return counted.select(*names, "n_words", simhash.alias("simhash"))
+
+
+def simhashes(rows: DataFrame) -> DataFrame:
+    """``line, n_words, simhash`` of the different lines among ``rows`` of ``lines``."""
+    return different_lines(hashed_lines(rows)).select("line", "n_words", "simhash")
+
+
+def different_lines(found: DataFrame) -> DataFrame:
+    """``line, n_words, simhash, n, first``: how often each line occurs and its first place."""
+    return found.groupBy("line").agg(
+        F.min("n_words").alias("n_words"),
+        F.min("simhash").alias("simhash"),
+        F.count("*").alias("n"),
+        F.min(F.struct("doc_id", "text_key", "line_no")).alias("first"),
+    )
 
 
 def _blocks(n_lines: int, bits: int) -> int:
@@ -114,9 +148,9 @@ def keys(hashes: DataFrame, blocks: int, bits: int) -> DataFrame:
     return hashes.select(F.explode(each).alias("key"), "simhash")
 
 
-def _in_reach(bits: int, similar: float) -> Column:
+def _in_reach(bits: int, similar: float) -> str:
     """Of two rows a and b: hashes within ``bits``, and lengths that can be alike enough."""
-    return F.expr(
+    return (
         f"bit_count(a.simhash ^ b.simhash) <= {bits} "
         f"and least(a.n_words, b.n_words) >= {similar} * greatest(a.n_words, b.n_words)"
     )
@@ -166,35 +200,101 @@ def meetings(table: DataFrame, bits: int = BITS) -> DataFrame:
     same = table.groupBy("simhash").agg(F.count("*").alias("n")).filter("n > 1")
     grouped = grouped.union(same.select(F.xxhash64(F.lit("same"), "simhash").alias("key"), "simhash"))
     grouped = grouped.union(rows.join(small(crowded), "key", "left_semi"))
-    return grouped.join(table, "simhash").select("key", "line", "n_words", "simhash")
+    return grouped.join(table.select("line", "n_words", "simhash"), "simhash").select("key", "line", "n_words", "simhash")
 
 
-def links(documents: DataFrame, table: DataFrame, bits: int = BITS, similar: float = SIMILAR) -> DataFrame:
-    """``u, v``: links that connect all lines of ``table`` (a stored one) within reach and alike."""
+def followers(crowd: DataFrame, in_reach: str) -> DataFrame:
+    """``u, v``: lines in reach that follow each other closely in a group, by hash.
+
+    Groups are cut by ranges, so a large one is many tasks; neighbours across a cut are left
+    to the later rounds.
+    """
+    order = ["key", "simhash", "line"]
+    pieces = written(crowd.repartitionByRange(*order).withColumn("piece", F.spark_partition_id()), "crowd-pieces")
+    window = Window.partitionBy("piece", "key").orderBy("simhash", "line")
+    names = ("line", "n_words", "simhash")
+    found = None
+    for step in range(1, FOLLOWERS + 1):
+        ahead = F.struct(*[F.lead(c, step).over(window).alias(c) for c in names])
+        both = pieces.select(F.struct(*names).alias("a"), ahead.alias("b")).filter("b.line is not null").filter(F.expr(in_reach))
+        found = both if found is None else found.union(both)
+    return found.select(F.expr("least(a.line, b.line)").alias("u"), F.expr("greatest(a.line, b.line)").alias("v"))
+
+
+def across(crowd: DataFrame, roots: DataFrame, in_reach: str, low: int, high: int) -> tuple[DataFrame, int]:
+    """``u, v``: lines in reach of different parts of a group whose turn has come, and the size of
+    the largest group with several parts.
+
+    Lines of the largest part do not meet each other. A group of s lines shows the pairs whose
+    hash lies between low / s and high / s; groups up to ``low`` lines have had all their turns.
+    """
+    placed = crowd.join(roots.withColumnRenamed("node", "line"), "line", "left").select(
+        "key", "line", "n_words", "simhash", F.coalesce("root", "line").alias("root")
+    )
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    groups = parts.groupBy("key").agg(
+        F.sum("n").alias("size"), F.count("*").alias("parts"), F.max(F.struct("n", "root"))["root"].alias("largest")
+    )
+    groups = written(groups.filter("parts > 1").filter(F.col("size") > low).select("key", "size", "largest"), "open-groups")
+    most = groups.agg(F.max("size")).first()[0] or 0
+    pieces = F.ceil(F.col("size") / PIECE).cast("int")
+    every = placed.join(small(groups), "key").withColumn("piece", F.pmod(F.xxhash64("line"), pieces).cast("int"))
+    some = placed.join(small(groups), "key").filter("root <> largest").withColumn(
+        "piece", F.explode(F.sequence(F.lit(0), pieces - 1))
+    )
+    turn = "shiftrightunsigned(xxhash64(a.line ^ b.line), 11) / 9007199254740992D * a.size"
+    found = some.alias("a").join(
+        every.alias("b"),
+        F.expr("a.key = b.key and a.piece = b.piece and a.root <> b.root and (b.root = b.largest or a.line < b.line)")
+        & F.expr(in_reach)
+        & F.expr(f"{turn} >= {low} and {turn} < {high}"),
+    )
+    pairs = found.select(F.expr("least(a.line, b.line)").alias("u"), F.expr("greatest(a.line, b.line)").alias("v"))
+    return pairs.distinct(), most
+
+
+def texts_of(documents: DataFrame, table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``line, coded, n_words`` of the ``wanted`` lines, read at their first places."""
+    places = table.select("line", "first.*").join(small(wanted), "line")
+    places = places.groupBy(F.col("doc_id").alias("at_doc"), F.col("text_key").alias("at_key")).agg(
+        F.collect_set(F.struct("line", "line_no")).alias("places")
+    )
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    on = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_key") == F.col("at_key"))
+    found = rows.join(places, on).select(F.split("text", "\n").alias("cut"), F.explode("places").alias("p"))
+    norm = found.select(F.col("p.line").alias("line"), _normal(F.get("cut", F.col("p.line_no"))).alias("norm")).dropDuplicates(["line"])
+    return norm.select("line", _coded(F.col("norm")).alias("coded"), F.size(F.split("norm", " ")).alias("n_words"))
+
+
+def connected(documents: DataFrame, table: DataFrame, bits: int = BITS, similar: float = SIMILAR) -> DataFrame:
+    """``node, root`` of all lines of ``table`` (a stored one) that are within reach of one another and alike."""
     members = written(meetings(table, bits), "line-meetings")
     wanted = written(members.select("line").distinct(), "wanted-lines")
-    found = lines(documents).select("line", "norm").join(small(wanted), "line").dropDuplicates(["line"])
-    coded = found.select("line", _coded(F.col("norm")).alias("coded"), F.size(F.split("norm", " ")).alias("n_words"))
-    texts = written(coded, "line-texts")
-    heads = written(
-        members.groupBy("key").agg(F.count("*").alias("n"), F.min("line").alias("head")).filter(F.col("n") > CROWD), "crowds"
-    ).select("key", "head")
+    texts = written(texts_of(documents, table, wanted), "line-texts")
+    crowds = members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("key")
+    crowds = written(crowds, "crowds")
     in_reach = _in_reach(bits, similar)
-    few = members.join(small(heads), "key", "left_anti")
-    near = few.alias("a").join(few.alias("b"), F.expr("a.key = b.key and a.line < b.line") & in_reach)
+    few = members.join(small(crowds), "key", "left_anti")
+    near = few.alias("a").join(few.alias("b"), F.expr("a.key = b.key and a.line < b.line") & F.expr(in_reach))
     close = alike(near.select(F.col("a.line").alias("u"), F.col("b.line").alias("v")), texts, similar)
-    if not heads.limit(1).count():
-        return close
-
-    # Crowds: all lines with the first one, then those that it did not take in with all.
-    crowd = written(members.join(small(heads), "key"), "crowded-lines")
-    first = crowd.filter("line = head")
-    to_head = crowd.alias("a").join(first.alias("b"), F.expr("a.key = b.key and a.line <> b.line") & in_reach)
-    taken = written(alike(to_head.select(F.col("a.line").alias("u"), F.col("b.line").alias("v")), texts, similar), "line-links")
-    rest = crowd.filter("line <> head").join(taken.withColumnsRenamed({"u": "line", "v": "head"}), ["line", "head"], "left_anti")
-    others = rest.alias("a").join(crowd.alias("b"), F.expr("a.key = b.key and a.line <> b.line") & in_reach)
-    ordered = others.select(F.expr("least(a.line, b.line)").alias("u"), F.expr("greatest(a.line, b.line)").alias("v"))
-    return close.union(taken).union(alike(ordered, texts, similar))
+    found = written(close, "line-links")
+    if not crowds.limit(1).count():
+        return components(found)
+
+    crowd = written(members.join(small(crowds), "key"), "crowded-lines")
+    tried = written(followers(crowd, in_reach).distinct(), "line-pairs")
+    roots = components(found.union(written(alike(tried, texts, similar), "line-links")))
+    low, high = 0, 64
+    while True:
+        pairs, most = across(crowd, roots, in_reach, low, high)
+        if not most:
+            return roots
+        new = written(pairs.join(tried, ["u", "v"], "left_anti"), "line-pairs")
+        roots = extended(roots, written(alike(new, texts, similar), "line-links"))
+        if most <= high:
+            return roots
+        tried = tried.union(new)
+        low, high = high, 16 * high
 
 
 def classes(documents: DataFrame, bits: int = BITS, similar: float = SIMILAR) -> DataFrame:
@@ -203,22 +303,22 @@ def classes(documents: DataFrame, bits: int = BITS, similar: float = SIMILAR) ->
     The class is named by its first occurrence by doc_id and line, which alone is kept. Rows
     that repeat a document keep or lose the same lines; lines of rows without doc_id come first.
     """
-    table = written(simhashes(lines(documents)), "lines")
-    roots = components(links(documents, table, bits, similar))
-    occurrences = lines(documents).drop("norm")
-    rooted = occurrences.join(roots.withColumnRenamed("node", "line"), "line", "left").select(
-        "doc_id", "text_key", "line_no", F.coalesce("root", "line").alias("root")
+    found = written(hashed_lines(lines(documents)), "line-places")
+    table = written(different_lines(found), "lines")
+    roots = connected(documents, table, bits, similar)
+    rooted = table.join(roots.withColumnRenamed("node", "line"), "line", "left").select(
+        "line", "n", "first", F.coalesce("root", "line").alias("root")
     )
-    rooted = written(rooted, "line-classes")
-    place = F.struct("doc_id", "text_key", "line_no")
-    first = rooted.groupBy("root").agg(F.min(place).alias("first"))
-    return rooted.join(first, "root").select(
-        "doc_id",
-        "text_key",
-        "line_no",
-        F.col("first.doc_id").alias("class_doc"),
-        F.col("first.line_no").alias("class_line"),
-        place.eqNullSafe(F.col("first")).alias("kept"),
+    rooted = written(rooted, "rooted-lines")
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("class"), F.count("*").alias("lines"))
+    named = lookup(rooted.select("line", "n", "root"), written(firsts, "line-classes"), ["root"], ["line"], weight="lines")
+    named = written(named.select("line", "n", "class"), "named-lines")
+    places = ["doc_id", "text_key", "line_no"]
+    return lookup(found.select(*places, "line"), named, ["line"], places, weight="n").select(
+        *places,
+        F.col("class.doc_id").alias("class_doc"),
+        F.col("class.line_no").alias("class_line"),
+        F.struct(*places).eqNullSafe(F.col("class")).alias("kept"),
     )
 
 
@@ -227,19 +327,20 @@ def dedup(documents: DataFrame, bits: int = BITS, similar: float = SIMILAR) -> D
 
     Blank lines stay. A document that loses all its lines goes; one without lines stays.
     """
-    lost = (
+    doc, key, lost, rest = free_names(documents, "doc", "key", "lost", "rest")
+    gone = (
         classes(documents, bits, similar)
         .filter("not kept")
-        .groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
-        .agg(F.collect_set("line_no").alias("_lost"))
+        .groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key))
+        .agg(F.collect_set("line_no").alias(lost))
     )
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key"))
-    rest = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_lost", i))
-    joined = documents.join(lost, on, "left")
-    text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
-    out = joined.withColumn("_rest", text).filter("_lost is null or trim(_rest) <> ''")
-    changed = {"text": F.col("_rest")}
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key))
+    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(lost, i))
+    whole = F.col(lost).isNull()
+    out = documents.join(gone, on, "left").withColumn(rest, F.when(whole, F.col("text")).otherwise(F.array_join(left, "\n")))
+    out = out.filter(whole | (F.trim(rest) != ""))
+    changed = {"text": F.col(rest)}
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(F.col("_lost").isNull(), F.col("n_chars")).otherwise(F.length("_rest").cast(kind))
-    return out.withColumns(changed).select(*documents.columns)
+        changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(rest).cast(kind))
+    return out.withColumns(changed).select(*[quoted(c) for c in documents.columns])

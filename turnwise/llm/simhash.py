@@ -20,8 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import small
+from turnwise.llm.common import free_names, small
 from turnwise.llm.components import components
+from turnwise.operators.scale import lookup
 from turnwise.session import written
 
 HALF = 31
@@ -66,7 +67,7 @@ def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(documents: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``doc_id, fingerprint`` (a long that holds the 64 bits) of every row.
+    """``doc_id, text_key, fingerprint`` (a long that holds the 64 bits) of every row.
 
     Words are runs without ASCII white space, A-Z lower-cased; shingles are hashed with XXH64
     as often as they occur. Fewer words than a shingle are one shingle; null and blank texts
@@ -92,11 +93,11 @@ def fingerprints(documents: DataFrame, shingle: int = 4, seed: int = 42) -> Data
                     flush()
             flush()
             bits = np.concatenate(found).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits)], ["doc_id", "fingerprint"])
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(bits)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "fingerprint"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, fingerprint long"
-    )
+    rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_key long, fingerprint long")
 
 
 def _patterns(radius: int) -> np.ndarray:
@@ -227,34 +228,49 @@ def links(nodes: DataFrame, bits: int = 4) -> DataFrame:
     )
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` per row: the smallest doc_id reachable by links.
+def _grouped(documents: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """``doc_id, text_key, fingerprint, first`` per row: ``first`` is the least (doc_id, text_key) of its group.
 
-    Equal fingerprints are one node, so a group of copies costs one comparison. Nulls among
-    doc_ids are passed over; a group without any doc_id has a null component. Repeated rows
-    come out as often as they go in.
+    Equal fingerprints are one node, so a group of copies costs one comparison; the rows of a
+    frequent one are served without meeting in one task.
     """
     prints = written(fingerprints(documents, shingle), "fingerprints")
-    nodes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "nodes")
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))
+    nodes = written(prints.groupBy("fingerprint").agg(F.min(named).alias("first"), F.count("*").alias("rows")), "nodes")
     roots = components(links(nodes, bits))
     rooted = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
-        "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")
-    )
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(rooted.join(named, "root").select("fingerprint", "component_id"), "fingerprint").select(
-        "doc_id", "fingerprint", "component_id"
+        "fingerprint", "first", "rows", F.coalesce("root", "fingerprint").alias("root")
     )
+    rooted = written(rooted, "rooted-nodes")
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("nodes"))
+    by_print = lookup(rooted.drop("first"), written(firsts, "firsts"), ["root"], ["fingerprint"], weight="nodes")
+    by_print = written(by_print.select("fingerprint", "rows", "first"), "first-by-node")
+    return lookup(prints, by_print, ["fingerprint"], ["doc_id", "text_key"], weight="rows")
+
+
+def near_duplicates(documents: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` per row: the smallest doc_id reachable by links.
+
+    Nulls among doc_ids are passed over; a group without any doc_id has a null component.
+    Repeated rows come out as often as they go in.
+    """
+    return _grouped(documents, shingle, bits).select("doc_id", "fingerprint", F.col("first.doc_id").alias("component_id"))
 
 
 def one_per_group(documents: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
-    """``documents`` without those that have a near-duplicate of smaller doc_id in their group.
+    """``documents`` with one document of each group of near-duplicates.
 
-    Rows that repeat a doc_id and text are one row afterwards. Rows without a doc_id cannot be
-    told from each other and stay.
+    Rows are told apart by doc_id and text. The least of a group by these stays, and rows that
+    repeat it are one row afterwards. Rows without a doc_id cannot be told from each other: all
+    of them stay, and none makes another row go.
     """
-    found = near_duplicates(documents, shingle, bits)
-    later = found.filter("doc_id is not null and doc_id <> component_id")
-    gone = written(later.select(F.col("doc_id").alias("_gone")).distinct(), "near-duplicates")
-    left = documents.join(small(gone), documents["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    doc, key = free_names(documents, "doc", "key")
+    later = _grouped(documents, shingle, bits).filter("doc_id is not null and struct(doc_id, text_key) <> first")
+    gone = later.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct()
+    gone = written(gone, "near-duplicates")
+    on = (documents["doc_id"].cast("long") == F.col(doc)) & (F.xxhash64(documents["text"]) == F.col(key))
+    left = documents.join(small(gone), on, "left_anti")
     sizes = documents.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
-    return left if sizes[0] == sizes[1] else left.dropDuplicates(["doc_id", "text"])
+    if sizes[0] == sizes[1]:
+        return left
+    return left.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.filter("doc_id is null"))
