@@ -233,6 +233,8 @@ def test_a_threshold_finds_the_nodes_of_exhaustive_search(spark, depth, k, best)
 
     assert chosen(some) == chosen(every)
     assert some.count() < every.count() or best >= 100
+    kept = paths.expand_top_k(roots, table, depth, k, scored=False)
+    assert sorted((r.root, tuple(r.ranks)) for r in kept.collect()) == sorted((r.root, tuple(r.ranks)) for r in every.filter("kept").collect())
 
 
 def test_two_leading_system_messages_do_not_double_a_conversation(spark):

@@ -25,7 +25,9 @@ def successors(pairs: DataFrame, k: int) -> DataFrame:
     )
 
 
-def expand_top_k(roots: DataFrame, table: DataFrame, depth: int, k: int, best: int | None = None) -> DataFrame:
+def expand_top_k(
+    roots: DataFrame, table: DataFrame, depth: int, k: int, best: int | None = None, scored: bool = True
+) -> DataFrame:
     """Grow each root for ``depth`` steps; after each step its best k paths live on.
 
     Result: one row per node ever scored (root, depth, parent_rank, child_rank, rank,
@@ -38,8 +40,10 @@ def expand_top_k(roots: DataFrame, table: DataFrame, depth: int, k: int, best: i
     With ``best`` only nodes that ``rerank_top_n`` may choose for that many nodes are sought:
     a step never raises a score and at equal scores the shorter path wins, so a path that
     is not above the ``best``-th node of its root so far has no descendant among them and is
-    not grown. What is chosen is the same as without.
+    not grown. What is chosen is the same as without. With ``best``, or without ``scored``, nodes
+    that neither live on nor can be chosen are dropped before they are shuffled.
     """
+    held = k if not scored and best is None else max(k, best) if best is not None else None
     table = table.select(F.col("token").alias("tail"), "best")
     live = roots.select(
         F.col("token").alias("root"),
@@ -66,8 +70,12 @@ def expand_top_k(roots: DataFrame, table: DataFrame, depth: int, k: int, best: i
             F.concat("tokens", F.array("b.token")).alias("tokens"),
             (F.col("score") + F.col("b.log_p")).alias("score"),
         )
-        scored = grown.withColumn("rank", (F.row_number().over(by_score) - 1).cast("bigint"))
-        level = written(scored.withColumn("kept", F.col("rank") < k), f"paths-{d}")
+        ranked = grown.withColumn("_place", F.row_number().over(by_score))
+        if held is not None:
+            # Spark limits each root on the map side.
+            ranked = ranked.filter(F.col("_place") <= held)
+        ranked = ranked.withColumn("rank", (F.col("_place") - 1).cast("bigint")).drop("_place")
+        level = written(ranked.withColumn("kept", F.col("rank") < k), f"paths-{d}")
         levels = level if levels is None else levels.unionByName(level)
         if d == depth:
             break

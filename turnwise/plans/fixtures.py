@@ -375,9 +375,9 @@ def candidates(spark, sf_dir) -> DataFrame:
     )
 
 
-def path_nodes(spark, sf_dir, best: int | None = None) -> DataFrame:
+def path_nodes(spark, sf_dir, best: int | None = None, scored: bool = True) -> DataFrame:
     firsts = written(paths.successors(all_pairs(spark, sf_dir), BEAM_WIDTH), "path-successors")
-    return paths.expand_top_k(firsts.select("token"), firsts, BEAM_DEPTH, BEAM_WIDTH, best)
+    return paths.expand_top_k(firsts.select("token"), firsts, BEAM_DEPTH, BEAM_WIDTH, best, scored)
 
 
 # --- metric log ----------------------------------------------------------------

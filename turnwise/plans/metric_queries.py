@@ -423,7 +423,7 @@ def _chosen(spark, sf_dir):
               array_to_string(tokens, ' ') AS tokens, round(score, 6) AS score FROM z_nodes WHERE rank < {BEAM_WIDTH}""",
 )
 def path_expand_topk(spark, sf_dir):
-    live = fx.path_nodes(spark, sf_dir).filter("kept").select("root", "depth", "rank", "ranks", "tokens", "score")
+    live = fx.path_nodes(spark, sf_dir, scored=False).select("root", "depth", "rank", "ranks", "tokens", "score")
     return rounded(live.transform(_text("ranks", "tokens")), "score")
 
 
