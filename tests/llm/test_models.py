@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import odd_documents, prose
 from turnwise.llm import lm_score, quality, toxicity
@@ -149,6 +150,34 @@ def test_signs_inside_words(token):
     assert set(toxicity._LETTERS.findall(token)) <= toxicity.restored(token, model)
 
 
+def all_paths(token, model):
+    """Every reading of a token with its score, one after the other."""
+    masked = toxicity.is_masked(token)
+    states = [((0, 0, ""), 0.0, "")]
+    for ch in token:
+        after = []
+        for (a, b, last), score, text in states:
+            for out, c, cost in toxicity.readings(ch, masked):
+                after.append(((b, c, out), score + cost + float(model[a, b, c]), text + out))
+                if out == last:
+                    after.append(((a, b, last), score + cost + toxicity.REPEATED, text))
+            if not ch.isalpha() and text:
+                after.append(((a, b, last), score + toxicity.DROPPED, text))
+        states = after
+    ends = [(score + float(model[a, b, 0]), text) for (a, b, _), score, text in states]
+    top = max(score for score, _ in ends)
+    return top, {text for score, text in ends if score > top - 1e-6}
+
+
+def test_decoding_finds_the_best_of_all_paths():
+    model = toxicity.log_model(_counts(["the idiot said stupid and plain things, 15 of 70 times!"] * 50))
+    rnd = random.Random(6)
+    tokens = ["1d10t", "st**id", "2#ab", "s.t.u", "aaa", "7h3", "|d|ot", "x-y", "!!", "i1l|", "@$$", "b00k", "(a(", "2b2"]
+    tokens += ["".join(rnd.choice("aist01!|@$*#2.-") for _ in range(rnd.randrange(1, 7))) for _ in range(150)]
+    for token in tokens:
+        assert toxicity.decode(token, model) in all_paths(token, model)[1]
+
+
 def test_long_tokens_are_one_lattice():
     model = toxicity.log_model(_counts(["the idiot said stupid and plain things"] * 50))
     for n in range(40, 50):
@@ -187,7 +216,21 @@ def test_toxicity_of_odd_documents(spark, documents, no_documents):
     left = toxicity.acceptable(documents, labels)
     assert left.columns == documents.columns
     assert toxicity.acceptable(no_documents, labels).count() == 0
-    assert toxicity.acceptable(documents, labels.limit(0)).columns == documents.columns
+    for nothing in (labels.limit(0), labels.filter("toxic = 0"), labels.filter("toxic = 1"), labels.filter("doc_id is null")):
+        kept = toxicity.acceptable(documents, nothing)
+        assert kept.columns == documents.columns and kept.count() == documents.count()
+    odd = documents.withColumn("my col", F.lit(1)).withColumn("_row", F.struct(F.lit(1).alias("a b")))
+    assert toxicity.acceptable(odd, labels).columns == odd.columns
+    assert toxicity.score(odd, model).count() == odd.count()
+
+
+def test_labelled_rows_are_drawn_by_a_hash(spark):
+    rows, labels = labelled(160)
+    df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, LABELS)
+    assert toxicity.training(df, known).count() > 100
+    some = [r["text"] for r in toxicity.training(df, known, most=40).collect()]
+    again = [r["text"] for r in toxicity.training(df.repartition(7), known, most=40).collect()]
+    assert len(some) == 40 and sorted(some) == sorted(again)
 
 
 def test_good_texts_are_drawn(spark):

@@ -23,19 +23,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from turnwise.llm.common import in_chunks, rows_of, small, text_or_empty
+from turnwise.llm.common import in_chunks, rows_of, text_or_empty
 from turnwise.session import written
 
 #: Classes of characters in the model: 0 blank, a-z, U+00DF to U+00FF, other letters, digits, signs.
 CLASSES = 64
 _OTHER, _DIGIT, _SIGN = 60, 61, 62
-#: Pieces of words that the model keeps, surest first: its size, whatever the corpus' size.
-PIECES = 50_000
+#: Labelled documents that the model is fitted on, drawn by a hash of their ids; all sure pieces of their words count.
+LABELLED = 200_000
 #: Least lower bound of a piece that counts, and the bound's width in standard errors.
 SURE, WIDTH = 0.25, 3.0
 LEVELS = 16
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 TOXIC = 0.3
 
 # Fixed: letters that a sign may stand for.
@@ -121,35 +122,56 @@ def log_model(tri: np.ndarray) -> np.ndarray:
     return np.log(mixed).astype(np.float32)
 
 
-def decode(token: str, model: np.ndarray) -> str:
+def _flat(model) -> list[float]:
+    """The character model as a list, in which a number is found faster."""
+    return model if isinstance(model, list) else model.ravel().tolist()
+
+
+def readings(ch: str, masked: bool) -> list[tuple[str, int, float]]:
+    """What a character of a disguised token may stand for: (character, its class, cost)."""
+    letters = [(x, AS_LETTER) for x in LEET.get(ch, "")]
+    if masked and ch in HIDING:
+        letters += [(x, HIDDEN) for x in _ALPHABET]
+    letters.append((ch, 0.0))
+    return [(x, int(_TABLE[ord(x)]), cost) for x, cost in letters]
+
+
+def is_masked(token: str) -> bool:
+    """A character that hides a letter may be any one if the token has as many letters as such characters."""
+    return 0 < sum(ch in HIDING for ch in token) <= sum(ch.isalpha() for ch in token)
+
+
+def decode(token: str, model) -> str:
     """The likeliest plain form of a lower-case token, in time that grows with its length.
 
-    Paths are linked from their ends, so they share what they have in common. A character that
-    hides a letter may be any one if the token has as many letters as such characters.
+    Paths are linked from their ends, so they share what they have in common.
     """
-    masked = 0 < sum(ch in HIDING for ch in token) <= sum(ch.isalpha() for ch in token)
+    flat, masked = _flat(model), is_masked(token)
     best: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
     for ch in token:
-        letters = [(x, AS_LETTER) for x in LEET.get(ch, "")]
-        if masked and ch in HIDING:
-            letters += [(x, HIDDEN) for x in _ALPHABET]
-        letters.append((ch, 0.0))
+        letters = readings(ch, masked)
+        droppable = not ch.isalpha()
         after: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
-
-        def offer(key, score, path):
-            if key not in after or score > after[key][0]:
-                after[key] = (score, path)
-
+        get = after.get
         for (a, b, last), (score, path) in best.items():
-            for out, cost in letters:
-                c = int(_TABLE[ord(out)])
-                offer((b, c, out), score + cost + float(model[a, b, c]), (path, out))
+            row = (a * CLASSES + b) * CLASSES
+            for out, c, cost in letters:
+                value = score + cost + flat[row + c]
+                held = get((b, c, out))
+                if held is None or value > held[0]:
+                    after[b, c, out] = (value, (path, out))
                 if out == last:
-                    offer((a, b, last), score + cost + REPEATED, path)
-            if not ch.isalpha() and path:
-                offer((a, b, last), score + DROPPED, path)
+                    value = score + cost + REPEATED
+                    held = get((a, b, last))
+                    if held is None or value > held[0]:
+                        after[a, b, last] = (value, path)
+            if droppable and path:
+                value = score + DROPPED
+                held = get((a, b, last))
+                if held is None or value > held[0]:
+                    after[a, b, last] = (value, path)
         best = after
-    ends = [(score + float(model[a, b, 0]), path) for (a, b, _), (score, path) in best.items()]
+    ends = [(score + flat[(a * CLASSES + b) * CLASSES], path) for (a, b, _), (score, path) in best.items()]
     top = max(score for score, _ in ends)
     return max(_text(path) for score, path in ends if score == top)
 
@@ -162,7 +184,7 @@ def _text(path: tuple | None) -> str:
     return "".join(reversed(out))
 
 
-def restored(token: str, model: np.ndarray) -> set[str]:
+def restored(token: str, model) -> set[str]:
     """The words that a lower-case token may be: itself, and its decoded form if it is disguised."""
     bare = token.strip(_EDGES)
     if not bare:
@@ -183,8 +205,8 @@ def restored(token: str, model: np.ndarray) -> set[str]:
 class Words:
     """Restored words of tokens, remembered while a task goes on."""
 
-    def __init__(self, model: np.ndarray):
-        self.model = model
+    def __init__(self, model):
+        self.model = _flat(model)
         self.known: dict[str, frozenset[str]] = {}
 
     def of(self, text: str) -> set[str]:
@@ -224,10 +246,10 @@ def _pieces(word: str) -> list[str]:
     ]
 
 
-def training(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text, toxic, fold`` of the labelled documents that may be learned from.
+def training(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
+    """``text, toxic, fold`` of the labelled documents that are learned from, ``most`` of them.
 
-    These are the rows whose crc32 of the doc_id as text leaves no 2 modulo 4. A doc_id with
+    These are rows whose crc32 of the doc_id as text leaves no 2 modulo 4. A doc_id with
     several labels is toxic if one of them says so; null ids and labels teach nothing.
     """
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -239,11 +261,12 @@ def training(documents: DataFrame, labels: DataFrame) -> DataFrame:
         .agg(F.max("toxic").alias("toxic"))
         .withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
     )
+    drawn = known.orderBy(F.xxhash64("doc_id", F.lit("drawn")), "doc_id").limit(most)
     rows = documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return rows.join(small(known), "doc_id").select("text", "toxic", "fold")
+    return rows.join(F.broadcast(drawn), "doc_id").select("text", "toxic", "fold")
 
 
-def weigh(train: DataFrame, model: np.ndarray, keep: int = PIECES) -> list[dict[str, float]]:
+def weigh(train: DataFrame, model: np.ndarray) -> list[dict[str, float]]:
     """Pieces and their lower bounds: without fold 0, without fold 1, and of all.
 
     The unit is a distinct line, so that copies of a document do not make its words sure.
@@ -290,13 +313,9 @@ def weigh(train: DataFrame, model: np.ndarray, keep: int = PIECES) -> list[dict[
         ),
         "pieces",
     )
-    return [
-        {
-            r["piece"]: r[k]
-            for r in sure.filter(F.col(k) >= SURE).orderBy(F.desc(k), "piece").limit(keep).select("piece", k).collect()
-        }
-        for k in bounds
-    ]
+    # Their number is bounded by that of the labelled documents, not by the corpus.
+    rows = sure.collect()
+    return [{r["piece"]: r[k] for r in rows if r[k] >= SURE} for k in bounds]
 
 
 class Scorer:
@@ -305,20 +324,24 @@ class Scorer:
     The more words a text has, the likelier one of them looks sure by chance.
     """
 
-    def __init__(self, sure: dict[str, float], model: np.ndarray):
-        self.sure, self.model = sure, model
-        self.known: dict[str, float] = {}
-        self.words = Words(model)
+    def __init__(self, sure: dict[str, float], model):
+        self.model = _flat(model)
+        # Pieces by their kind: whole words, beginnings, inner strings.
+        self.words = {p[1:-1]: v for p, v in sure.items() if p[0] == "^" and p[-1] == "$"}
+        self.starts = {p[1:]: v for p, v in sure.items() if p[0] == "^" and p[-1] != "$"}
+        self.inner = {p: v for p, v in sure.items() if p[0] != "^"}
         # Words that count as a whole, and what they may begin with when they are cut by blanks.
-        self.whole = {p[1:-1]: v for p, v in sure.items() if len(p) > 5 and p[0] == "^" and p[-1] == "$"}
+        self.whole = {w: v for w, v in self.words.items() if len(w) > 3}
         self.heads = {w[:k] for w in self.whole for k in range(1, len(w))}
+        # Tokens that were judged, those of them that are sure, and those that may begin a cut word.
+        self.known: set[str] = set()
+        self.sure: dict[str, float] = {}
+        self.begin: set[str] = set()
 
     def _cut(self, tokens: list[str]) -> Iterator[float]:
         """Of words in several tokens, at least one of them longer than a letter."""
-        for i, token in enumerate(tokens):
-            head = token.lstrip(_EDGES)
-            if head not in self.heads:
-                continue
+        for i in [i for i, token in enumerate(tokens) if token in self.begin]:
+            head = tokens[i].lstrip(_EDGES)
             longest, at = len(head), i + 1
             while head in self.heads and at < len(tokens):
                 bare = tokens[at].rstrip(_EDGES + "!")
@@ -327,22 +350,39 @@ class Scorer:
                     yield self.whole[head + bare]
                 head, at = head + tokens[at], at + 1
 
+    def _word(self, word: str) -> float:
+        size, starts, inner = len(word), self.starts, self.inner
+        best = self.words.get(word, 0.0)
+        if size > 4 and starts:
+            best = max(best, *[starts.get(word[:k], 0.0) for k in (4, 5, 6) if size > k])
+        if size > 5 and inner:
+            best = max(best, *[inner.get(word[i : i + 5], 0.0) for i in range(1, size - 4)])
+        return best
+
     def _token(self, token: str) -> float:
-        words = restored(token, self.model)
-        return max((self.sure.get(p, 0.0) for w in words for p in _pieces(w)), default=0.0)
+        return max(map(self._word, restored(token, self.model)), default=0.0)
+
+    def _judge(self, tokens: set[str]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known, self.sure, self.begin = set(), {}, set()
+            tokens = self.tokens
+        for token in tokens:
+            value = self._token(token)
+            if value:
+                self.sure[token] = value
+            if token.lstrip(_EDGES) in self.heads:
+                self.begin.add(token)
+        self.known |= tokens
 
     def levels(self, text: str) -> tuple[int, ...]:
         low = text.lower()
         in_order = low.split()
-        tokens = set(in_order)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for token in tokens:
-            if token not in known:
-                known[token] = self._token(token)
-        found = [known[t] for t in tokens]
-        found += self._cut(in_order)
+        self.tokens = tokens = set(in_order)
+        if new := tokens - self.known:
+            self._judge(new)
+        found = [self.sure[t] for t in tokens & self.sure.keys()]
+        if not self.begin.isdisjoint(tokens):
+            found += self._cut(in_order)
         for apart in _APART.finditer(low):
             found.append(self._token(decode(re.sub(r"[ ._*-]", "", apart[0]), self.model)))
         top = [*heapq.nlargest(3, found), 0.0, 0.0, 0.0][:3]
@@ -372,8 +412,8 @@ def fit(levels: np.ndarray, toxic: np.ndarray, n: np.ndarray, ridge: float = 0.1
 class Model:
     """What scoring needs: character model, sure pieces, weights. Its size has fixed bounds."""
 
-    def __init__(self, characters: np.ndarray, sure: dict[str, float], weights: np.ndarray):
-        self.characters, self.sure, self.weights = characters, sure, weights
+    def __init__(self, characters: np.ndarray, sure: dict[str, float], weights: np.ndarray, fitted: bool = True):
+        self.characters, self.sure, self.weights, self.fitted = characters, sure, weights, fitted
 
     def score(self, levels: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_inputs(levels) @ self.weights, -30, 30)))
@@ -385,8 +425,12 @@ def learn(documents: DataFrame, labels: DataFrame) -> Model:
     train = training(documents, labels)
     without0, without1, every = weigh(train, characters)
 
+    shared = documents.sparkSession.sparkContext.broadcast((without0, without1, characters))
+
     def levels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers = Scorer(without0, characters), Scorer(without1, characters)
+        *folds, model = shared.value
+        flat = _flat(model)
+        scorers = [Scorer(sure, flat) for sure in folds]
         cells = Counter(
             (*scorers[fold].levels(text), int(toxic > 0))
             for text, toxic, fold in rows_of(batches, "text", "toxic", "fold")
@@ -401,7 +445,8 @@ def learn(documents: DataFrame, labels: DataFrame) -> Model:
         .collect()
     )
     table = np.array([tuple(r) for r in cells], np.float64).reshape(-1, 6)
-    return Model(characters, every, fit(table[:, :4], table[:, 4], table[:, 5]))
+    fitted = len(set(table[:, 4].tolist())) == 2
+    return Model(characters, every, fit(table[:, :4], table[:, 4], table[:, 5]), fitted)
 
 
 def score(documents: DataFrame, model: Model, threshold: float = TOXIC) -> DataFrame:
@@ -423,12 +468,25 @@ def score(documents: DataFrame, model: Model, threshold: float = TOXIC) -> DataF
                 [*batch.columns, pa.array(p, pa.float64()), pa.array(p >= threshold)], [*names, "toxicity", "toxic"]
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, toxicity double, toxic boolean")
+    added = StructType.fromDDL("toxicity double, toxic boolean")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *added.fields]))
 
 
 def acceptable(documents: DataFrame, labels: DataFrame, threshold: float = TOXIC) -> DataFrame:
-    """``documents`` without those that a model fitted on them and ``labels`` calls toxic."""
+    """``documents`` without those that a model fitted on them and ``labels`` calls toxic.
+
+    If the labels that may be learned from are not of both kinds, nothing can be told and all stay.
+    """
     model = learn(documents, labels)
-    judged = score(documents.select(F.struct("*").alias("_row"), "text"), model, threshold)
-    return judged.filter("not toxic").select("_row.*")
+    if not model.fitted:
+        return documents
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        scorer = Scorer(m.sure, m.characters)
+        for batch in batches:
+            levels = [scorer.levels(t.as_py() or "") for t in batch.column("text")]
+            yield batch.filter(pa.array(m.score(np.array(levels, np.float64).reshape(-1, 4)) < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
