@@ -6,10 +6,11 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import odd_documents, prose
 from turnwise.llm import fingerprints, line_dedup, simhash
-from turnwise.llm.components import components
+from turnwise.llm.components import components, extended
 
 
 def groups(n, pairs):
@@ -103,6 +104,43 @@ def test_one_document_of_each_group_stays(documents, no_documents):
     assert simhash.one_per_group(no_documents).count() == 0
 
 
+def test_rows_are_told_apart_by_id_and_text(spark):
+    a, b, c = prose(40, 60), prose(41, 60), prose(42, 60)
+    shape = "doc_id long, text string, `_gone` string, `my col` int"
+
+    def left(*rows):
+        df = spark.createDataFrame([(*r, "x", 1) for r in rows], shape).repartition(2)
+        out = simhash.one_per_group(df)
+        assert out.columns == df.columns
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+    assert left((1, a), (2, a), (2, b)) == sorted([(1, a), (2, b)], key=str)
+    assert left((1, a), (1, a), (2, b)) == sorted([(1, a), (2, b)], key=str)
+    # Rows without an id stay, whether or not another id repeats.
+    for more in ((), ((3, c), (3, c))):
+        got = left((None, a), (None, a), (2, b), *more)
+        assert got.count((None, a)) == 2 and got.count((2, b)) == 1 and got.count((3, c)) == min(1, len(more))
+    assert left((5, a), (7, a), (None, a)) == sorted([(5, a), (None, a)], key=str)
+
+
+def test_odd_names_of_columns(spark):
+    rows = [(1, prose(1, 30), "x"), (2, prose(1, 30), "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `_lost` string").withColumn("_doc", F.lit(1)).withColumn("my col", F.lit(2))
+    assert line_dedup.dedup(df).columns == df.columns and line_dedup.dedup(df).count() == 1
+
+
+def test_components_grow_with_new_links(spark):
+    rnd = random.Random(3)
+    first = [(rnd.randrange(40), rnd.randrange(40)) for _ in range(20)]
+    second = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(25)]
+    one, two, none = (spark.createDataFrame(p, "u long, v long") for p in (first, second, [(0, 0)]))
+    roots = extended(components(one), two)
+    want = groups(60, first + second)
+    touched = {x for p in first if p[0] != p[1] for x in p} | {x for p in second for x in p}
+    assert {r["node"]: r["root"] for r in roots.collect()} == {x: want[x] for x in touched}
+    assert extended(components(one), none.limit(0)).count() == components(one).count()
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -241,3 +279,21 @@ def test_likeness_is_unbiased_for_many_pairs(spark):
     got = {r["doc_id"]: r["l"] for r in both.select("doc_id", fingerprints.likeness("x", "y").alias("l")).collect()}
     errors = [got[i] - len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for i, a, b in rows]
     assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.06
+
+
+def test_recall_of_fuzzy_lines_by_edit_similarity_alone(spark):
+    """Of pairs that word edits alone call alike, how many share a class: what the README states."""
+    rnd = random.Random(11)
+    rows, pairs = [], []
+    for g in range(60):
+        words = prose(3000 + g, 80).split()
+        other = list(words)
+        for _ in range(1 + g % 4):  # 0.99 to 0.95
+            other[rnd.randrange(80)] = f"new{rnd.randrange(10**6)}"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+        pairs.append((2 * g, 2 * g + 1, edits(words, other)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    of = {r["doc_id"]: r["class_doc"] for r in line_dedup.classes(df).collect()}
+    one_word = [of[a] == of[b] for a, b, n in pairs if n == 1]
+    assert all(n <= 4 for _, _, n in pairs) and np.mean(one_word) > 0.5
+    assert np.mean([of[a] == of[b] for a, b, _ in pairs]) > 0.25

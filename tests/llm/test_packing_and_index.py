@@ -1,10 +1,12 @@
 """Packing against the plain tokenizer and a plain best fit; the index against plain search."""
 
+import itertools
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import odd_documents, prose
 from turnwise.llm import decontam, packing
@@ -156,6 +158,51 @@ def test_proximity(spark):
     assert [(r["doc_id"], r["first"], r["stop"]) for r in near] == [(1, 0, 4)]
 
 
+def plain_near(words, phrase, slop):
+    """Spans of all starts for which some choice of different places is in reach."""
+    out = set()
+    for s in range(-len(phrase) - slop, len(words) + slop):
+        reach = [[p for p in range(max(0, s + i - slop), min(len(words), s + i + slop + 1)) if words[p] == w] for i, w in enumerate(phrase)]
+        if any(len(set(c)) == len(phrase) for c in itertools.product(*reach)):
+            out.add(s)
+    return out
+
+
+def test_proximity_equals_plain_search(spark):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choice("aabcx") for _ in range(rnd.randrange(12)))) for i in range(60)]
+    # One word is not two, and a neighbouring document neither helps nor hides a match.
+    rows += [(100, "a"), (101, "b x a"), (102, "b"), (103, "a"), (104, "a a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    index = decontam.build(docs)
+    for phrase in ("a a", "b a", "a b c", "c a a", "a b a b"):
+        words = tuple(w.encode() for w in phrase.split())
+        for slop in (0, 1, 2):
+            got = {r["doc_id"] for r in decontam.search(index, {words: ["x"]}, slop).collect()}
+            assert got == {i for i, t in rows if plain_near([w.encode() for w in t.split()], words, slop)}
+    pairs = spark.createDataFrame([(7, "b a"), (8, "a a"), (9, "b a")], "item_id long, text string")
+    near = decontam.search_items(index, pairs, slop=1).collect()
+    keys = {decontam_key(spark, t): t.split() for t in ("b a", "a a")}
+    assert {(r["doc_id"], " ".join(keys[r["text_key"]])) for r in near} == {
+        (i, " ".join(p)) for i, t in rows for p in keys.values() if plain_near(t.split(), tuple(p), 1)
+    }
+
+
+def decontam_key(spark, text):
+    return spark.createDataFrame([(text,)], "text string").select(F.xxhash64("text")).first()[0]
+
+
+def test_items_that_share_a_text_and_large_benchmarks(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "SENT_BYTES", 0)
+    monkeypatch.setattr(decontam, "SEGMENT_WORDS", 50)
+    rows = [r for r in planted() if r[0] != 10]
+    items = [*ITEMS, *[(1000 + i, t) for i, t in ITEMS if i is not None]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = decontam.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = [(i, *plain_contamination(t, items)) for i, t in rows]
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_long_documents_and_small_segments(spark, monkeypatch):
     monkeypatch.setattr(decontam, "SEGMENT_WORDS", 100)
     docs = spark.createDataFrame([r for r in planted()], "doc_id long, text string").coalesce(1)
