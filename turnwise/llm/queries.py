@@ -126,7 +126,8 @@ def op2_secrets(spark, sf_dir):
     def number(kind):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    found = secret_scan.find(table(spark, sf_dir, "documents"))
+    vocabularies = [tokenizer_path(name) for name in secret_scan.VOCABULARIES]
+    found = secret_scan.find(table(spark, sf_dir, "documents"), vocabularies)
     return found.select(
         "doc_id",
         *[number(kind) for kind in ("assign", "access", "hex")],

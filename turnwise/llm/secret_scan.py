@@ -1,17 +1,21 @@
 """Secrets: fixed forms, and strings in sensitive places that a primed compressor cannot shorten.
 
-One scan over the texts finds the fixed forms and the candidates: strings soon after a sensitive
-word. The identifiers around all candidates of the corpus are counted; the most frequent ones
-prime a zstandard dictionary. A candidate's novelty is the number of bytes that it adds to its
-compressed surroundings, per byte. Names and paths that the code around or the identifiers
-already hold add few bytes, keys and passwords nearly all. Strings of letters in one case may be
-words that a dictionary of names lacks; they must be new to a letter model of the corpus too.
+One scan over the texts finds the fixed forms and the candidates: strings around a sensitive word.
+A zstandard dictionary holds the words of installed vocabularies and the most frequent
+identifiers of all whole texts. A candidate's novelty is the number of bytes that it adds to its
+compressed surroundings; it is reported if it adds about as many as random strings of the
+same length and kinds of characters do. Names, paths and compounds of known words add far fewer.
+Strings of letters may be words that the dictionary lacks; they must be new to a letter model of
+the corpus too. Dates, numbers, addresses and ids of plain forms are no secrets.
 """
 
 from __future__ import annotations
 
+import bisect
+import random
 import re
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,17 +23,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import in_chunks, rows_of
+from turnwise.llm.common import in_chunks, rows_of, tokenizer_path
 from turnwise.session import written
 
 #: In the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "novel")
-NOVELTY = 0.6
-#: Identifiers in the dictionary: a parameter of the model, whatever the corpus' size.
-IDENTIFIERS = 2000
+#: Bytes that a secret adds, as a share of what random strings like it add; how many are drawn.
+NOVELTY, DRAWN = 0.85, 8
+#: Bytes of the corpus' identifiers in the dictionary: a parameter of the model, whatever the corpus' size.
+IDENTIFIER_BYTES = 400_000
+#: Installed vocabularies whose words are in the dictionary.
+VOCABULARIES = ("piece_bpe_32k.model", "word_bpe_49k.json")
 AROUND = 64
 #: Characters from a sensitive word to the strings that are judged for it; one line break may be among them.
 REACH = 96
+#: Characters from a string to a sensitive word behind it, on the same line.
+AHEAD = 40
 #: Bytes per letter under the letter model from which a string is no word: of 12 random letters 99.5
 #: in 100 have 0.73 or more, the long words of the test tables 0.58 or less.
 UNLIKE_WORDS = 0.72
@@ -41,44 +50,37 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 # Sensitive words, and the strings that are judged within their reach.
-_WORDS = ("passw", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "auth", "bearer",
-          "credential", "private", "access", "signature", "client", "cookie")
+_WORDS = ("passw", "passphrase", "passcode", "pwd", "secret", "token", "apikey", "api_key", "api-key", "auth", "bearer",
+          "credential", "private", "access", "signature", "client", "cookie", "login", "encryption", "pin")
 _SENSITIVE = re.compile(
-    r"(?ai)passw|passphrase|pwd|secret|token|api[_-]?key|auth|bearer|credential|private|access|signature|client|cookie"
+    r"(?ai)passw|passphrase|passcode|pwd|secret|token|api[_-]?key|auth|bearer|credential|private|access|signature"
+    r"|client|cookie|login|encryption|\bpin\b"
 )
-_STRING = re.compile(r"[A-Za-z0-9+/_=.~-]{12,}")
+_STRING = re.compile(r"[A-Za-z0-9+/_=.~!#$%&*@^?-]{12,}")
 _ALNUM = re.compile(r"[A-Za-z0-9]")
-_PART = re.compile(r"[A-Za-z0-9+/_.~-]+=*")
+_PART = re.compile(r"[A-Za-z0-9+/_.~!#$%&*@^?-]+=*")
+_END = "!?.&#"
 LEAST = 12
+# Fixed: plain forms that are no secrets. Numbers with signs (dates, telephones, versions, addresses of hosts),
+# times, ids of five groups, a word with a number.
+_PLAIN = re.compile(
+    r"""(?ai)[\d+./_#:~-]+|\d{4}-\d\d-\d\d[t_][\d.+-]*z?|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}
+    |[a-z]{2,12}[-_/#.]?\d[\d_/#.-]*""".replace("\n    ", "")
+)
+# Paths and addresses, and names of hosts and mail boxes: judged part by part.
+_PATH = re.compile(r"(?ai)(?:[a-z][a-z0-9+]*:)?//|~?/|\.{1,2}/|[a-z0-9.-]+\.[a-z]{2,6}/|(?-i:[a-z0-9_.-]+/[a-z0-9_.-]+/)")
+_HOST = re.compile(r"(?a)[\w-]+(?:[.@][\w-]+)+")
+_BETWEEN = re.compile(r"[^/.?&#@]+")
 # What may stand between the strings of a list, or the lines of a key.
 _GOES_ON = re.compile(r"[\s\"',;:|()\[\]{}<>\\]{1,8}")
-# Words that the letter model knows in the smallest corpus.
-_KNOWN = """
-access account action address administrator allow amount application argument array attribute authentication
-authorization available base because before between bucket buffer build cache call certificate change character check
-class client collection column command comment company config configuration connection constant container content
-context control cookie copy count create credential current customer database date debug default definition delete
-department description development device dictionary directory document domain download driver element email enable
-encoding encryption engine entry environment error event example exception execute export extension factory failure
-feature field file filter folder format function gateway general generate global grant group handler header history
-identifier image implementation import index information initialize input instance integration interface internal
-invalid item iterator kernel keyboard language length level library license listener local location login management
-manager master maximum member memory message metadata method minimum model module monitor name namespace network node
-notification number object office operation option order organization output package page parameter parser partition
-password path pattern payment performance permission person platform point policy position prefix previous private
-process production profile program project property protocol provider public python query question queue random
-record reference register relationship release remote report repository request required resource response responsible
-result return role router runtime sample schedule schema script search secret section security select sequence server
-service session setting signature simple size software source special standard start state statement static status
-storage stream string structure subscription support switch system table target template temporary terminal test text
-thread time timestamp token transaction transfer transform understanding universal update upload user username utility
-validation value variable vector verification version view virtual warning website window without worker workspace
-""".split()
-_IDENTIFIER = r"[A-Za-z_]{3,24}"
+#: Lengths of identifiers that are counted, and words that a task counts before it sends their sums.
+_SHORT, _LONG, COUNTED = 4, 24, 300_000
+_NAMES = bytes(c if chr(c).isalpha() and c < 128 or c == 0x5F else 0x20 for c in range(256))
 _LETTER = np.zeros(256, np.uint8)
 _LETTER[ord("a") : ord("z") + 1] = _LETTER[ord("A") : ord("Z") + 1] = np.arange(1, 27)
-# Letters in one case, with signs.
-_WORDLIKE = re.compile(r"(?=.*[A-Za-z])(?:[^A-Z0-9]*|[^a-z0-9]*)")
+# Letters in one case, with signs; names made of words that begin with a capital.
+_WORDLIKE = re.compile(r"(?=.*[A-Za-z])(?:[^A-Z0-9]*|[^a-z0-9]*|(?:[A-Z]{0,3}[a-z]{3,}[^A-Za-z0-9]?)+)")
+_ALPHABET, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
 _CANDIDATE = pa.struct(
     [("start", pa.int64()), ("stop", pa.int64()), ("value", pa.string()), ("before", pa.string()), ("after", pa.string())]
@@ -106,39 +108,51 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def parts(start: int, run: str) -> list[tuple[int, str]]:
     """What is judged of an unbroken string: what stands between its ``=`` signs, which may end a part.
 
-    If all of that is short, the string behind the first sign, or else all of it.
+    If all of that is short, the string behind the first sign, or else all of it. Paths,
+    addresses and names of hosts are judged between their separators.
     """
     found = [(start + m.start(), m[0]) for m in _PART.finditer(run)]
     long = [(at, part) for at, part in found if len(part) >= LEAST]
-    if long or not found:
-        return long
-    stop = start + len(run)
-    return [(at, run[at - start :]) for at, _ in found[1::-1] if stop - at >= LEAST][:1]
+    if not long and found:
+        stop = start + len(run)
+        long = [(at, run[at - start :]) for at, _ in found[1::-1] if stop - at >= LEAST][:1]
+    out = []
+    for at, part in long:
+        if _PATH.match(part) or _HOST.fullmatch(part):
+            inner = [(at + m.start(), m[0]) for m in _BETWEEN.finditer(part)]
+        else:
+            inner = [(at + len(part) - len(part.lstrip(_END)), part.strip(_END))]
+        out += [(a, p) for a, p in inner if len(p) >= LEAST]
+    return out
 
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int, str, str, str]]:
-    """Strings with letters or digits after a sensitive word, outside ``taken`` spans.
+    """Strings with letters or digits around a sensitive word, outside ``taken`` spans.
 
-    Every string within reach of a sensitive word is judged, whatever stands between them, and
-    so are those that follow one without words between: the rest of a list or of a key's lines.
+    Every string within reach of a sensitive word before it, or on its line soon behind it, is
+    judged, whatever stands between them, and so are those that follow one without words
+    between: the rest of a list or of a key's lines. Plain forms are passed over.
     """
     low = text.lower()
     if not any(w in low for w in _WORDS):
         return []
-    ends = [m.end() for m in _SENSITIVE.finditer(text)]
-    out, at, last = [], 0, None
+    words = [m.span() for m in _SENSITIVE.finditer(text)]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+    out, last = [], None
     for run in _STRING.finditer(text):
         for start, value in parts(run.start(), run[0]):
             stop = start + len(value)
-            while at < len(ends) and ends[at] <= start:
-                at += 1
+            at = bisect.bisect_right(ends, start)
             reached = at and start - ends[at - 1] <= REACH and text.count("\n", ends[at - 1], start) <= 1
+            if not reached:
+                after = bisect.bisect_left(starts, stop)
+                reached = after < len(starts) and starts[after] - stop <= AHEAD and "\n" not in text[stop : starts[after]]
             if not reached:
                 between = last is not None and start - last <= 8 and text[last:start]
                 if not between or not _GOES_ON.fullmatch(between) or between.count("\n") > 1:
                     continue
             last = stop
-            if _ALNUM.search(value) and not any(a < stop and start < b for _, a, b in taken):
+            if _ALNUM.search(value) and not _PLAIN.fullmatch(value) and not any(a < stop and start < b for _, a, b in taken):
                 out.append((start, stop, value, text[max(0, start - AROUND) : start], text[stop : stop + AROUND]))
     return out
 
@@ -185,18 +199,36 @@ def _count_letters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["trigram", "n"])
 
 
-def letter_counts(documents: DataFrame) -> np.ndarray:
-    """Letter trigrams of all texts and of the known words; at most 27^3 sums are fetched.
+def letter_counts(documents: DataFrame, known: list[str]) -> np.ndarray:
+    """Letter trigrams of all texts and of the ``known`` words; at most 27^3 sums are fetched.
 
     Strings that may be judged are left out: a key that stands in many texts is no word for that.
     """
     counted = documents.select("text").mapInArrow(_count_letters, "trigram long, n long")
-    counts = np.bincount(_trigrams(" ".join(_KNOWN)), minlength=27**3)
+    counts = np.bincount(_trigrams(" ".join(known)), minlength=27**3)
     for row in counted.groupBy("trigram").agg(F.sum("n").alias("n")).collect():
         counts[row["trigram"]] += row["n"]
     return counts
 
 
+def vocabulary_words(paths: Sequence[str]) -> list[str]:
+    """Words of four letters or more in installed vocabulary files, the most frequent last."""
+    out: dict[str, None] = {}
+    for path in paths:
+        if path.endswith(".model"):
+            from sentencepiece import SentencePieceProcessor
+
+            model = SentencePieceProcessor(model_file=path)
+            found = [model.id_to_piece(i).lstrip("\u2581") for i in range(model.get_piece_size())]
+        else:
+            from tokenizers import Tokenizer
+
+            listed = Tokenizer.from_file(path).get_vocab()
+            found = [t.removesuffix("</w>") for t in sorted(listed, key=listed.get)]
+        out |= dict.fromkeys(w.lower() for w in found[::-1] if len(w) >= _SHORT and w.isascii() and w.isalpha())
+    return list(out)
+
+
 class Letters:
     """How unlike words a string is, in bytes per letter."""
 
@@ -215,55 +247,96 @@ class Letters:
         return float(self.bits[_trigrams(value)].sum()) / 8 / sum(c.isalpha() for c in value)
 
 
-def identifiers(scanned: DataFrame, n: int = IDENTIFIERS) -> list[str]:
-    """The ``n`` names met most often around candidates, the most frequent last (nearest to the text)."""
-    around = scanned.select(F.explode("candidates").alias("c")).select(
-        F.explode(F.regexp_extract_all(F.concat_ws(" ", "c.before", "c.after"), F.lit(_IDENTIFIER), 0)).alias("name")
-    )
-    top = around.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(n)
-    return [r["name"] for r in top.collect()][::-1]
+def _count_names(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: Counter = Counter()
+
+    def sent() -> pa.RecordBatch:
+        kept = [(w.decode(), n) for w, n in counts.items() if _SHORT <= len(w) <= _LONG]
+        counts.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["name", "n"]
+        )
+
+    for (text,) in rows_of(batches, "text"):
+        counts.update((text or "").encode().translate(_NAMES).lower().split())
+        if len(counts) > COUNTED:
+            yield sent()
+    yield sent()
+
+
+def identifiers(documents: DataFrame, size: int = IDENTIFIER_BYTES) -> list[str]:
+    """The names met most often in all whole texts, ``size`` bytes of them, the most frequent last."""
+    counted = documents.select("text").mapInArrow(_count_names, "name string, n long")
+    names = counted.groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1")
+    top = names.orderBy(F.desc("n"), "name").limit(size // (_SHORT + 1)).select("name").collect()
+    out, left = [], size
+    for (name,) in top:
+        left -= len(name) + 1
+        if left < 0:
+            break
+        out.append(name)
+    return out[::-1]
 
 
 def novelty(primed: zstandard.ZstdCompressor, before: str, value: str, after: str) -> float:
-    """Bytes that ``value`` adds to its compressed surroundings, per byte of its own.
+    """Bytes that ``value`` adds to its compressed surroundings, per byte of its own; case does not count.
 
     A value with digits or in one case is measured without its own copies nearby: a key named twice is a key.
     """
-    if any(c.isdigit() for c in value) or _WORDLIKE.fullmatch(value):
+    if any(c.isdigit() for c in value) or not value.isalpha() or value in (value.lower(), value.upper()):
         before, after = before.replace(value, ""), after.replace(value, "")
+    before, value, after = before.lower(), value.lower(), after.lower()
     with_it = len(primed.compress(f"{before}{value}{after}".encode()))
     without = len(primed.compress(f"{before}{after}".encode()))
     return max(0, with_it - without) / len(value.encode())
 
 
+def random_novelty(primed: zstandard.ZstdCompressor, before: str, value: str, after: str) -> float:
+    """The mean novelty of random strings with letters, digits and signs where ``value`` has them."""
+    rnd = random.Random(value)
+    total = 0.0
+    for _ in range(DRAWN):
+        drawn = (rnd.choice(_ALPHABET) if c.isalpha() else rnd.choice(_DIGITS) if c.isdigit() else c for c in value)
+        total += novelty(primed, before, "".join(drawn), after)
+    return total / DRAWN
+
+
 def compressor(names: list[str]) -> zstandard.ZstdCompressor:
-    content = " ".join([*names, *_WORDS]).encode()
+    content = " ".join([*names, *_WORDS]).lower().encode()
     primer = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=3, dict_data=primer, write_content_size=False, write_dict_id=False)
+    primer.precompute_compress(level=9)
+    return zstandard.ZstdCompressor(level=9, dict_data=primer, write_content_size=False, write_dict_id=False)
 
 
-def find(documents: DataFrame, threshold: float = NOVELTY) -> DataFrame:
+def find(documents: DataFrame, vocabularies: Sequence[str] | None = None, threshold: float = NOVELTY) -> DataFrame:
     """Per row ``doc_id, base, spans``: spans (kind, start, stop) of the fixed forms, and all spans.
 
-    Null text is empty. Rows are judged each; repeated rows come out as often as they go in.
+    ``vocabularies`` are paths of vocabulary files (by default the installed ``VOCABULARIES``),
+    read on the driver alone. Null text is empty. Rows are judged each; repeated rows come
+    out as often as they go in.
     """
+    if vocabularies is None:
+        vocabularies = [tokenizer_path(name) for name in VOCABULARIES]
     scanned = written(documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, _SCAN_DDL), "scanned")
-    letters = Letters(letter_counts(documents))
-    # A key that stands next to many candidates is no name for that.
-    names = [name for name in identifiers(scanned) if len(name) < LEAST or not letters.is_key(name)]
+    known = vocabulary_words(vocabularies)
+    letters = Letters(letter_counts(documents, known))
+    # A key that stands in many texts is no name for that.
+    names = [name for name in identifiers(documents) if len(name) < LEAST or letters.unlike_words(name) < UNLIKE_WORDS]
+    shared = documents.sparkSession.sparkContext.broadcast([*known, *names])
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        primed = compressor(names)
+        primed = compressor(shared.value)
         schema = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(_SPAN)), ("spans", pa.list_(_SPAN))])
 
+        def secret(c: dict) -> bool:
+            if _WORDLIKE.fullmatch(c["value"]) and not letters.is_key(c["value"]):
+                return False
+            around = c["before"], c["value"], c["after"]
+            return novelty(primed, *around) >= threshold * random_novelty(primed, *around)
+
         def rows() -> Iterator[tuple]:
             for doc_id, base, found in rows_of(batches, "doc_id", "base", "candidates"):
-                novel = [
-                    {"kind": "novel", "start": c["start"], "stop": c["stop"]}
-                    for c in found
-                    if (not _WORDLIKE.fullmatch(c["value"]) or letters.is_key(c["value"]))
-                    and novelty(primed, c["before"], c["value"], c["after"]) >= threshold
-                ]
+                novel = [{"kind": "novel", "start": c["start"], "stop": c["stop"]} for c in found if secret(c)]
                 spans = sorted([*base, *novel], key=lambda s: (s["start"], KINDS.index(s["kind"])))
                 yield doc_id, base, spans
 
