@@ -3,9 +3,10 @@
 ``build`` stores postings of all training words: the corpus is cut into segments, and each
 segment row holds its words and, word after word, the places where it stands. Segments are
 made from whole documents where these are read, so a frequent word is many short lists
-and never one long one, and nothing is shuffled. ``search`` takes phrases to all segments:
-the places of a phrase's rarest word in the segment, moved back by its offset, are narrowed
-by the moved lists of the next rarer words until none or the phrase's places are left.
+and never one long one, and nothing is shuffled. Each window of a benchmark text is led by its
+rarest word to the segments that hold it; there the places of the window's rarest word, moved
+back by its offset, are narrowed by the moved lists of the next rarer words until none or
+the window's places are left.
 """
 
 from __future__ import annotations
@@ -14,18 +15,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import in_chunks, small
+from turnwise.llm.common import free_names, in_chunks, rows_of, small
 from turnwise.session import written
 
 WINDOW = 13
 #: Words after which a segment is closed; a longer document is a segment of its own.
 SEGMENT_WORDS = 250_000
-#: Bytes of benchmark text that go to the segments at once; more is searched in several passes.
-PASS_BYTES = 16_000_000
+#: Bytes of benchmark text that are looked for in a segment at once; more comes in several parts.
+PASS_BYTES = 8_000_000
+#: Bytes of texts for all segments that may be broadcast; more meet the segments by a shuffle.
+SENT_BYTES = 64_000_000
 #: Fixed: bytes outside words become blanks, A-Z become a-z.
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20
@@ -44,6 +48,16 @@ _SEGMENT = pa.schema(
 _SEGMENT_DDL = (
     "segment long, doc_ids array<long>, sizes array<int>, words array<binary>, counts array<int>, places binary"
 )
+_TEXT_MATCH = pa.schema(
+    [
+        ("segment", pa.int64()),
+        ("ordinal", pa.int32()),
+        ("doc_id", pa.int64()),
+        ("text_key", pa.int64()),
+        ("first", pa.int32()),
+        ("stop", pa.int32()),
+    ]
+)
 _MATCH = pa.schema(
     [
         ("segment", pa.int64()),
@@ -111,37 +125,57 @@ def windows(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
 
 
-def _nearest(places: np.ndarray, wanted: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """The place next to each wanted one, and whether it is within ``slop``."""
-    at = np.searchsorted(places, wanted)
-    after = places[np.minimum(at, len(places) - 1)]
-    if not slop:
-        return after, after == wanted
-    before = places[np.maximum(at - 1, 0)]
-    near = np.where(np.abs(before - wanted) <= np.abs(after - wanted), before, after)
-    return near, np.abs(near - wanted) <= slop
-
-
-def phrase_places(
-    lists: dict[bytes, np.ndarray], phrase: tuple[bytes, ...], slop: int = 0
-) -> tuple[np.ndarray, np.ndarray]:
-    """First and last place of each occurrence of ``phrase``; with ``slop``, of each proximity match."""
-    none = np.zeros(0, np.int64)
+def exact_places(lists: dict[bytes, np.ndarray], phrase: tuple[bytes, ...]) -> np.ndarray:
+    """Where ``phrase`` begins: the moved list of its rarest word, narrowed by those of the next rarer ones."""
     found = [lists.get(w) for w in phrase]
     if any(f is None for f in found):
-        return none, none
-    start = first = last = None
+        return np.zeros(0, np.int64)
+    start = None
     for offset in sorted(range(len(phrase)), key=lambda i: len(found[i])):
+        places = found[offset]
         if start is None:
-            first = last = found[offset].astype(np.int64)
-            start = first - offset
+            start = places.astype(np.int64) - offset
             continue
-        near, ok = _nearest(found[offset], start + offset, slop)
-        start, near = start[ok], near[ok]
+        wanted = start + offset
+        at = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
+        start = start[places[at] == wanted]
         if not len(start):
-            return none, none
-        first, last = np.minimum(first[ok], near), np.maximum(last[ok], near)
-    return first, last
+            break
+    return start
+
+
+def near_places(
+    lists: dict[bytes, np.ndarray], phrase: tuple[bytes, ...], slop: int, starts: np.ndarray
+) -> list[tuple[int, int]]:
+    """First and last place of proximity matches of ``phrase`` inside single documents.
+
+    A match is a start s and a place of its own for each word, in one document, that lies at
+    most ``slop`` from s plus the word's offset. Each start around the places of the rarest word is
+    tried; the words then take the first free places in reach, which is right because words
+    that compete for places are equal and their reaches move on together.
+    """
+    found = [lists.get(w) for w in phrase]
+    if any(f is None for f in found):
+        return []
+    rarest = min(range(len(phrase)), key=lambda i: len(found[i]))
+    out = set()
+    for place in found[rarest].tolist():
+        doc = int(np.searchsorted(starts, place, side="right")) - 1
+        low, high = int(starts[doc]), int(starts[doc + 1])
+        for s in range(place - rarest - slop, place - rarest + slop + 1):
+            used: dict[bytes, int] = {}  # of each word the first place that is free
+            taken = []
+            for offset, word in enumerate(phrase):
+                places = found[offset]
+                least = max(low, s + offset - slop, used.get(word, 0))
+                at = int(np.searchsorted(places, least))
+                if at == len(places) or places[at] >= high or places[at] > s + offset + slop:
+                    break
+                taken.append(int(places[at]))
+                used[word] = taken[-1] + 1
+            else:
+                out.add((min(taken), max(taken)))
+    return sorted(out)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -154,64 +188,130 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _found_in(row: dict, phrases: dict[tuple[bytes, ...], list], slop: int) -> Iterator[tuple]:
+    """Matches (segment, ordinal, doc_id, item, first, stop) in one row of the index."""
+    starts = np.concatenate([[0], np.cumsum(row["sizes"].values.to_numpy())]).astype(np.int64)
+    stops = np.cumsum(row["counts"].values.to_numpy())
+    places = np.frombuffer(row["places"].as_buffer(), "<i4")
+    needed = sorted({w for phrase in phrases for w in phrase})
+    known = pc.index_in(pa.array(needed, pa.binary()), value_set=row["words"].values) if len(stops) else None
+    lists = {}
+    for word, at in zip(needed, known.to_pylist() if known is not None else [None] * len(needed), strict=True):
+        if at is not None:
+            lists[word] = places[stops[at - 1] if at else 0 : stops[at]]
+    spans: dict[tuple[int, object], list[tuple[int, int]]] = {}
+    for phrase, items in phrases.items():
+        if slop:
+            ends = near_places(lists, phrase, slop, starts)
+            first, last = (np.array(c, np.int64) for c in (zip(*ends, strict=True) if ends else ((), ())))
+        else:
+            first = exact_places(lists, phrase)
+            last = first + len(phrase) - 1
+        if not len(first):
+            continue
+        owner = np.searchsorted(starts, first, side="right") - 1
+        inside = last < starts[owner + 1]
+        for o, a, b in zip(owner[inside].tolist(), first[inside].tolist(), last[inside].tolist(), strict=True):
+            for item in items:
+                spans.setdefault((o, item), []).append((a - int(starts[o]), b + 1 - int(starts[o])))
+    for (o, item), held in spans.items():
+        for a, b in _merged(held):
+            yield row["segment"].as_py(), o, row["doc_ids"][o].as_py(), item, a, b
+
+
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield {name: batch.column(name)[row] for name in batch.schema.names}
+
+
 def search(index: DataFrame, phrases: dict[tuple[bytes, ...], list[str]], slop: int = 0) -> DataFrame:
-    """``segment, ordinal, doc_id, item, first, stop``: where phrases stand, in words of the document.
+    """``segment, ordinal, doc_id, item, first, stop``: where a few given phrases stand, in words of the document.
 
     ``phrases`` maps a phrase to the items that hold it. Overlapping matches of one item are
     one row. With ``slop`` a word may stand up to that many places from where the phrase has it.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def matches() -> Iterator[tuple]:
-            for batch in batches:
-                for row in range(batch.num_rows):
-                    segment, doc_ids, sizes, words, counts, places = (
-                        batch.column(f.name)[row] for f in _SEGMENT
-                    )
-                    starts = np.concatenate([[0], np.cumsum(sizes.values.to_numpy())]).astype(np.int64)
-                    cut = np.cumsum(counts.values.to_numpy())[:-1]
-                    spots = np.split(np.frombuffer(places.as_buffer(), "<i4"), cut)
-                    lists = dict(zip(words.as_py(), spots, strict=True)) if len(words) else {}
-                    spans: dict[tuple[int, str], list[tuple[int, int]]] = {}
-                    for phrase, items in phrases.items():
-                        first, last = phrase_places(lists, phrase, slop)
-                        if not len(first):
-                            continue
-                        owner = np.searchsorted(starts, first, side="right") - 1
-                        inside = last < starts[owner + 1]
-                        for o, a, b in zip(owner[inside].tolist(), first[inside].tolist(), last[inside].tolist(), strict=True):
-                            for item in items:
-                                spans.setdefault((o, item), []).append((a - int(starts[o]), b + 1 - int(starts[o])))
-                    for (o, item), held in spans.items():
-                        for a, b in _merged(held):
-                            yield segment.as_py(), o, doc_ids[o].as_py(), item, a, b
-
-        yield from in_chunks(matches(), _MATCH)
+        yield from in_chunks((m for row in _rows(batches) for m in _found_in(row, phrases, slop)), _MATCH)
 
     return index.mapInArrow(
         run, "segment long, ordinal int, doc_id long, item string, first int, stop int"
     )
 
 
+def _item_words(texts: DataFrame, window: int) -> DataFrame:
+    """``text_key, pos, word, size``: the words of each text and how many make one of its windows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("text_key", pa.int64()), ("pos", pa.int32()), ("word", pa.binary()), ("size", pa.int32()), ("n", pa.int32())])
+
+        def every():
+            for key, text in rows_of(batches, "text_key", "text"):
+                words = words_of(text)
+                for pos, word in enumerate(words):
+                    yield key, pos, word, min(window, len(words)), len(words)
+
+        yield from in_chunks(every(), schema, 10_000)
+
+    return texts.mapInArrow(run, "text_key long, pos int, word binary, size int, n int")
+
+
+def _where_to_look(index: DataFrame, texts: DataFrame, window: int) -> DataFrame:
+    """``segment, text_key``: segments that hold the rarest word of some window of a text.
+
+    A window with a word that the corpus lacks is nowhere. Only the benchmark's words are
+    taken from the index, a row per word and segment.
+    """
+    words = written(_item_words(texts, window), "benchmark-words")
+    listed = index.select("segment", F.explode(F.arrays_zip("words", "counts")).alias("w")).select(
+        "segment", F.col("w.words").alias("word"), F.col("w.counts").alias("count")
+    )
+    listed = written(listed.join(words.select("word").distinct(), "word", "left_semi"), "benchmark-postings")
+    df = listed.groupBy("word").agg(F.sum("count").alias("df"))
+    ahead = Window.partitionBy("text_key").orderBy("pos").rowsBetween(Window.currentRow, window - 1)
+    of = words.join(df, "word", "left").withColumn("rarest", F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).over(ahead))
+    begins = of.filter("pos <= n - size and rarest.df > 0")
+    rarest = begins.select("text_key", F.col("rarest.word").alias("word")).distinct()
+    return listed.join(rarest, "word").select("segment", "text_key").distinct()
+
+
 def search_items(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """``search`` for all windows of ``items`` (item_id, text), in passes of ``PASS_BYTES`` of text.
+    """``segment, ordinal, doc_id, text_key, first, stop``: where windows of the items' texts stand.
 
-    A null item_id is an item named by the empty string; null texts have no windows.
+    ``index`` is a stored one. Texts are looked for once, however many items have them, and only in
+    segments with the rarest word of one of their windows; they travel to these in parts
+    of at most some ``PASS_BYTES``, and none passes through the driver. Null texts have no windows.
     """
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    passes = max(1, -(-size // PASS_BYTES))
-    found = None
-    for k in range(passes):
-        phrases: dict[tuple[bytes, ...], list[str]] = {}
-        for r in rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).collect():
-            for phrase in windows(words_of(r["text"]), window):
-                held = phrases.setdefault(phrase, [])
-                if r["item"] not in held:
-                    held.append(r["item"])
-        part = search(index, phrases, slop)
-        found = part if found is None else found.unionByName(part)
-    return found
+    texts = items.select(F.xxhash64("text").alias("text_key"), "text").dropna().dropDuplicates(["text_key"])
+    texts = written(texts, "benchmark-texts")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // PASS_BYTES))
+    pairs = _where_to_look(index, texts, window)
+    packed = (
+        pairs.join(texts, "text_key")
+        .groupBy("segment", F.pmod(F.xxhash64("text_key"), F.lit(parts)).alias("part"))
+        .agg(F.collect_list(F.struct("text_key", "text")).alias("texts"))
+    )
+    packed = written(packed.select("segment", "texts"), "segment-texts")
+    # The longer side stays where it is if the texts that it meets are counted to be few bytes.
+    sent = packed.agg(F.coalesce(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t["text"]))), F.lit(0))).first()[0]
+    met = index.join(F.broadcast(packed) if sent <= SENT_BYTES else packed, "segment")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def matches():
+            for row in _rows(batches):
+                phrases: dict[tuple[bytes, ...], list[int]] = {}
+                for one in row["texts"].as_py():
+                    for phrase in windows(words_of(one["text"]), window):
+                        held = phrases.setdefault(phrase, [])
+                        if one["text_key"] not in held:
+                            held.append(one["text_key"])
+                yield from _found_in(row, phrases, slop)
+
+        yield from in_chunks(matches(), _TEXT_MATCH)
+
+    return met.mapInArrow(run, "segment long, ordinal int, doc_id long, text_key long, first int, stop int")
 
 
 def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
@@ -222,8 +322,11 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW,
     one in ``share`` of its words. Rows without words are clean, repeated rows are judged each.
     """
     index = build(documents)
-    matches = search_items(index, items, window)
-    # A document's matches are few: spans are merged per item, and a row is one document.
+    matches = written(search_items(index, items, window), "benchmark-matches")
+    names = items.select(
+        F.xxhash64("text").alias("text_key"), F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")
+    ).distinct()
+    # A document's matches are few: spans are merged per text, and a row is one document.
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).alias("reach")),
@@ -233,11 +336,10 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW,
         ),
         lambda done: done["hit"],
     )
-    hits = (
-        matches.groupBy("segment", "ordinal")
-        .agg(F.collect_set(F.struct("first", "stop")).alias("spans"), F.collect_set("item").alias("items"))
-        .select("segment", "ordinal", covered.alias("n_hit"), F.array_sort("items").alias("items"))
-    )
+    by = ["segment", "ordinal"]
+    spans = matches.groupBy(*by).agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
+    held = matches.select(*by, "text_key").distinct().join(names, "text_key").groupBy(*by).agg(F.collect_set("item").alias("items"))
+    hits = spans.join(held, by).select(*by, covered.alias("n_hit"), F.array_sort("items").alias("items"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return documents_of(index).join(hits, ["segment", "ordinal"], "left").select(
         "doc_id",
@@ -251,6 +353,7 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW,
 def clean(documents: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """``documents`` without the contaminated rows; each row is judged by its own text."""
     key = F.xxhash64("doc_id", "text")
+    (bad,) = free_names(documents, "bad")
     found = contamination(documents.select(key.alias("doc_id"), "text"), items, window, share)
-    bad = written(found.filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return documents.join(small(bad), key == F.col("_bad"), "left_anti")
+    gone = written(found.filter("contaminated").select(F.col("doc_id").alias(bad)).distinct(), "contaminated")
+    return documents.join(small(gone), key == F.col(bad), "left_anti")
