@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.llm.common import in_chunks, rows_of
+from turnwise.operators.scale import lookup
+from turnwise.sources.ranges import can_open, open_stream
 
 #: Bytes of an archive that go into the decompressor at a time.
 SLICE = 1 << 16
@@ -104,8 +106,8 @@ def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``page_id, url, html, refers_to, revisit``: who holds each payload, who only points to it.
 
-    Payloads are compared by SHA-1. Only the digests are grouped; the few revisits meet the
-    wide rows by (page_id, digest), which is even also when one payload owns a third of the
+    Payloads are compared by SHA-1. Only the digests are grouped, and the rows of frequent ones
+    find their holder by broadcast; the revisits meet the wide rows by (page_id, digest), which is even also when one payload owns a third of the
     rows. Rows that repeat a page_id and its payload are of one kind, all with the largest
     page_id are responses; without any page_id a payload has only responses.
     """
@@ -116,10 +118,9 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         narrow.groupBy("digest")
         .agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
         .filter("n > 1 and refers_to is not null")
-        .drop("n")
     )
     revisits = (
-        narrow.join(holders, "digest")
+        lookup(narrow, holders, ["digest"], ["page_id"], weight="n", how="inner")
         .filter("not (page_id <=> refers_to)")
         .distinct()
         .select(F.col("page_id").alias("page"), F.col("digest").alias("same"), "refers_to")
@@ -141,20 +142,19 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, per_file: int = RECOR
     )
 
 
-def decompressed(content: memoryview) -> Iterator[bytes]:
-    """The members of an archive in order; empty ones are passed over."""
-    at, end = 0, len(content)
-    unpacker, out = zlib.decompressobj(31), []
-    while at < end:
-        piece = content[at : at + SLICE]
+def decompressed(stream) -> Iterator[bytes]:
+    """The members of an archive, read slice by slice and in order; empty ones are passed over."""
+    unpacker, out, fresh = zlib.decompressobj(31), [], True
+    piece = stream.read(SLICE)
+    while piece:
         out.append(unpacker.decompress(piece))
-        at += len(piece)
+        fresh = False
+        piece = unpacker.unused_data or stream.read(SLICE)
         if unpacker.eof:
-            at -= len(unpacker.unused_data)
             if data := b"".join(out):
                 yield data
-            unpacker, out = zlib.decompressobj(31), []
-    if out:
+            unpacker, out, fresh = zlib.decompressobj(31), [], True
+    if not fresh:
         raise ValueError("the archive ends inside a gzip member")
 
 
@@ -193,21 +193,37 @@ def parsed(data: bytes) -> tuple:
     )
 
 
-def _records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _records(streams: Iterable) -> Iterator[pa.RecordBatch]:
     def rows():
-        for batch in batches:
-            for content in batch.column("content"):
-                for data in decompressed(memoryview(content.as_buffer())):
-                    yield parsed(data)
+        for stream in streams:
+            for data in decompressed(stream):
+                yield parsed(data)
 
     yield from in_chunks(rows(), _READ, 200)
 
 
+def _opened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def streams():
+        for (path,) in rows_of(batches, "path"):
+            with open_stream(path, packed=True) as stream:
+                yield stream
+
+    yield from _records(streams())
+
+
+def _held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    contents = (content for batch in batches for content in batch.column("content"))
+    yield from _records(pa.BufferReader(content.as_buffer()) for content in contents)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """All records below ``path``, one task per group of archives.
 
-    A damaged frame fails the task; a wrong digest gives ``verified`` = false. One archive
-    is held at a time, so archives should be cut to a size that suits the executors.
+    A damaged frame fails the task; a wrong digest gives ``verified`` = false. Archives are
+    streamed and may have any size, a task holds one record; those in a store that only
+    Spark can open are handed over whole and must stay below its limit for a cell.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_records, READ_SCHEMA)
+    files = spark.read.format("binaryFile").load(path)
+    if can_open(path):
+        return files.select("path").mapInArrow(_opened, READ_SCHEMA)
+    return files.select("content").mapInArrow(_held, READ_SCHEMA)
