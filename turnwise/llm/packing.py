@@ -24,8 +24,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from turnwise.llm.common import in_chunks, rows_of
+from turnwise.llm.common import free_names, in_chunks, rows_of
 from turnwise.operators.scale import dense_index
 from turnwise.session import written
 
@@ -248,25 +249,25 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.filter(part).groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = best_fit(counts, max_tokens)
     shared = spark.sparkContext.broadcast(plan)  # at most a few runs per pair of lengths, at any input size
-    numbered = dense_index(pieces.filter(part), ["length", "doc_id", "piece"], "_number")
-    added = "sequence_id long, offset long"
+    (name,) = free_names(pieces, "number")
+    numbered = dense_index(pieces.filter(part), ["length", "doc_id", "piece"], name)
+    added = StructType.fromDDL("sequence_id long, offset long")
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
-            number = batch.column("_number").to_numpy(zero_copy_only=False)
+            number = batch.column(name).to_numpy(zero_copy_only=False)
             run = np.searchsorted(p.first, number, side="right") - 1
             inside = number - p.first[run]
             sequence = p.sequence[run] + inside // p.each[run]
             offset = p.offset[run] + inside % p.each[run] * p.length[run]
-            kept = batch.drop_columns(["_number"])
+            kept = batch.drop_columns([name])
             yield pa.RecordBatch.from_arrays(
                 [*kept.columns, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())],
                 names=[*kept.schema.names, "sequence_id", "offset"],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    placed = numbered.mapInArrow(place, f"{schema}, {added}")
+    placed = numbered.mapInArrow(place, StructType([*pieces.schema.fields, *added.fields]))
     alone = pieces.filter(~part).select(
         *pieces.columns,
         (F.lit(plan.sequences) + F.monotonically_increasing_id()).alias("sequence_id"),
