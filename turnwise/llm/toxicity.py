@@ -32,7 +32,7 @@ from turnwise.session import written
 CLASSES = 64
 _OTHER, _DIGIT, _SIGN = 60, 61, 62
 #: Labelled documents that the model is fitted on, drawn by a hash of their ids; all sure pieces of their words count.
-LABELLED = 200_000
+LABELLED = 50_000
 #: Least lower bound of a piece that counts, and the bound's width in standard errors.
 SURE, WIDTH = 0.25, 3.0
 LEVELS = 16
