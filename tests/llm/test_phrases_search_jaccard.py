@@ -257,7 +257,7 @@ def near_rows(seed):
     return list(enumerate(rows, 1)) + odd_documents()
 
 
-@pytest.mark.parametrize("seed, block, often, followers", [(1, 4000, 8, 2), (2, 7, 2, 1), (3, 30, 4, 2)])
+@pytest.mark.parametrize("seed, block, often, followers", [(1, 4000, 8, 2), (2, 7, 2, 1)])
 def test_similarity_classes(spark, monkeypatch, seed, block, often, followers):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "OFTEN", often)
