@@ -18,6 +18,7 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,9 @@ LABELLED = 50_000
 #: Least lower bound of a piece that counts, and the bound's width in standard errors.
 SURE, WIDTH = 0.25, 3.0
 LEVELS = 16
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+#: Rows that are judged at once when rows pass through a task.
+ROWS = 1000
 TOXIC = 0.3
 
 # Fixed: letters that a sign may stand for.
@@ -127,6 +130,7 @@ def _flat(model) -> list[float]:
     return model if isinstance(model, list) else model.ravel().tolist()
 
 
+@lru_cache(maxsize=10_000)
 def readings(ch: str, masked: bool) -> list[tuple[str, int, float]]:
     """What a character of a disguised token may stand for: (character, its class, cost)."""
     letters = [(x, AS_LETTER) for x in LEET.get(ch, "")]
@@ -486,7 +490,12 @@ def acceptable(documents: DataFrame, labels: DataFrame, threshold: float = TOXIC
         m = shared.value
         scorer = Scorer(m.sure, m.characters)
         for batch in batches:
-            levels = [scorer.levels(t.as_py() or "") for t in batch.column("text")]
-            yield batch.filter(pa.array(m.score(np.array(levels, np.float64).reshape(-1, 4)) < threshold))
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                levels = [scorer.levels(t.as_py() or "") for t in part.column("text")]
+                yield part.filter(pa.array(m.score(np.array(levels, np.float64).reshape(-1, 4)) < threshold))
+        # The worker waits for its next task; what it does not need goes back to the machine.
+        del scorer
+        pa.default_memory_pool().release_unused()
 
     return documents.mapInArrow(run, documents.schema)
