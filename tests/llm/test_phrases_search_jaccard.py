@@ -271,6 +271,19 @@ def test_similarity_classes(spark, monkeypatch, seed, block, often, followers):
     assert sorted(map(tuple, got.collect()), key=str) == want and len(pairs) > 150
 
 
+def test_links_between_pieces_of_a_cut_list(spark, monkeypatch):
+    """Short pairs share one prefix shingle alone; long texts make its list long, but post other shingles."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "OFTEN", 2)
+    passages = [" ".join(f"p{p}w{i}" for i in range(8)) for p in range(10)]
+    rows = [t for p in passages for t in (p, p + " more")]
+    rows += [" ".join(f"{p} " + " ".join(f"d{d}x{k}y{i}" for i in range(40)) for k, p in enumerate(passages)) for d in range(20)]
+    rows = list(enumerate(rows, 1))
+    want, pairs = plain_classes(rows)
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, got.collect()), key=str) == want and len(pairs) == 10
+
+
 def test_classes_of_nothing(no_documents, documents):
     assert jaccard.classes(no_documents).count() == 0
     rows = jaccard.classes(documents.withColumn("text", F.lit(" "))).collect()

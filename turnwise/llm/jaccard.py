@@ -270,9 +270,9 @@ def postings(documents: DataFrame, width: int, order) -> DataFrame:
     """``token, piece, group, n, pos, node``: the prefix of each group, and the group of each set.
 
     Sets with the same prefix and size are one group, whose places are posted once a task; node
-    is 0 there. A row with piece -1 says that ``node``, then also its token, is of a group. The list of a token that is
-    known to be long is cut into pieces by the group's name; groups near a border stand in
-    both pieces, so that neighbours still meet.
+    is 0 there. A row with piece -1 says that ``node``, then also its token, is of a group. Piece 0 is a whole
+    list. That of a token that is known to be long is cut into pieces, from 1 on, by the group's name; groups
+    near a border stand in both pieces, so that neighbours still meet.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,6 +296,7 @@ def postings(documents: DataFrame, width: int, order) -> DataFrame:
             at = group[row].view(np.uint64).astype(np.float64) / 2.0**64 * pieces
             piece = np.minimum(at.astype(np.int64), pieces - 1)
             over = np.minimum((at + 0.01).astype(np.int64), pieces - 1)
+            piece, over = (np.where(pieces > 1, 1 + p, 0) for p in (piece, over))
             for where, part in ((slice(None), piece), (over != piece, over)):
                 g = group[row[where]]
                 yield _batch(token[where], part[where], g, n[row[where]], pos[where], np.zeros(len(g), np.int64))
@@ -355,14 +356,17 @@ def _starts(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
-    """Of ``postings`` the lists with two groups or more, each group once, and the groups of all sets."""
+    """Of ``postings`` the lists with two groups or more, each group once, and the groups of all sets.
+
+    A piece of a cut list is kept with one group as well, for its partners may stand in other pieces.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _runs(batches, _POSTING, 2):
             fresh = _starts(columns[:3])
             columns = [c[fresh] for c in columns]
             of = np.cumsum(_starts(columns[:2])) - 1
-            wanted = (np.bincount(of)[of] > 1) | (columns[1] < 0)
+            wanted = (np.bincount(of)[of] > 1) | (columns[1] != 0)
             yield _batch(*[c[wanted] for c in columns])
 
     return (
