@@ -120,6 +120,30 @@ def test_subword_masks_equal_those_by_character(spark):
     assert tokens.target_spans([(0, 3), (3, 5), (4, 6), (5, 5), (6, 9)], 3, 7) == [0, 1, 1, 0, 0]
 
 
+def test_subword_tokens_hold_a_portion_of_texts(spark):
+    """A batch of any size is encoded in portions, with what its rows give one by one."""
+    public = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    class Messages:
+        schema = spark.createDataFrame([], "speaker string, value string").schema
+
+        def mapInArrow(self, run, shape):
+            return run
+
+    path = public.path("word_bpe_49k.json")
+    texts = ["word " * 400, "", None, "naïve 東京"] * 20 + ["some words " * 30_000] + ["some text of a line\n" * 20] * 2000
+    batch = pa.RecordBatch.from_arrays([pa.array(["gpt"] * len(texts)), pa.array(texts, pa.string())], ["speaker", "value"])
+    found = list(tokens.subword_tokens(Messages(), path)(iter([batch, batch.slice(0, 0)])))
+    held = [sum(len((t or "").encode()) for t in b.column("value").to_pylist()) for b in found]
+    assert len(found) > 3 and max(held) < tokens.PORTION + len(texts[80])
+    assert [t for b in found for t in b.column("value").to_pylist()] == texts
+    library = Tokenizer.from_file(path)
+    want = [f.ids for f in library.encode_batch([f"{chat.OPEN}{chat.ROLE_OF_SPEAKER['gpt']}\n{t or ''}{chat.CLOSE}" for t in texts], add_special_tokens=False)]
+    assert [ids for b in found for ids in b.column("ids").to_pylist()] == want
+
+
 def test_plugged_in_tokenizer_keeps_odd_columns(spark):
     df = spark.createDataFrame([(1, 0, "human", "a b", {"x y": 1})], "conv_id int, j int, speaker string, value string, m struct<`x y`:int>")
     row = tokens.tokenize_with(df, lambda texts: [t.split() for t in texts]).first()

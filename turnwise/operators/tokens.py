@@ -20,6 +20,8 @@ from turnwise.operators.scale import dense_index, lookup, running_sums
 from turnwise.session import written
 
 MAX_LEN = 2048
+#: Bytes of text that a subword tokenizer gets at once; what it finds takes some hundred times as much.
+PORTION = 256_000
 
 
 def _tokens(column: str | None) -> Column:
@@ -235,6 +237,20 @@ def target_spans(offsets: list[tuple[int, int]], begin: int, end: int) -> list[i
     return [int(begin <= a < b <= end) for a, b in offsets]
 
 
+def text_portions(batch, column: str = "value", most: int = PORTION):
+    """Slices of an Arrow batch with less than ``most`` bytes of text each, and one text more."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    # Rows without text count as well: their markers are encoded, too.
+    portion = np.cumsum(sizes.astype(np.int64) + 64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(portion)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 def subword_tokens(messages: DataFrame, vocabulary: str) -> DataFrame:
     """Rendered messages as ids of a tokenizer file, with places and loss masks.
 
@@ -243,6 +259,7 @@ def subword_tokens(messages: DataFrame, vocabulary: str) -> DataFrame:
     A message is encoded as it is rendered, markers included, one by one, so a long
     conversation is many rows. A token is a target if all of it is assistant content: one
     that reaches over the border to a marker is masked. The file is read where tasks run.
+    A task holds what was found in one portion of texts.
     """
     added = StructType.fromDDL("ids array<int>, starts array<int>, stops array<int>, masks array<int>, header int")
     shape = StructType([*messages.schema.fields, *added.fields])
@@ -252,7 +269,7 @@ def subword_tokens(messages: DataFrame, vocabulary: str) -> DataFrame:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_portions(whole)):
             who, texts = batch.column("speaker").to_pylist(), [t or "" for t in batch.column("value").to_pylist()]
             heads = [f"{OPEN}{ROLE_OF_SPEAKER.get(w, w)}\n" for w in who]
             found = tokenizer.encode_batch(
