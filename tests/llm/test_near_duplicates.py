@@ -228,6 +228,28 @@ def test_lines_of_very_many_words(spark):
         assert got[int(key)] == want
 
 
+def test_bits_of_lines_up_to_the_bound_and_beyond(spark):
+    """Even and odd numbers of words, with repeats, on both sides of the bound."""
+    rnd = random.Random(9)
+    sizes = [*range(1, 40), 63, 64, 127, 128, 200, 253, 254, 255, 256, 257, 300, 511, 512, 600]
+    texts = [" ".join([f"v{i}x{n}" for i in range(n)] + [f"v{rnd.randrange(n)}x{n}" for _ in range(n % 5)]) for n in sizes]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.hashed_lines(line_dedup.lines(rows)).collect()}
+    for i, text in enumerate(texts):
+        hashes = [xxhash.xxh64_intdigest(w, 42) for w in set(text.split())]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert got[i]["simhash"] & (1 << 64) - 1 == want and got[i]["n_words"] == len(text.split())
+
+
+def test_a_text_is_hashed_before_it_is_cut(spark):
+    """Not once for each of its lines; and lines of white space alone are none."""
+    rows = spark.createDataFrame([(1, "A b\n \t\n\n\x0b\r\n c  D ")], "doc_id long, text string")
+    found = line_dedup.lines(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("xxhash64(text")
+    assert sorted((r["line_no"], r["norm"]) for r in found.collect()) == [(0, "a b"), (4, "c d")]
+
+
 def test_more_blocks_for_more_lines():
     for n in (0, 10, 10**6, 10**8, 10**11):
         blocks = line_dedup._blocks(n, 4)

@@ -32,6 +32,8 @@ SIMILAR = 0.8
 CROWD = 32
 #: Lines of a crowded group that each line is compared with first, and lines of such a group in one task.
 FOLLOWERS, PIECE = 4, 4000
+#: Different words of a line whose bits are added up digit by digit; one less than a power of two.
+UNROLLED = 255
 
 
 def _words(line: Column) -> Column:
@@ -51,9 +53,11 @@ def lines(documents: DataFrame) -> DataFrame:
     ``line`` is a hash of the normalised line and its number from then on; ``text_key`` tells
     apart rows that share a doc_id but not the text.
     """
-    rows = documents.select(F.col("doc_id").cast("long"), "text")
-    split = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    normal = split.select("doc_id", "text_key", "line_no", _normal(F.col("raw")).alias("norm")).filter("norm <> ''")
+    # Each text is hashed and cut once, not for each of its lines.
+    rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.split("text", "\n").alias("cut"))
+    split = rows.select("doc_id", "text_key", F.posexplode("cut").alias("line_no", "raw"))
+    split = split.filter(F.ltrim("raw", F.lit(" \t\r\f\x0b")) != "")
+    normal = split.select("doc_id", "text_key", "line_no", _normal(F.col("raw")).alias("norm"))
     return normal.select("doc_id", "text_key", "line_no", F.xxhash64("norm").alias("line"), "norm")
 
 
@@ -70,34 +74,88 @@ def _majority(counts: list[tuple[int, Column]], of: Column) -> Column:
     return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
+def _added(places: list[list[str]]) -> tuple[list[str], list[list[str]]]:
+    """SQL that adds up numbers bit by bit, and the places of what is left.
+
+    ``places[k]`` names numbers whose every bit counts 2 ** k. Seven of them become three, three become
+    two, and others stay as they are.
+    """
+
+    def total(x: str, y: str, z: str) -> tuple[str, str]:
+        return f"({x} ^ {y} ^ {z})", f"(({x} & {y}) | ({z} & ({x} ^ {y})))"
+
+    left: list[list[str]] = [[] for _ in range(len(places) + 2)]
+    for k, names in enumerate(places):
+        at = 0
+        while len(names) - at >= 3:
+            if len(names) - at >= 7:
+                a, b, c, d, e, f, g = names[at : at + 7]
+                (one, x), (two, y) = total(a, b, c), total(d, e, f)
+                one, z = total(one, two, g)
+                two, four = total(x, y, z)
+                left[k].append(one)
+                left[k + 1].append(two)
+                left[k + 2].append(four)
+                at += 7
+            else:
+                one, two = total(*names[at : at + 3])
+                left[k].append(one)
+                left[k + 1].append(two)
+                at += 3
+        left[k] += names[at:]
+    while not left[-1]:
+        left.pop()
+    named = [[f"p{k}_{i}" for i in range(len(column))] for k, column in enumerate(left)]
+    made = [f"{sql} AS {name}" for sqls, names in zip(left, named, strict=True) for sql, name in zip(sqls, names, strict=True)]
+    return made, named
+
+
+def _most_bits(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``names`` and ``bits``: the bits set in more than half of the numbers in ``h``, of which there are at most ``UNROLLED``.
+
+    Bits are added up as in a circuit: a number holds the same digit of all 64 counts. So a word costs
+    a few operations on whole numbers in generated code, where a lambda is interpreted for every word and lane.
+    """
+    kept = [*names, "half"]
+    places = [[f"p0_{i}" for i in range(UNROLLED)]]
+    leaves = [f"coalesce(get(h, {i}), 0L) AS {name}" for i, name in enumerate(places[0])]
+    rows = rows.selectExpr(*names, "size(h) div 2 AS half", *leaves)
+    while max(map(len, places)) > 1:
+        if max(map(len, places)) == 2:
+            # A carry may go on to the highest place; a zero makes two numbers three.
+            places = [[*column, "0L"] if len(column) == 2 else column for column in places]
+        made, places = _added(places)
+        rows = rows.selectExpr(*kept, *made)
+    more = "0L"
+    for k, column in enumerate(places):
+        digit, limit = column[0], f"(-((half >> {k}) & 1L))"
+        more = f"(({digit} & ~{limit}) | ({more} & ~({digit} ^ {limit})))"
+    return rows.selectExpr(*names, f"{more} AS bits")
+
+
 def hashed_lines(rows: DataFrame) -> DataFrame:
     """``rows`` of ``lines`` with ``n_words, simhash`` instead of the text.
 
     Each different word of a line counts once: by their mere number the frequent words of a
     language would make all its long lines alike. A line's bits are counted inside its row, so
-    neither its text nor counters are shuffled: seven counters of 9 bits share a number for lines
-    of up to 511 words, four of 16 bits for longer ones, and a line with more words than these
+    neither its text nor counters are shuffled: digit by digit for up to ``UNROLLED`` words; in longer
+    lines four counters of 16 bits share a number, and a line with more words than these
     can count has each bit counted alone.
     """
     names = ["doc_id", "text_key", "line_no", "line"]
-    cut = F.split("norm", " ")
-    hashed = rows.select(*names, F.size(cut).alias("n_words"), F.transform(F.array_distinct(cut), lambda w: F.xxhash64(w)).alias("h"))
+    cut = rows.select(*names, F.split("norm", " ").alias("cut"))
+    hashed = cut.select(*names, F.size("cut").alias("n_words"), F.array_distinct(F.transform("cut", lambda w: F.xxhash64(w))).alias("h"))
     size = F.size("h")
-    short, middle = size < 1 << 9, (size >= 1 << 9) & (size < 1 << 15)
-    by9 = sum(1 << 9 * lane for lane in range(7))
+    middle = (size > UNROLLED) & (size < 1 << 15)
     by16 = sum(1 << 16 * lane for lane in range(4))
     h = F.col("h")
     counted = hashed.select(
-        *names, "n_words", "h",
-        *[F.when(short, _counted(h, j, by9)).alias(f"a{j}") for j in range(9)],
-        F.when(short, _counted(h, 63, 1)).alias("a9"),
-        *[F.when(middle, _counted(h, j, by16)).alias(f"b{j}") for j in range(16)],
-    )
+        *names, "n_words", "h", *[F.when(middle, _counted(h, j, by16)).alias(f"b{j}") for j in range(16)]
+    )
 
     def lane(name: str, shift: int, width: int) -> Column:
         return F.shiftrightunsigned(name, shift).bitwiseAND(F.lit((1 << width) - 1))
 
-    nines = [(j + 9 * k, lane(f"a{j}", 9 * k, 9)) for j in range(9) for k in range(7)] + [(63, F.col("a9"))]
     sixteens = [(j + 16 * k, lane(f"b{j}", 16 * k, 16)) for j in range(16) for k in range(4)]
     zero = F.lit(0).cast("long")
 
@@ -107,8 +165,9 @@ def hashed_lines(rows: DataFrame) -> DataFrame:
         return done.bitwiseOR(F.when(2 * n > size, bit).otherwise(zero))
 
     many = F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, one_by_one)
-    simhash = F.when(short, _majority(nines, size)).when(middle, _majority(sixteens, size)).otherwise(many)
-    return counted.select(*names, "n_words", simhash.alias("simhash"))
+    long = F.when(middle, _majority(sixteens, size)).when(size > UNROLLED, many)
+    most = _most_bits(counted.select(*names, "n_words", "h", long.alias("long")), [*names, "n_words", "long"])
+    return most.select(*names, "n_words", F.coalesce("long", "bits").alias("simhash"))
 
 
 def simhashes(rows: DataFrame) -> DataFrame:
