@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -193,6 +194,19 @@ def test_words_cut_by_blanks(spark):
     assert scorer.levels("stu he pid")[0] == scorer.levels("stu")[0] == 0
 
 
+def test_letters_set_apart_are_searched_for_only_where_they_may_be(monkeypatch):
+    rnd = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rnd.choice("ab c.d_e*-@$!|+\n\té") for _ in range(rnd.randrange(40)))
+        every = [re.sub(r"[ ._*-]", "", m[0]) for m in toxicity._APART.finditer(text)]
+        assert list(toxicity._set_apart(text)) == every
+    model = toxicity.log_model(_counts(["the idiot said stupid and plain things"] * 50))
+    scorer = toxicity.Scorer({"^stupid$": 0.9, "^idio": 0.8, "tupid": 0.7}, model)
+    assert scorer.levels("s t u p i d")[0] == scorer.levels("stupid")[0] > scorer.levels("idiots")[0] > scorer.levels("xtupidy")[0] > 0
+    monkeypatch.setattr(toxicity, "_APART", None)  # a plain text needs no such search
+    assert scorer.levels("this is a plain text - with a sign, so it is")[0] == 0
+
+
 def _counts(texts):
     tri = np.zeros(toxicity.CLASSES**3)
     for text in texts:

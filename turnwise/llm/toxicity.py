@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +54,12 @@ HIDING = "*#26"
 AS_LETTER, REPEATED, DROPPED, HIDDEN = -2.0, -1.0, -3.0, -3.0
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 _EDGES = ".,;:?\"'`()[]{}<>«»“”„…*#%&=~^/\\-_"
+_ENDS = _EDGES + "!"
 _TRIPLE = re.compile(r"(.)\1\1")
 _RUN = re.compile(r"(.)\1+")
 _APART = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[ ._*-](?:[^\W_]|[@$!|+])){2,}(?!\S)")
+#: Found in every text with letters set apart; it begins with a set of characters, so a search passes over the rest.
+_MAYBE_APART = re.compile(r"[ ._*-][\w@$!|+][ ._*-][\w@$!|+](?![^\s._*-])")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -195,6 +199,8 @@ def restored(token: str, model) -> set[str]:
         return set()
     if bare.isalpha():
         words = {bare}
+        if not _repeats(bare):
+            return words
         if _TRIPLE.search(bare):
             words.add(decode(bare, model))
     else:
@@ -203,7 +209,19 @@ def restored(token: str, model) -> set[str]:
             return set()
         words = set(parts)
         words.update(_LETTERS.findall(decode(bare.rstrip("!"), model)))
-    return words | {_RUN.sub(r"\1", w) for w in words}
+    return words | {_RUN.sub(r"\1", w) for w in words if _repeats(w)}
+
+
+def _repeats(word: str) -> bool:
+    """Whether a character follows itself."""
+    return True in map(eq, word, word[1:])
+
+
+def _set_apart(low: str) -> Iterator[str]:
+    """Words of a lower-case text whose letters are set apart, without what stands between these."""
+    if _MAYBE_APART.search(low):
+        for apart in _APART.finditer(low):
+            yield re.sub(r"[ ._*-]", "", apart[0])
 
 
 class Words:
@@ -222,8 +240,7 @@ class Words:
             if token not in self.known:
                 self.known[token] = frozenset(restored(token, self.model))
         words = set().union(*map(self.known.__getitem__, tokens)) if tokens else set()
-        for apart in _APART.finditer(low):
-            letters = re.sub(r"[ ._*-]", "", apart[0])
+        for letters in _set_apart(low):
             words |= restored(decode(letters, self.model), self.model)
         return words
 
@@ -322,6 +339,18 @@ def weigh(train: DataFrame, model: np.ndarray) -> list[dict[str, float]]:
     return [{r["piece"]: r[k] for r in rows if r[k] >= SURE} for k in bounds]
 
 
+class _Judged(dict):
+    """The value of a token by look-up, 0 if it is not sure."""
+
+    def __init__(self, judge):
+        super().__init__()
+        self.judge = judge
+
+    def __missing__(self, token: str) -> float:
+        value = self[token] = self.judge(token)
+        return value
+
+
 class Scorer:
     """A document's three surest words and its length as levels 0 to ``LEVELS`` - 1.
 
@@ -334,12 +363,14 @@ class Scorer:
         self.words = {p[1:-1]: v for p, v in sure.items() if p[0] == "^" and p[-1] == "$"}
         self.starts = {p[1:]: v for p, v in sure.items() if p[0] == "^" and p[-1] != "$"}
         self.inner = {p: v for p, v in sure.items() if p[0] != "^"}
+        # What most words are passed over by.
+        self.fours = {p[:4] for p in self.starts}
+        self.inside = self.inner.keys()
         # Words that count as a whole, and what they may begin with when they are cut by blanks.
         self.whole = {w: v for w, v in self.words.items() if len(w) > 3}
         self.heads = {w[:k] for w in self.whole for k in range(1, len(w))}
-        # Tokens that were judged, those of them that are sure, and those that may begin a cut word.
-        self.known: set[str] = set()
-        self.sure: dict[str, float] = {}
+        # Tokens that were judged, and those of them that may begin a cut word.
+        self.known = _Judged(self._judge)
         self.begin: set[str] = set()
 
     def _cut(self, tokens: list[str]) -> Iterator[float]:
@@ -348,7 +379,7 @@ class Scorer:
             head = tokens[i].lstrip(_EDGES)
             longest, at = len(head), i + 1
             while head in self.heads and at < len(tokens):
-                bare = tokens[at].rstrip(_EDGES + "!")
+                bare = tokens[at].rstrip(_ENDS)
                 longest = max(longest, len(bare))
                 if longest > 1 and head + bare in self.whole:
                     yield self.whole[head + bare]
@@ -357,38 +388,35 @@ class Scorer:
     def _word(self, word: str) -> float:
         size, starts, inner = len(word), self.starts, self.inner
         best = self.words.get(word, 0.0)
-        if size > 4 and starts:
-            best = max(best, *[starts.get(word[:k], 0.0) for k in (4, 5, 6) if size > k])
+        if size > 4 and word[:4] in self.fours:
+            for k in (4, 5, 6)[: size - 4]:
+                best = max(best, starts.get(word[:k], 0.0))
         if size > 5 and inner:
-            best = max(best, *[inner.get(word[i : i + 5], 0.0) for i in range(1, size - 4)])
+            parts = [word[i : i + 5] for i in range(1, size - 4)]
+            if not self.inside.isdisjoint(parts):
+                best = max(best, *[inner.get(p, 0.0) for p in parts])
         return best
 
     def _token(self, token: str) -> float:
         return max(map(self._word, restored(token, self.model)), default=0.0)
 
-    def _judge(self, tokens: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known, self.sure, self.begin = set(), {}, set()
-            tokens = self.tokens
-        for token in tokens:
-            value = self._token(token)
-            if value:
-                self.sure[token] = value
-            if token.lstrip(_EDGES) in self.heads:
-                self.begin.add(token)
-        self.known |= tokens
+    def _judge(self, token: str) -> float:
+        if token.lstrip(_EDGES) in self.heads:
+            self.begin.add(token)
+        return self._token(token)
 
     def levels(self, text: str) -> tuple[int, ...]:
         low = text.lower()
         in_order = low.split()
-        self.tokens = tokens = set(in_order)
-        if new := tokens - self.known:
-            self._judge(new)
-        found = [self.sure[t] for t in tokens & self.sure.keys()]
+        tokens = set(in_order)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+            self.begin.clear()
+        found = [v for v in map(self.known.__getitem__, tokens) if v]
         if not self.begin.isdisjoint(tokens):
             found += self._cut(in_order)
-        for apart in _APART.finditer(low):
-            found.append(self._token(decode(re.sub(r"[ ._*-]", "", apart[0]), self.model)))
+        for letters in _set_apart(low):
+            found.append(self._token(decode(letters, self.model)))
         top = [*heapq.nlargest(3, found), 0.0, 0.0, 0.0][:3]
         return (*(min(LEVELS - 1, int(v * LEVELS)) for v in top), min(LEVELS - 1, len(tokens).bit_length()))
 
