@@ -151,8 +151,9 @@ def closed_sessions(stream: DataFrame, session: str, idle: float, late: float =
             passes += int(part["passes"].sum())
             started, ended = min(started, float(part["tstamp"].min())), max(ended, float(part["tstamp"].max()))
         kept.update((tokens, seconds, passes, started, ended))
-        # A timer may not lie behind the watermark.
-        kept.setTimeoutTimestamp(max(int((ended + idle) * 1000), kept.getCurrentWatermarkMs() + 1))
+        # A timer may not lie behind the watermark, and goes off only when this has passed it: a millisecond less, so
+        # that a session is over when the watermark stands at its last second of waiting.
+        kept.setTimeoutTimestamp(max(int((ended + idle) * 1000) - 1, kept.getCurrentWatermarkMs() + 1))
 
     return _rates(timed.groupBy("session").applyInPandasWithState(keep, out, state, "append", "EventTimeTimeout"))
 
