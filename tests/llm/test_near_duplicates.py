@@ -1,6 +1,7 @@
 """SimHash, line groups, components and MinHash against plain Python."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -256,6 +257,34 @@ def test_more_blocks_for_more_lines():
         assert 2 ** (64 * (blocks - 4) / blocks) >= n / 2 or blocks == 12
 
 
+def test_few_masks_find_all_hashes_in_reach():
+    """Fewer keys than all choices of blocks, and no four places touch every mask."""
+    rnd = random.Random(12)
+    for n in (0, 10**5, 2 * 10**6, 10**8, 10**9, 10**12):
+        masks = line_dedup.choices(n, 4)
+        blocks = line_dedup._blocks(n, 4)
+        assert len(masks) <= math.comb(blocks, 4)
+        for _ in range(20_000):
+            flips = sum(1 << b for b in rnd.sample(range(64), 4))
+            assert any(not flips & m for m in masks)
+    assert len(line_dedup.choices(2 * 10**6, 4)) == 9 and len(line_dedup.choices(12 * 10**7, 4)) == 27
+    for bits in (1, 2, 3, 5):
+        for flips in ([1 << b for b in range(64)] if bits == 1 else [sum(1 << b for b in rnd.sample(range(64), bits)) for _ in range(5000)]):
+            assert any(not flips & m for m in line_dedup.choices(10**6, bits))
+
+
+@pytest.mark.parametrize("crowd, broadcast", [(32, 0), (1, 10**6)])
+def test_classes_when_some_hashes_tell_the_crowded_keys(spark, monkeypatch, crowd, broadcast):
+    """Which keys are taken for crowded, and whether texts are shuffled, changes no class."""
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    monkeypatch.setattr(line_dedup, "FEW", 0)
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", broadcast)
+    rows = [r for r in odd_documents() if r[0] not in (9, 10, None)] + variants(60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = line_dedup.classes(docs).collect()
+    assert sorted(((r["doc_id"], r["line_no"], r["class_doc"], r["class_line"]) for r in got), key=str) == plain_classes(rows)
+
+
 def shingles(text):
     words = text.lower().split()
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}

@@ -3,8 +3,8 @@
 Lines are lower-cased with single blanks; equal ones are one line from then on. A line's 64-bit
 SimHash is cut into blocks. Two lines whose hashes differ in ``BITS`` places have all but
 ``BITS`` of the blocks in common, so each choice of that many blocks is a key, and such lines
-meet under one of them. There are so many blocks that a key is about as wide as the number of
-lines; this moves the work only, the pairs in reach are the same. Pairs in reach whose word
+meet under one of them. Blocks are dealt to groups, as then fewer choices do, and there are so many that a
+key is nearly as wide as the number of lines; this moves the work only, the pairs in reach are the same. Pairs in reach whose word
 sequences are alike enough are links, and a connected group keeps one occurrence.
 
 A crowded group is not compared in pairs, for only its connected parts matter. Each line is compared
@@ -21,7 +21,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import free_names, quoted, small
+from turnwise.llm.common import BROADCAST_ROWS, free_names, quoted, small
 from turnwise.llm.components import components, extended
 from turnwise.operators.scale import lookup
 from turnwise.session import written
@@ -34,6 +34,10 @@ CROWD = 32
 FOLLOWERS, PIECE = 4, 4000
 #: Different words of a line whose bits are added up digit by digit; one less than a power of two.
 UNROLLED = 255
+#: Hashes that share a key on average, at most, and one hash in how many tells which keys are crowded.
+SHARED, TOLD = 8, 8
+#: Hashes up to this number all tell.
+FEW = 100_000
 
 
 def _words(line: Column) -> Column:
@@ -193,14 +197,39 @@ def _blocks(n_lines: int, bits: int) -> int:
     return 3 * bits
 
 
-def keys(hashes: DataFrame, blocks: int, bits: int) -> DataFrame:
-    """``key, simhash``: a row for each choice of ``blocks - bits`` blocks."""
+def _masks(blocks: int, groups: int, kept: int) -> list[int]:
+    """Places of a hash, for each choice of ``kept`` blocks of one group, when the blocks are dealt to ``groups`` groups."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    masks = []
-    for kept in combinations(range(blocks), blocks - bits):
-        mask = sum(((1 << edges[b + 1]) - 1) ^ ((1 << edges[b]) - 1) for b in kept)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    assert len(masks) == comb(blocks, bits)
+    return [
+        sum(((1 << edges[b + 1]) - 1) ^ ((1 << edges[b]) - 1) for b in choice)
+        for g in range(groups)
+        for choice in combinations(range(g, blocks, groups), kept)
+    ]
+
+
+def choices(n_hashes: int, bits: int) -> list[int]:
+    """The fewest masks such that hashes within ``bits`` of each other are equal under one of them,
+    and about ``SHARED`` hashes or fewer are equal under a mask by chance.
+
+    ``bits`` places spare all but ``bits`` of the blocks. If these are more than ``kept - 1`` for each
+    group, ``kept`` of them lie in one group. With a single group that is every choice of blocks.
+    """
+    plain = _blocks(n_hashes, bits)
+    best = _masks(plain, 1, plain - bits)
+    for blocks in range(bits + 1, 4 * bits + 1):
+        for groups in range(1, blocks - bits + 1):
+            kept = 1 + (blocks - bits - 1) // groups
+            number = sum(comb(len(range(g, blocks, groups)), kept) for g in range(groups))
+            if number < len(best):
+                masks = _masks(blocks, groups, kept)
+                if SHARED << min(m.bit_count() for m in masks) >= n_hashes:
+                    best = masks
+    return best
+
+
+def keys(hashes: DataFrame, masks: list[int]) -> DataFrame:
+    """``key, simhash``: a row for each of the ``masks``."""
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     each = F.array(
         *[F.xxhash64(F.lit(i), F.col("simhash").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]
     )
@@ -243,11 +272,16 @@ def meetings(table: DataFrame, bits: int = BITS) -> DataFrame:
 
     The search is for hashes, each once, so rows are short: hashes within ``bits`` of each
     other that share a key, then the lines that have them. Lines of one hash are a group
-    too, and a key with more than ``CROWD`` hashes is a group as it is.
+    too, and a key with many times ``CROWD`` hashes is a group as it is. Both ways find the same lines and
+    differ in time only, so in a large table some of the hashes tell which keys these are.
     """
-    hashes = table.select("simhash").distinct()
-    rows = keys(hashes, _blocks(table.count(), bits), bits)
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD)
+    hashes = written(table.select("simhash").distinct(), "line-hashes")
+    n = hashes.count()
+    masks = choices(n, bits)
+    rows = keys(hashes, masks)
+    told = TOLD if n > FEW else 1
+    some = keys(hashes.filter(F.pmod(F.xxhash64("simhash"), F.lit(told)) == 0), masks)
+    sizes = some.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") * told > 4 * CROWD)
     crowded = written(sizes.select("key"), "crowded-keys")
     few = rows.join(small(crowded), "key", "left_anti")
     found = few.alias("a").join(
@@ -314,13 +348,16 @@ def across(crowd: DataFrame, roots: DataFrame, in_reach: str, low: int, high: in
 
 def texts_of(documents: DataFrame, table: DataFrame, wanted: DataFrame) -> DataFrame:
     """``line, coded, n_words`` of the ``wanted`` lines, read at their first places."""
-    places = table.select("line", "first.*").join(small(wanted), "line")
+    n = wanted.count()
+    places = table.select("line", "first.*").join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, "line")
     places = places.groupBy(F.col("doc_id").alias("at_doc"), F.col("text_key").alias("at_key")).agg(
         F.collect_set(F.struct("line", "line_no")).alias("places")
     )
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     on = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_key") == F.col("at_key"))
-    found = rows.join(places, on).select(F.split("text", "\n").alias("cut"), F.explode("places").alias("p"))
+    # Texts stay where they are while the places are few.
+    found = rows.join(F.broadcast(places) if n <= BROADCAST_ROWS // 2 else places, on)
+    found = found.select(F.split("text", "\n").alias("cut"), F.explode("places").alias("p"))
     norm = found.select(F.col("p.line").alias("line"), _normal(F.get("cut", F.col("p.line_no"))).alias("norm")).dropDuplicates(["line"])
     return norm.select("line", _coded(F.col("norm")).alias("coded"), F.size(F.split("norm", " ")).alias("n_words"))
 
